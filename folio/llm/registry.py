@@ -1,8 +1,8 @@
 """The queries of the training-data operators and the SQL that checks them."""
 
-from folio.llm import packing, sharding, tokens
+from folio.llm import packing, sharding, tokens, urls
 
-_MODULES = (sharding, tokens, packing)
+_MODULES = (sharding, tokens, urls, packing)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
