@@ -15,6 +15,7 @@ packed each. An empty table gives no rows. Long texts make many pieces and are n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -37,6 +38,10 @@ KEEP_ENTRIES = 600_000
 _PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+#: A word of lower-case Latin-1 letters and the marks behind it; such marks hold no apostrophe and no ``<``.
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]{1,64})([,.;:!?]*)")
+
+
 class WordEncoder:
     """Ids of texts by the library, remembered per word: this vocabulary drops white space and no token reaches over it."""
 
@@ -46,6 +51,31 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, by the library's merging model alone; its letters stand for UTF-8 bytes."""
+        ids = self.parts.get(part)
+        if ids is None:
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u2").tobytes()
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Plain words, with or without marks behind them, are two pre-tokens that need no normalizing but lower case;
+        any other word goes through the whole library."""
+        rest = []
+        for w in words:
+            if plain := _PLAIN.fullmatch(w.lower()):
+                letters, marks = plain.groups()
+                self.known[w] = self._part(letters) + self._part(marks) if marks else self._part(letters)
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 10_000):
+            some = rest[at : at + 10_000]
+            self.known.update(zip(some, self._library(some), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,14 +87,14 @@ class WordEncoder:
         odd = [any(c in t for c in _PYTHON_SPACE) for t in texts]
         words = [None if o else t.split() for t, o in zip(texts, odd, strict=True)]
         fresh = list({w for ws in words if ws for w in ws if w not in self.known})
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            self.known.update(zip(some, self._library(some), strict=True))
+        self._learn(fresh)
         get = self.known.__getitem__
         out = [self._library([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
         for w in fresh:
             if len(w) > KEEP_CHARS:
                 del self.known[w]
+        if len(self.parts) > KEEP_ENTRIES:
+            self.parts.clear()
         return out
 
 
