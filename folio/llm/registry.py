@@ -1,8 +1,8 @@
 """The queries of the training-data operators and the SQL that checks them."""
 
-from folio.llm import chat, packing, quality, sharding, tokens, urls
+from folio.llm import ann, chat, mixing, packing, quality, sharding, tokens, urls
 
-_MODULES = (sharding, chat, quality, tokens, urls, packing)
+_MODULES = (ann, sharding, chat, quality, mixing, tokens, urls, packing)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
