@@ -32,6 +32,8 @@ BUCKETS, FAN_IN = 256, 16
 SEED = 29
 #: Up to so many sources their table is broadcast (about 100 bytes a row); beyond, it is joined by shuffle.
 SMALL_SOURCES = 50_000
+#: Up to so many rows of (id, source, size, copies), about 100 bytes each, are broadcast.
+SMALL_ROWS = 500_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -171,6 +173,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("copies") + F.col("part")).cast("int").alias("copies"), *(keep or []))
 
 
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mixed rows themselves, each repeated as often as it is taken."""
+    mixed = materialize(mix(docs, id_col, source_col, text_col)).select(F.col(id_col), F.col(source_col), "size", "copies")
+    keys = [id_col, source_col, "size"]
+    nth = Window.partitionBy(*keys).orderBy("copies")
+    if mixed.groupBy(*keys).count().filter(F.col("count") > 1).isEmpty():
+        rows, keys = docs.withColumn("size", n_words(F.col(text_col))), [id_col, source_col, "size"]
+    else:  # rows of one id, source and size: each gets one of their numbers of copies
+        rows = docs.withColumn("size", n_words(F.col(text_col))).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(text_col)))
+        mixed, keys = mixed.withColumn("nth", F.row_number().over(nth)), [*keys, "nth"]
+    mixed = mixed.filter(F.col("copies") > 0).select(*(F.col(k).alias(f"same_{k}") for k in keys), "copies")
+    mixed = F.broadcast(mixed) if mixed.count() <= SMALL_ROWS else mixed.hint("shuffle_merge")
+    on = [F.col(k).eqNullSafe(F.col(f"same_{k}")) for k in keys]
+    return rows.join(mixed, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

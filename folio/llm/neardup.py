@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import drop_tables, materialize, scratch_dir, slices, table
+from folio.llm.common import materialize, scratch_dir, slices, table
 
 WORDS = 5
 PERCENT = 75
@@ -305,6 +305,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small:
     return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the document with the smallest id, once."""
+    linked = materialize(link(docs, id_col, text_col))
+    gone = linked.filter(~F.col("kept")).select(id_col).distinct()
+    gone = F.broadcast(gone) if gone.count() <= SMALL_IDS else gone.hint("shuffle_merge")
+    left = docs.join(gone, id_col, "left_anti")
+    again = materialize(linked.filter("kept").groupBy(id_col).count().filter(F.col("count") > 1).select(id_col))
+    if again.isEmpty():
+        return left.select(docs.columns)
+    again = F.broadcast(again) if again.count() <= SMALL_IDS else again.hint("shuffle_merge")
+    once = left.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return left.join(again, id_col, "left_anti").unionByName(once).select(docs.columns)
+
+
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 

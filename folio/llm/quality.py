@@ -17,12 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, scratch_dir, slices, table
+from folio.llm.common import slices, table
 
-SYMBOLS = "[#*$%&|<>]"
 FEATURES = ("word_length", "symbol_share", "symbols_per_word", "log_symbols", "dup_line_share", "repeat_share")
 #: Bound of the labelled rows that are collected to grow and calibrate the forest.
 MAX_FIT = 20_000
@@ -72,29 +71,19 @@ def text_statistics(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, symbols, dup, repeat_words(words)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, five counts) of every row; one pass over the texts, no shuffle."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            rows = [text_statistics(t or "") for t in b.column(text_col).to_pylist()]
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(id_col), *(pa.array(c, pa.int64()) for c in cols)], [id_col, *names])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} long" for n in names))
+def base_failed(counts: np.ndarray) -> np.ndarray:
+    """The hard rule, from rows of ``COUNTS``."""
+    return (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
 
 
-def features() -> list[Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    return [
-        (F.col("word_chars") / words).alias("word_length"),
-        (F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("symbol_share"),
-        (F.col("n_symbols") / words).alias("symbols_per_word"),
-        F.log1p("n_symbols").alias("log_symbols"),
-        (F.col("n_dup_lines") / words).alias("dup_line_share"),
-        (F.col("n_repeat_words") / words).alias("repeat_share"),
-    ]
+def features(counts: np.ndarray) -> np.ndarray:
+    """``FEATURES`` of rows of ``COUNTS``."""
+    words, chars = np.maximum(counts[:, 0], 1), np.maximum(counts[:, 1], 1)
+    symbols = counts[:, 2]
+    return np.column_stack([counts[:, 1] / words, symbols / chars, symbols / words, np.log1p(symbols), counts[:, 3] / words, counts[:, 4] / words])
 
 
 def average_path(n) -> np.ndarray:
@@ -176,48 +165,67 @@ def informative(x: np.ndarray, y: np.ndarray, least: float = 0.1) -> list[int]:
     return [f for f, o in enumerate(off) if o >= least] or list(range(x.shape[1]))
 
 
-def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_fit: int = MAX_FIT) -> tuple[Forest, list[int], float] | None:
+@dataclass(frozen=True)
+class Judge:
+    """A forest over some of the features and the score above which a document goes."""
+
+    forest: Forest
+    used: list[int]
+    most: float
+
+    def anomaly(self, counts: np.ndarray) -> np.ndarray:
+        return self.forest.score(features(counts)[:, self.used])
+
+
+def _counted(docs: DataFrame, id_col: str, text_col: str, judge: Judge | None, keep_text: bool) -> DataFrame:
+    """The rows with their counts, ``base_failed``, ``anomaly`` and ``kept``; one map over the texts."""
+    kept_columns = [c for c in docs.columns if keep_text or c != text_col]
+    shared = docs.sparkSession.sparkContext.broadcast(judge)  # TREES * 2 * SAMPLE nodes at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            counts = np.array([text_statistics(t or "") for t in b.column(text_col).to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            failed = base_failed(counts)
+            anomaly = shared.value.anomaly(counts) if shared.value else np.full(len(counts), np.nan)
+            kept = ~failed & (anomaly <= shared.value.most) if shared.value else ~failed
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in kept_columns), *(pa.array(c) for c in counts.T.copy()), pa.array(failed), pa.array(anomaly, mask=np.isnan(anomaly)), pa.array(kept)],
+                [*kept_columns, *COUNTS, "base_failed", "anomaly", "kept"],
+            )
+
+    types = dict(docs.dtypes)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept_columns] + [f"{c} long" for c in COUNTS] + ["base_failed boolean", "anomaly double", "kept boolean"])
+    return docs.mapInArrow(run, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> Judge | None:
     """Forest and threshold from at most about ``max_fit`` labelled rows that pass the base rule, drawn by a hash of the id."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     n = known.count()
     if not n:
         return None
     share = min(1.0, max_fit / n)
-    drawn = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = rows.filter(~F.col("base_failed")).dropDuplicates([id_col]).join(drawn.hint("shuffle_hash"), id_col).select(id_col, "quality", *features()).limit(2 * max_fit).collect()
-    sample.sort(key=lambda r: r[0])
-    x = np.array([[r[f] for f in FEATURES] for r in sample], float).reshape(-1, len(FEATURES))
+    drawn = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_fit)
+    some = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)  # 2 * max_fit ids at most
+    sample = _counted(some, id_col, text_col, None, False).filter(~F.col("base_failed")).dropDuplicates([id_col]).collect()
+    sample.sort(key=lambda r: r[id_col])
+    counts = np.array([[r[c] for c in COUNTS] for r in sample], np.int64).reshape(-1, len(COUNTS))
     y = np.array([r.quality for r in sample])
     if not (y == 1).any() or not (y == 0).any():
         return None
+    x = features(counts)
     used = informative(x, y)
     forest = grow(x[:, used])
-    return forest, used, calibrate(forest.score(x[y == 1][:, used]), forest.score(x[y == 0][:, used]))
-
+    return Judge(forest, used, calibrate(forest.score(x[y == 1][:, used]), forest.score(x[y == 0][:, used])))
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, counts, base_failed, anomaly, kept) of every row."""
-    spark = docs.sparkSession
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = materialize(statistics(docs, id_col, text_col).withColumn("base_failed", base_failed), f"{scratch_dir(spark)}/statistics")
-    model = fit(rows, labels, id_col)
-    if model is None:
-        return rows.withColumns({"anomaly": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
-    forest, used, most = model
-    shared = spark.sparkContext.broadcast(forest)  # TREES * 2 * SAMPLE nodes at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.column_stack([b.column(f).to_numpy() for f in FEATURES])
-            names = [n for n in b.schema.names if n not in FEATURES]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(shared.value.score(x[:, used]))], [*names, "anomaly"])
 
-    scored = rows.select("*", *features()).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", anomaly double")
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= most))
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Every row with its counts, ``base_failed``, ``anomaly`` (null without a forest) and ``kept``; the texts are not shuffled."""
+    return _counted(docs, id_col, text_col, fit(docs, labels, id_col, text_col), keep_text)
 
 
 def op4_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op4_isolation_forest": op4_isolation_forest}
