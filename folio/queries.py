@@ -1,4 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from folio.plans import table_queries, text_queries
+
+QUERIES = {**text_queries.R.queries, **table_queries.R.queries}
+ORACLE_SQL = {**text_queries.R.oracle, **table_queries.R.oracle}
