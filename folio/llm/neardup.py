@@ -46,8 +46,6 @@ _SEED = np.random.default_rng(5)
 _ODD = _SEED.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _SEED.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
 _STEP = _SEED.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-KEEP_WORDS = 1_000_000
-_words: dict[bytes, int] = {}
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,15 +64,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < WORDS:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    if len(_words) > KEEP_WORDS:
-        _words.clear()
-    try:
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(h) - WORDS + 1
     total = h[:n] * _STEP[0]
     for k in range(1, WORDS):
