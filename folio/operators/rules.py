@@ -88,16 +88,32 @@ def item_findings(items: DataFrame, dossiers: DataFrame, key: str = "proc_id") -
 
 #: Words that tell a description's kind (fixed values).
 KEYWORDS = {
-    "material": "aquisição aquisicao aqs material produto fornecimento calha chapa parafuso prego tinta papel caneta vidro cimento areia madeira tubo fio cabo peça peca componente lâmpada lampada bateria medicamento alimento gênero genero uniforme tecido combustível combustivel lubrificante solvente filtro válvula valvula rolamento anel junta mangueira borracha plástico plastico aço aco ferro alumínio aluminio cobre inox impressora toner cartucho pilha esportivo copa cozinha limpeza higiene galvanizado chapa_de_aço calha".replace("calha", "calha").split(),
-    "servico": "serviço servico manutenção manutencao mnt instalação instalacao remanejamento conserto reparo reparação reparacao limpeza_e_conservação vigilância vigilancia monitoramento contrato contratação contratacao prestação prestacao locação locacao aluguel assinatura consultoria assessoria treinamento capacitação hospedagem transporte frete energia_elétrica água_e_esgoto telefone telecomunicação software licença licenca gráfico grafico impressão impressao preventiva corretiva".split(),
-    "permanente": "equipamento mobiliário mobiliario veículo veiculo máquina maquina aparelho instrumento aeronave embarcação embarcacao armamento armamento".split(),
+    "material": [
+        "aquisição", "aquisicao", "aqs", "material", "produto", "fornecimento", "calha", "chapa", "parafuso", "prego", "tinta", "papel", "caneta",
+        "vidro", "cimento", "areia", "madeira", "tubo", "fio", "cabo", "peça", "peca", "componente", "lâmpada", "lampada", "bateria", "medicamento",
+        "alimento", "gênero", "genero", "uniforme", "tecido", "combustível", "combustivel", "lubrificante", "solvente", "filtro", "válvula",
+        "valvula", "rolamento", "anel", "junta", "mangueira", "borracha", "plástico", "plastico", "aço", "aco", "ferro", "alumínio", "aluminio",
+        "cobre", "inox", "impressora", "toner", "cartucho", "pilha", "esportivo", "copa", "cozinha", "limpeza", "higiene", "galvanizado",
+        "chapa de aço", "calha",
+    ],
+    "servico": [
+        "serviço", "servico", "manutenção", "manutencao", "mnt", "instalação", "instalacao", "remanejamento", "conserto", "reparo", "reparação",
+        "reparacao", "limpeza e conservação", "vigilância", "vigilancia", "monitoramento", "contrato", "contratação", "contratacao", "prestação",
+        "prestacao", "locação", "locacao", "aluguel", "assinatura", "consultoria", "assessoria", "treinamento", "capacitação", "hospedagem",
+        "transporte", "frete", "energia elétrica", "água e esgoto", "telefone", "telecomunicação", "software", "licença", "licenca", "gráfico",
+        "grafico", "impressão", "impressao", "preventiva", "corretiva",
+    ],
+    "permanente": [
+        "equipamento", "mobiliário", "mobiliario", "veículo", "veiculo", "máquina", "maquina", "aparelho", "instrumento", "aeronave", "embarcação",
+        "embarcacao", "armamento", "armamento",
+    ],
 }
 
 
 def keyword_scores(text: Column, keywords: dict[str, list[str]] | None = None) -> dict[str, Column]:
-    """How many words of each list occur in the text (an underscore stands for a blank)."""
+    """How many words of each list occur in the text."""
     low = F.lower(text)
-    return {k: contains_count(low, [w.replace("_", " ") for w in ws]) for k, ws in (keywords or KEYWORDS).items()}
+    return {k: contains_count(low, ws) for k, ws in (keywords or KEYWORDS).items()}
 
 
 def keyword_kind(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:

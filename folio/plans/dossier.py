@@ -1,7 +1,8 @@
 """From page texts to decisions and texts, for many dossiers at once.
 
 Pages are labelled without a shuffle and dealt once by dossier; what follows joins tables of one row per dossier (or item,
-note, finding) on ``proc_id``. The joined texts of the labels are persisted, as every field table reads them.
+note, finding) on ``proc_id``. Tables that several later ones read are persisted: their patterns run once, and the plans of
+what follows start from them instead of growing with every step. ``release`` frees them.
 """
 
 from __future__ import annotations
@@ -39,6 +40,14 @@ class Dossiers:
     decisions: DataFrame
     rendered: DataFrame
 
+    def release(self) -> None:
+        for df in vars(self).values():
+            df.unpersist()
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
 
 def _of(label_texts: DataFrame, label: str, columns) -> DataFrame:
     rows = label_texts.filter(F.col("label") == label)
@@ -48,23 +57,23 @@ def _of(label_texts: DataFrame, label: str, columns) -> DataFrame:
 def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Column, ocr_texts: DataFrame | None = None, names: DataFrame | None = None, elements: DataFrame | None = None, with_contract: bool = False, with_notes: bool = True) -> Dossiers:
     """The whole run. ``with_contract`` lets contract checks into the decision; ``with_notes`` false leaves out the credit notes."""
     pages = pages.repartition(KEY)
-    labels = classify.classify_pages(pages)
+    labels = _kept(classify.classify_pages(pages))
     labelled = pages.join(labels, [KEY, "page_no"])
-    label_texts = texts.joined_text(labelled, [KEY, "label"], "page_no").persist(StorageLevel.MEMORY_AND_DISK)
-    everyone = pages.select(KEY).distinct()
+    label_texts = _kept(texts.joined_text(labelled, [KEY, "label"], "page_no"))
+    everyone = _kept(pages.select(KEY).distinct())
 
     cover = _of(label_texts, "cover", fields.cover)
     requisition = _of(label_texts, "requisition", fields.requisition).drop("more_nc")
-    sicaf, cadin = _of(label_texts, "sicaf", fields.sicaf), _of(label_texts, "cadin", fields.cadin)
-    consolidated = _of(label_texts, "consolidated", fields.consolidated)
+    sicaf, cadin = _kept(_of(label_texts, "sicaf", fields.sicaf)), _kept(_of(label_texts, "cadin", fields.cadin))
+    consolidated = _kept(_of(label_texts, "consolidated", fields.consolidated))
     contract_texts = label_texts.filter(F.col("label") == "contract")
     contract_columns = fields.contract_document(F.col("text"))
-    contracts = contract_texts.filter(fields.real_contract(contract_columns)).select(KEY, *(c.alias(n) for n, c in contract_columns.items()))
+    contracts = _kept(contract_texts.filter(fields.real_contract(contract_columns)).select(KEY, *(c.alias(n) for n, c in contract_columns.items())))
     dispatches = labelled.filter(F.col("label") == "dispatch").select(KEY, "page_no", *(c.alias(n) for n, c in fields.dispatch(F.col("text")).items()))
 
     ident = reconcile.merge_identification(everyone.join(cover, KEY, "left"), requisition)
     ident = reconcile.complete_supplier(ident, sicaf)
-    ident = ident.withColumn("unit_name", F.coalesce("unit_name", reconcile.unit_from_cover(F.col("origin"), F.col("interested"))))
+    ident = _kept(ident.withColumn("unit_name", F.coalesce("unit_name", reconcile.unit_from_cover(F.col("origin"), F.col("interested")))))
 
     table_pages = labels.filter(F.col("label") == "requisition").select(KEY, "page_no")
     found = items.rows_to_items(page_rows.join(table_pages, [KEY, "page_no"], "left_semi"))
@@ -72,12 +81,12 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
         read = items.texts_to_items(ocr_texts.join(table_pages, [KEY, "page_no"], "left_semi")).join(found.select(KEY).distinct(), KEY, "left_anti")
         found = found.unionByName(read, allowMissingColumns=True)
     found = found.filter(classify.real_item(F.col("description"), F.col("total"), F.col("code")))
-    found = reconcile.fill_item_codes(found, ident)
+    found = _kept(reconcile.fill_item_codes(found, ident))
 
     notes = fields.credit_notes(label_texts.filter(F.col("label") == "credit_note"))
     mirrors = labelled.filter(F.col("label").isin("unclassified", "credit_note"))
     notes = reconcile.complete_notes_from_mirror(notes, mirrors)
-    notes = reconcile.complete_notes(notes, ident, as_of)
+    notes = _kept(reconcile.complete_notes(notes, ident, as_of))
 
     first_note = notes.groupBy(KEY).agg(F.min_by("favoured_code", "number").alias("_favoured"))
     unit_names = tables.aliases(spark, tables.UNIT_NAME_CODES)
@@ -90,8 +99,9 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     has = labels.groupBy(KEY).agg(F.bool_or(F.col("label") == "checklist").alias("_checklist"), F.bool_or(F.col("label") == "contract").alias("_contract"))
     ident = ident.join(has, KEY, "left")
     ident = ident.withColumn("type", F.coalesce("type", fields.dossier_type(F.col("contract"), F.col("_checklist"), F.col("_contract"), F.col("bid"), F.col("commitment_type")))).drop("_checklist", "_contract")
+    ident = _kept(ident)
 
-    certificates = rules.certificate_rows(everyone, sicaf, cadin, consolidated, as_of)
+    certificates = _kept(rules.certificate_rows(everyone, sicaf, cadin, consolidated, as_of))
     ids = ident.select(KEY, "tax_id", "supplier").join(sicaf.select(KEY, F.col("tax_id").alias("sicaf_id"), F.col("name").alias("sicaf_name")), KEY, "left")
     ids = ids.join(cadin.select(KEY, F.col("tax_id").alias("cadin_id")), KEY, "left").join(consolidated.select(KEY, F.col("tax_id").alias("consolidated_id")), KEY, "left")
     found_all = [
@@ -110,7 +120,8 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     findings = found_all[0]
     for f in found_all[1:]:
         findings = findings.unionByName(f, allowMissingColumns=True)
-    decisions = rules.decide(findings, KEY, partial=not with_notes)
+    findings = _kept(findings)
+    decisions = _kept(rules.decide(findings, KEY, partial=not with_notes))
     return Dossiers(labels, label_texts, ident, found, notes, sicaf, cadin, consolidated, contracts, dispatches, certificates, findings, decisions, rendered(spark, ident, notes, decisions))
 
 

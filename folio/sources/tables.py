@@ -60,21 +60,66 @@ UNIT_NAME_CODES = (("9º GPT LOG", "160136"), ("9 GPT LOG", "160136"), ("CRO/9",
 UNIT_CODES = ("160136", "160141", "160142", "160143", "160078", "160512", "160502", "160504")
 #: Official names of the purchasing units (fixed values).
 KNOWN_UNITS = {"160136": "9º Grupamento Logístico", "160141": "CRO/9", "160142": "9º Batalhão de Suprimento", "160143": "Hospital Militar de Área de Campo Grande", "160078": "Colégio Militar de Campo Grande", "160255": "1º Batalhão de Polícia do Exército", "160512": "20º Regimento de Cavalaria Blindado", "160502": "Departamento de Engenharia e Construção", "160504": "Comando Militar do Oeste"}
-#: Official unit names with the words of their written forms: number, stems, official name (fixed values).
+#: Written forms of the units and their official names (fixed values).
 OFFICIAL_UNITS = (
-    ("9", ("GRUPAMENTO LOGISTICO", "GRUPAMENTO LOGÍSTICO", "GPT LOG", "GPT LOGISTICO", "GPT LOGÍSTICO", "GRUP LOG"), "9º Grupamento Logístico"),
-    ("9", ("BATALHAO DE MANUTENCAO", "BATALHÃO DE MANUTENÇÃO", "B MNT", "BATALHAO MANUTENCAO"), "9º Batalhão de Manutenção"),
-    ("9", ("BATALHAO DE SAUDE", "BATALHÃO DE SAÚDE", "B SAU", "B SAUDE", "BATALHAO SAUDE"), "9º Batalhão de Saúde"),
-    ("9", ("BATALHAO DE SUPRIMENTO", "BATALHÃO DE SUPRIMENTO", "B SUP", "B SUPRIMENTO", "BATALHAO SUPRIMENTO"), "9º Batalhão de Suprimento"),
-    ("18", ("BATALHAO DE TRANSPORTE", "BATALHÃO DE TRANSPORTE", "B TRNP", "B TRANSPORTE", "BATALHAO TRANSPORTE"), "18º Batalhão de Transporte"),
+    ("9 GRUPAMENTO LOGISTICO", "9º Grupamento Logístico"),
+    ("9º GRUPAMENTO LOGISTICO", "9º Grupamento Logístico"),
+    ("9 GRUPAMENTO LOGÍSTICO", "9º Grupamento Logístico"),
+    ("9º GRUPAMENTO LOGÍSTICO", "9º Grupamento Logístico"),
+    ("9 GPT LOG", "9º Grupamento Logístico"),
+    ("9º GPT LOG", "9º Grupamento Logístico"),
+    ("9 GPT LOGISTICO", "9º Grupamento Logístico"),
+    ("9º GPT LOGISTICO", "9º Grupamento Logístico"),
+    ("9 GPT LOGÍSTICO", "9º Grupamento Logístico"),
+    ("9º GPT LOGÍSTICO", "9º Grupamento Logístico"),
+    ("9 GRUP LOG", "9º Grupamento Logístico"),
+    ("9º GRUP LOG", "9º Grupamento Logístico"),
+    ("CMDO 9 GPT LOG", "9º Grupamento Logístico"),
+    ("CMDO 9º GPT LOG", "9º Grupamento Logístico"),
+    ("9 BATALHAO DE MANUTENCAO", "9º Batalhão de Manutenção"),
+    ("9º BATALHAO DE MANUTENCAO", "9º Batalhão de Manutenção"),
+    ("9 BATALHÃO DE MANUTENÇÃO", "9º Batalhão de Manutenção"),
+    ("9º BATALHÃO DE MANUTENÇÃO", "9º Batalhão de Manutenção"),
+    ("9 B MNT", "9º Batalhão de Manutenção"),
+    ("9º B MNT", "9º Batalhão de Manutenção"),
+    ("9 BATALHAO MANUTENCAO", "9º Batalhão de Manutenção"),
+    ("9º BATALHAO MANUTENCAO", "9º Batalhão de Manutenção"),
+    ("9 BATALHAO DE SAUDE", "9º Batalhão de Saúde"),
+    ("9º BATALHAO DE SAUDE", "9º Batalhão de Saúde"),
+    ("9 BATALHÃO DE SAÚDE", "9º Batalhão de Saúde"),
+    ("9º BATALHÃO DE SAÚDE", "9º Batalhão de Saúde"),
+    ("9 B SAU", "9º Batalhão de Saúde"),
+    ("9º B SAU", "9º Batalhão de Saúde"),
+    ("9 B SAUDE", "9º Batalhão de Saúde"),
+    ("9º B SAUDE", "9º Batalhão de Saúde"),
+    ("9 BATALHAO SAUDE", "9º Batalhão de Saúde"),
+    ("9º BATALHAO SAUDE", "9º Batalhão de Saúde"),
+    ("9 BATALHAO DE SUPRIMENTO", "9º Batalhão de Suprimento"),
+    ("9º BATALHAO DE SUPRIMENTO", "9º Batalhão de Suprimento"),
+    ("9 BATALHÃO DE SUPRIMENTO", "9º Batalhão de Suprimento"),
+    ("9º BATALHÃO DE SUPRIMENTO", "9º Batalhão de Suprimento"),
+    ("9 B SUP", "9º Batalhão de Suprimento"),
+    ("9º B SUP", "9º Batalhão de Suprimento"),
+    ("9 B SUPRIMENTO", "9º Batalhão de Suprimento"),
+    ("9º B SUPRIMENTO", "9º Batalhão de Suprimento"),
+    ("9 BATALHAO SUPRIMENTO", "9º Batalhão de Suprimento"),
+    ("9º BATALHAO SUPRIMENTO", "9º Batalhão de Suprimento"),
+    ("18 BATALHAO DE TRANSPORTE", "18º Batalhão de Transporte"),
+    ("18º BATALHAO DE TRANSPORTE", "18º Batalhão de Transporte"),
+    ("18 BATALHÃO DE TRANSPORTE", "18º Batalhão de Transporte"),
+    ("18º BATALHÃO DE TRANSPORTE", "18º Batalhão de Transporte"),
+    ("18 B TRNP", "18º Batalhão de Transporte"),
+    ("18º B TRNP", "18º Batalhão de Transporte"),
+    ("18 B TRANSPORTE", "18º Batalhão de Transporte"),
+    ("18º B TRANSPORTE", "18º Batalhão de Transporte"),
+    ("18 BATALHAO TRANSPORTE", "18º Batalhão de Transporte"),
+    ("18º BATALHAO TRANSPORTE", "18º Batalhão de Transporte"),
 )
 
 
 def official_units(spark: SparkSession) -> DataFrame:
-    """(alias, official): every stem with and without the ordinal sign."""
-    rows = [(f"{n}{sign} {stem}", official) for n, stems, official in OFFICIAL_UNITS for stem in stems for sign in ("", "º")]
-    rows += [(f"CMDO 9{sign} GPT LOG", "9º Grupamento Logístico") for sign in ("", "º")]
-    return spark.createDataFrame(rows, "alias string, official string")
+    """(alias, official)."""
+    return spark.createDataFrame(list(OFFICIAL_UNITS), "alias string, official string")
 
 
 def safe_array(text: Column, kind: str = "array<string>") -> Column:
