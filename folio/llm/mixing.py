@@ -6,9 +6,11 @@ taken, and the fractions are rounded by the pivotal method: two fractional docum
 the other at random (fair in expectation) until one of them is integral, and the other goes on. So a source's
 words are kept at each meeting; only its last document is rounded to the nearer side.
 
-The meetings form a tree: documents fall into ``buckets`` by a hash of source and id, each bucket leaves one
-fractional document a source, and these meet again, ``fan_in`` buckets at a time. A source with a third of all
-rows is so spread over all buckets. Only (source, id, size) is shuffled, never a text. Random numbers depend on
+The meetings form a tree: documents of one size class (a power of two) fall into ``buckets`` by a hash of source and
+id, each bucket leaves one fractional document a source and class, and these meet again, ``fan_in`` buckets at a
+time. At the root the few that are left of all classes meet, the largest first: each is settled against smaller ones, so
+that the very last is small. Documents over a sixteenth of their source are settled before all others, which then
+share what is left of the target. A source with a third of all rows is so spread over all buckets. Only (source, id, size) is shuffled, never a text. Random numbers depend on
 source, bucket and level alone, and documents meet in a fixed order, so that reruns agree.
 
 Nulls: a null text has size 0; the null source is a source, ranked last; a null id is an id. Repeated rows
@@ -29,6 +31,8 @@ from folio.llm.common import materialize, n_words, scratch_dir, table
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BUCKETS, FAN_IN = 256, 16
+#: A document over the LARGE-th part of its source is settled before the others; a source has fewer than LARGE of them.
+LARGE = 16
 SEED = 29
 #: Up to so many sources their table is broadcast (about 100 bytes a row); beyond, it is joined by shuffle.
 SMALL_SOURCES = 50_000
@@ -123,7 +127,7 @@ def _round_groups(level: int):
                         put(waiting, waiting[p_at], True)
                     key, waiting = groups[start], None
                     name = (key[0] or "").encode() if isinstance(key[0], str) or key[0] is None else str(key[0]).encode()
-                    rng = np.random.default_rng([SEED, level, key[1], int(key[0] is None), *name])
+                    rng = np.random.default_rng([SEED, level + 1, key[1], int(key[0] is None), *name])
                 some = list(zip(*(c[start:stop] for c in columns), strict=True))
                 if waiting is not None:
                     some.insert(0, waiting)
@@ -152,11 +156,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     wanted = materialize(wanted, f"{base}/targets")
     wanted = F.broadcast(wanted) if wanted.count() <= SMALL_SOURCES else wanted.hint("merge")
     rows = narrow.join(wanted.withColumnRenamed("source", "same"), F.col("source").eqNullSafe(F.col("same"))).drop("same")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.least(F.floor(rate), F.lit(most)).cast("int")
-    rows = rows.withColumn("copies", F.when(F.col("size") > 0, whole).otherwise(0)).withColumn("part", F.when(F.col("size") > 0, rate - whole).otherwise(0.0))
-    rows = rows.withColumns({"group": F.pmod(F.xxhash64("source", "id"), F.lit(buckets)).cast("int"), "open": F.lit(False)})
-    done, level, groups = [], 0, buckets
+    rows = rows.withColumns({"group": F.lit(0), "open": F.lit(False)})
+
+    def shared(df: DataFrame, words: F.Column, over: F.Column) -> DataFrame:
+        """Whole copies and the fraction left, for documents that share ``words`` in proportion to their sizes."""
+        rate = F.when((over > 0) & (F.col("size") > 0), F.least(F.greatest(words / over, F.lit(0.0)), F.lit(float(most)))).otherwise(0.0)
+        return df.withColumn("rate", rate).withColumn("copies", F.floor("rate").cast("int")).withColumn("part", F.col("rate") - F.col("copies")).drop("rate")
+
+    # the few documents that are a large part of their source are settled first; the others share what these leave of the target
+    large = F.col("size") * LARGE > F.col("source_size")
+    first = shared(rows.filter(large), F.col("target"), F.col("source_size"))
+    first = first.repartition("source").sortWithinPartitions("source", F.desc("size"), "id")
+    first = materialize(first.mapInArrow(_round_groups(-1), first.schema).withColumn("part", F.round("part")), f"{base}/large")
+    took = first.groupBy(F.col("source").alias("same")).agg(F.sum((F.col("copies") + F.col("part")) * F.col("size")).alias("took"), F.sum("size").alias("held"))
+    took = materialize(took, f"{base}/took")
+    took = F.broadcast(took) if took.count() <= SMALL_SOURCES else took.hint("merge")
+    rows = rows.filter(~large).join(took, F.col("source").eqNullSafe(F.col("same")), "left").na.fill(0, ["took", "held"])
+    rows = shared(rows, F.col("target") - F.col("took"), F.col("source_size") - F.col("held")).drop("same", "took", "held")
+    size_class = F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(0)  # under 64
+    rows = rows.withColumns({"group": (F.pmod(F.xxhash64("source", "id"), F.lit(buckets)) * 64 + size_class).cast("int"), "open": F.lit(False)})
+    done, level, groups = [first], 0, buckets
     while True:
         # larger documents meet first, so that what is left at the end is small
         ordered = rows.repartition("source", "group").sortWithinPartitions("source", "group", F.desc("size"), "id")
@@ -166,7 +185,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         if groups == 1:
             break
         groups, level = max(1, groups // fan_in), level + 1
-        rows = rows.withColumns({"group": F.pmod("group", F.lit(groups)).cast("int"), "open": F.lit(False)})
+        merged = F.pmod(F.floor(F.col("group") / 64), F.lit(groups)) * 64 + F.col("group") % 64 if groups > 1 else F.lit(0)
+        rows = rows.withColumns({"group": merged.cast("int"), "open": F.lit(False)})
     out = rows.withColumn("part", F.round("part"))
     for d in done:
         out = out.unionByName(d)
