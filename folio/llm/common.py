@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +32,15 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, *paths: str) -> None:
-    """Deletes scratch folders that no later job reads."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+_holder: tuple[str, Callable[[], None] | None] = ("", None)
+
+
+def hold(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Tells that an operator runs in this Python worker; what another one remembered is forgotten, so that stages do not add up."""
+    global _holder
+    if _holder[0] != name and _holder[1]:
+        _holder[1]()
+    _holder = (name, forget)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, scratch_dir, slices, table
+from folio.llm.common import hold, materialize, scratch_dir, slices, table
 
 WORDS = 5
 PERCENT = 75
@@ -84,6 +84,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
+            hold("neardup")
             count, digest, sig, first, deep = [], [], [], [], []
             for text in b.column(text_col).to_pylist():
                 words = words_of(text or "")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, scratch_dir, slices, table
+from folio.llm.common import hold, materialize, scratch_dir, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 LENGTH = 4096
@@ -42,6 +42,18 @@ _PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]{1,64})([,.;:!?]*)")
 
 
+def _lower(text: str) -> str:
+    """Lower case where that is the same as the vocabulary's own: Latin-1 letters, and no special string may appear by it."""
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class WordEncoder:
     """Ids of texts by the library, remembered per word: this vocabulary drops white space and no token reaches over it."""
 
@@ -55,6 +67,10 @@ class WordEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.parts.clear()
+
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, by the library's merging model alone; its letters stand for UTF-8 bytes."""
         ids = self.parts.get(part)
@@ -85,6 +101,7 @@ class WordEncoder:
         if len(self.known) > KEEP_ENTRIES:
             self.known.clear()
         odd = [any(c in t for c in _PYTHON_SPACE) for t in texts]
+        texts = [_lower(t) for t in texts]
         words = [None if o else t.split() for t, o in zip(texts, odd, strict=True)]
         fresh = list({w for ws in words if ws for w in ws if w not in self.known})
         self._learn(fresh)
@@ -114,6 +131,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, tail = TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
         enc = encoder(path)
+        hold("packing", enc.forget)
         for b in slices(batches, text_col):
             ids = [x + tail for x in enc.encode([t or "" for t in b.column(text_col).to_pylist()])]
             sizes = [len(x) // 2 for x in ids]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import slices, table
+from folio.llm.common import hold, slices, table
 
 FEATURES = ("word_length", "symbol_share", "symbols_per_word", "log_symbols", "dup_line_share", "repeat_share")
 #: Bound of the labelled rows that are collected to grow and calibrate the forest.
@@ -184,6 +184,7 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, judge: Judge | None, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
+            hold("quality")
             counts = np.array([text_statistics(t or "") for t in b.column(text_col).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             failed = base_failed(counts)
             anomaly = shared.value.anomaly(counts) if shared.value else np.full(len(counts), np.nan)

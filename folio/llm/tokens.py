@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import slices, table
+from folio.llm.common import hold, slices, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The pattern by which a byte-level tokenizer cuts a text before merging (fixed value of the format).
@@ -175,6 +175,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(path)
+        hold("tokens", m.known.clear)
         for b in slices(batches, text_col):
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             sizes = [len(t.encode()) for t in texts]
