@@ -30,7 +30,7 @@ from folio.llm.common import hold, slices, table
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")  # tried once per run of digits
 _NUMBER = re.compile(r"[0-9]+")
 _GROUPED = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
