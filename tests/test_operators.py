@@ -53,7 +53,7 @@ def test_sentences(spark):
         "receita_estadual: 15/02/2026 (4 dias)": "a certidão de Receita Estadual no SICAF possui validade próxima (15/02/2026, 4 dias restantes).",
         "CNPJ não extraído da requisição — verificar manualmente": "não foi possível extrair o CNPJ da requisição para validação cruzada — verificar manualmente.",
         "NC com ND genérica (339000) — Req usa 339030 — verificar DETAORC": "a NC possui ND genérica (339000), enquanto a requisição utiliza ND 339030 — verificar necessidade de DETAORC.",
-        "NC: 339030 ≠ Req: 339039 — verificar com analista": "a ND da NC (339030) diverge da ND da requisição (339039).",
+        "ND — NC: 339030 ≠ Req: 339039 — verificar com analista": "a ND da NC (339030) diverge da ND da requisição (339039).",
         "Saldo R$ 1,00 < R$ 2,00 — pode haver": "o saldo disponível para empenho é de R$ 1,00, inferior ao valor da requisição (R$ 2,00).",
         "x — URGENTE: 3 dias restantes": "o prazo de empenho da NC possui apenas 3 dias restantes — urgente.",
         "Impedimento de Licitar: Consta": "consta impedimento de licitar no SICAF.",
