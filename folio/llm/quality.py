@@ -152,7 +152,9 @@ def calibrate(good: np.ndarray, bad: np.ndarray, max_loss: float = MAX_LOSS) ->
     lost = 1 - np.searchsorted(np.sort(good), cuts, side="right") / len(good)
     caught = 1 - np.searchsorted(np.sort(bad), cuts, side="right") / len(bad)
     gain = np.where(lost <= max_loss, caught - lost, -1)
-    return float(cuts[len(cuts) - 1 - int(np.argmax(gain[::-1]))])
+    best = len(cuts) - 1 - int(np.argmax(gain[::-1]))
+    above = cuts[best + 1] if best + 1 < len(cuts) else cuts[best] + 1e-6
+    return float((cuts[best] + above) / 2)  # between two scores, so that rounding decides nothing
 
 
 def informative(x: np.ndarray, y: np.ndarray, least: float = 0.1) -> list[int]:
