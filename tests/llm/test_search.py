@@ -133,7 +133,7 @@ def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(9)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
     docs = [(i, " ".join(word() for _ in range(90)) + (" me@x.org" if i % 9 == 0 else ""), "en", f"s{i % 3}", 0) for i in range(120)]
     docs += [(500 + i, t, *rest) for i, (_, t, *rest) in enumerate(docs[:30])]
     docs += [(900 + i, " ".join(word() + "###" for _ in range(90)), "en", "s0", 0) for i in range(20)]
