@@ -16,14 +16,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a temporary folder only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share. Where that is unset, a temporary folder serves a
+    local session, as in tests; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder whose tables nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores in front as it takes to differ from all columns, however they are capitalised."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, sizes are real, a lost executor costs nothing."""
     spark = df.sparkSession

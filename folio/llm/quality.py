@@ -2,12 +2,15 @@
 
 Each text gives counts (words, characters in words, symbols, repeated lines, words in repeated three-word
 windows). A hard base rule rejects short or repetitive texts. For the rest, an isolation forest measures how
-few random splits isolate a document's statistics: it is grown on those statistics that
-tell a bounded sample of labelled rows apart, and the anomaly score beyond which a document goes is calibrated on labelled rows.
+few random splits isolate a document's statistics. It is grown on one half of a bounded sample of rows labelled
+good, on those statistics that tell labelled rows apart; splits fall anywhere in a node's box, which at the root spans all
+labelled rows, so that where no good row lies, a row is alone after few splits. The other half and the rows labelled bad
+calibrate the score beyond which a document goes.
 
 Nulls: a null text has no words and fails the base rule. Labels with a null id or quality are left out; of
-several labels for one id the lowest counts. Without labelled rows of both kinds only the base rule rejects.
-Repeated rows are judged each. An empty table gives no rows. Other columns are ignored.
+several labels for one id the lowest counts, of several texts for one id the one with the least counts. Without
+labelled rows of both kinds only the base rule rejects. Repeated rows are judged each. An empty table gives no rows.
+``judge`` carries other columns along, but for those that bear the name of a column it adds; ``keep`` changes none.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ FEATURES = ("word_length", "symbol_share", "symbols_per_word", "log_symbols", "d
 #: Bound of the labelled rows that are collected to grow and calibrate the forest.
 MAX_FIT = 20_000
 TREES, SAMPLE, SEED = 100, 256, 17
-#: Share of the labelled good rows that calibration may reject at most.
+#: Splits from the root to a leaf at most; a split that parts nothing counts too.
+DEPTH = 24
+#: Share of the labelled good rows that calibration may reject at most; one row may always go.
 MAX_LOSS = 0.01
 
 
@@ -119,26 +124,30 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(float(average_path(self.sample)), 1e-9))
 
 
-def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
+def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, low: np.ndarray | None = None, high: np.ndarray | None = None, depth: int = DEPTH) -> Forest:
+    """Trees over samples of ``x``. Every node has a box, at the root from ``low`` to ``high`` (else around ``x``), and splits it
+    anywhere along one side; a node with one row or none is a leaf."""
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
-    depth = int(np.ceil(np.log2(max(sample, 2))))
+    low = x.min(0) if low is None else np.minimum(low, x.min(0))
+    high = x.max(0) if high is None else np.maximum(high, x.max(0))
     built = []
     for _ in range(trees):
         nodes: list[list[float]] = [[-1, 0.0, 0, 0.0]]
-        todo = [(0, x[rng.choice(len(x), sample, replace=False)], 0)]
+        todo = [(0, x[rng.choice(len(x), sample, replace=False)], low, high, 0)]
         while todo:
-            at, rows, level = todo.pop()
-            low, high = rows.min(0), rows.max(0)
-            able = np.flatnonzero(high > low)
+            at, rows, lo, hi, level = todo.pop()
+            able = np.flatnonzero(hi > lo)
             if level >= depth or len(rows) < 2 or not len(able):
                 nodes[at][3] = level + float(average_path(len(rows)))
                 continue
             f = int(rng.choice(able))
-            v = float(rng.uniform(low[f], high[f]))
+            v = float(rng.uniform(lo[f], hi[f]))
             less = rows[:, f] < v
             nodes[at][:3] = [f, v, len(nodes)]
-            todo += [(len(nodes), rows[less], level + 1), (len(nodes) + 1, rows[~less], level + 1)]
+            below, above = hi.copy(), lo.copy()
+            below[f] = above[f] = v
+            todo += [(len(nodes), rows[less], lo, below, level + 1), (len(nodes) + 1, rows[~less], above, hi, level + 1)]
             nodes += [[-1, 0.0, 0, level + 1.0], [-1, 0.0, 0, level + 1.0]]
         built.append(np.array(nodes))
     width = max(map(len, built))
@@ -147,11 +156,11 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SE
 
 
 def calibrate(good: np.ndarray, bad: np.ndarray, max_loss: float = MAX_LOSS) -> float:
-    """The score above which a document goes: rejects most bad rows per good row lost, and at most ``max_loss`` of the good."""
+    """The score above which a document goes: rejects most bad rows per good row lost, and at most ``max_loss`` of the good, or one."""
     cuts = np.unique(np.r_[good, bad])
     lost = 1 - np.searchsorted(np.sort(good), cuts, side="right") / len(good)
     caught = 1 - np.searchsorted(np.sort(bad), cuts, side="right") / len(bad)
-    gain = np.where(lost <= max_loss, caught - lost, -1)
+    gain = np.where(lost <= max(max_loss, 1 / len(good)) + 1e-9, caught - lost, -1)
     best = len(cuts) - 1 - int(np.argmax(gain[::-1]))
     above = cuts[best + 1] if best + 1 < len(cuts) else cuts[best] + 1e-6
     return float((cuts[best] + above) / 2)  # between two scores, so that rounding decides nothing
@@ -179,47 +188,53 @@ class Judge:
         return self.forest.score(features(counts)[:, self.used])
 
 
+def _shared(docs: DataFrame, judge: Judge | None):
+    return docs.sparkSession.sparkContext.broadcast(judge)  # TREES trees of a few hundred nodes
+
+
+def _verdicts(texts: pa.Array, judge: Judge | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, base rule, anomaly (NaN without a forest) and verdict of texts."""
+    counts = np.array([text_statistics(t or "") for t in texts.to_pylist()], np.int64).reshape(-1, len(COUNTS))
+    failed = base_failed(counts)
+    anomaly = judge.anomaly(counts) if judge else np.full(len(counts), np.nan)
+    return counts, failed, anomaly, ~failed & (anomaly <= judge.most) if judge else ~failed
+
+
 def _counted(docs: DataFrame, id_col: str, text_col: str, judge: Judge | None, keep_text: bool) -> DataFrame:
     """The rows with their counts, ``base_failed``, ``anomaly`` and ``kept``; one map over the texts."""
-    kept_columns = [c for c in docs.columns if keep_text or c != text_col]
-    shared = docs.sparkSession.sparkContext.broadcast(judge)  # TREES * 2 * SAMPLE nodes at most
+    added = (*COUNTS, "base_failed", "anomaly", "kept")
+    carried = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]
+    places = [docs.columns.index(c) for c in carried]
+    at, shared = docs.columns.index(text_col), _shared(docs, judge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
             hold("quality")
-            counts = np.array([text_statistics(t or "") for t in b.column(text_col).to_pylist()], np.int64).reshape(-1, len(COUNTS))
-            failed = base_failed(counts)
-            anomaly = shared.value.anomaly(counts) if shared.value else np.full(len(counts), np.nan)
-            kept = ~failed & (anomaly <= shared.value.most) if shared.value else ~failed
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in kept_columns), *(pa.array(c) for c in counts.T.copy()), pa.array(failed), pa.array(anomaly, mask=np.isnan(anomaly)), pa.array(kept)],
-                [*kept_columns, *COUNTS, "base_failed", "anomaly", "kept"],
-            )
+            counts, failed, anomaly, kept = _verdicts(b.column(at), shared.value)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), *(pa.array(c) for c in counts.T.copy()), pa.array(failed), pa.array(anomaly, mask=np.isnan(anomaly)), pa.array(kept)], [*carried, *added])
 
     types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in kept_columns] + [f"{c} long" for c in COUNTS] + ["base_failed boolean", "anomaly double", "kept boolean"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + [f"{c} long" for c in COUNTS] + ["base_failed boolean", "anomaly double", "kept boolean"])
     return docs.mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> Judge | None:
-    """Forest and threshold from at most about ``max_fit`` labelled rows that pass the base rule, drawn by a hash of the id."""
+    """Forest and threshold from the labelled rows that pass the base rule, at most ``max_fit``, taken in order of a hash of the id."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    n = known.count()
-    if not n:
-        return None
-    share = min(1.0, max_fit / n)
-    drawn = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_fit)
-    some = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)  # 2 * max_fit ids at most
-    sample = _counted(some, id_col, text_col, None, False).filter(~F.col("base_failed")).dropDuplicates([id_col]).collect()
-    sample.sort(key=lambda r: r[id_col])
-    counts = np.array([[r[c] for c in COUNTS] for r in sample], np.int64).reshape(-1, len(COUNTS))
-    y = np.array([r.quality for r in sample])
-    if not (y == 1).any() or not (y == 0).any():
+    drawn = known.orderBy(F.xxhash64(id_col), id_col).limit(max_fit).select(F.col(id_col).alias("id"), F.col("quality").alias("label"))
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")  # max_fit ids at most
+    passed = _counted(some, "id", "text", None, False).filter(~F.col("base_failed"))
+    sample = passed.groupBy("id", "label").agg(F.min(F.struct(*COUNTS)).alias("counts"), F.xxhash64("id").alias("hash")).orderBy("hash", "id").collect()
+    counts = np.array([list(r.counts) for r in sample], np.int64).reshape(-1, len(COUNTS))
+    y = np.array([r.label for r in sample])
+    good = np.flatnonzero(y == 1)
+    if len(good) < 2 or not (y == 0).any():
         return None
     x = features(counts)
     used = informative(x, y)
-    forest = grow(x[:, used])
-    return Judge(forest, used, calibrate(forest.score(x[y == 1][:, used]), forest.score(x[y == 0][:, used])))
+    x = x[:, used]
+    forest = grow(x[good[::2]], low=x.min(0), high=x.max(0))
+    return Judge(forest, used, calibrate(forest.score(x[good[1::2]]), forest.score(x[y == 0])))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -227,6 +242,18 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return _counted(docs, id_col, text_col, fit(docs, labels, id_col, text_col), keep_text)
 
 
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that are kept, with their own columns alone."""
+    shared, at = _shared(docs, fit(docs, labels, id_col, text_col)), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            hold("quality")
+            yield b.filter(pa.array(_verdicts(b.column(at), shared.value)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
