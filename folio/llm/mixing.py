@@ -6,15 +6,17 @@ taken, and the fractions are rounded by the pivotal method: two fractional docum
 the other at random (fair in expectation) until one of them is integral, and the other goes on. So a source's
 words are kept at each meeting; only its last document is rounded to the nearer side.
 
-The meetings form a tree: documents of one size class (a power of two) fall into ``buckets`` by a hash of source and
-id, each bucket leaves one fractional document a source and class, and these meet again, ``fan_in`` buckets at a
+The meetings form a tree: documents of one size class (a power of two) fall into ``buckets`` by a hash of source, id, size
+and a number that tells equal ones apart, each bucket leaves one fractional document a source and class, and these meet again, ``fan_in`` buckets at a
 time. At the root the few that are left of all classes meet, the largest first: each is settled against smaller ones, so
 that the very last is small. Documents over a sixteenth of their source are settled before all others, which then
-share what is left of the target. A source with a third of all rows is so spread over all buckets. Only (source, id, size) is shuffled, never a text. Random numbers depend on
-source, bucket and level alone, and documents meet in a fixed order, so that reruns agree.
+share what is left of the target. A source, or an id, with a third of all rows is so spread over all buckets. Only (source,
+id, size) is shuffled, counted before, never a text. Random numbers depend on source, bucket and level alone, and documents meet
+in a fixed order, so that reruns agree, however the rows are partitioned.
 
 Nulls: a null text has size 0; the null source is a source, ranked last; a null id is an id. Repeated rows
-are documents each. Documents of size 0 are not taken. An empty table gives no rows.
+are documents each; of rows with one id, source and size it is not said which is taken how often. Documents of size 0 are
+not taken. An empty table gives no rows. Other columns are ignored by ``mix`` and carried along by ``take``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, n_words, scratch_dir, table
+from folio.llm.common import free_name, materialize, n_words, scratch_dir, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -36,8 +38,10 @@ LARGE = 16
 SEED = 29
 #: Up to so many sources their table is broadcast (about 100 bytes a row); beyond, it is joined by shuffle.
 SMALL_SOURCES = 50_000
-#: Up to so many rows of (id, source, size, copies), about 100 bytes each, are broadcast.
+#: Up to so many rows of (row number, copies), about 50 bytes each, are broadcast.
 SMALL_ROWS = 500_000
+#: Equal rows that one task numbers at once.
+REPEATS = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -146,16 +150,31 @@ def _round_groups(level: int):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS, fan_in: int = FAN_IN, keep: list[str] | None = None) -> DataFrame:
-    """(id, source, size, source_size, target, copies) of every row; ``keep`` names further columns to carry along."""
-    spark = docs.sparkSession
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS, fan_in: int = FAN_IN) -> DataFrame:
+    """(id, source, size, source_size, target, copies) of every row."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    return _mix(sized, weights, most, buckets, fan_in).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
+
+
+def _numbered(counted: DataFrame) -> DataFrame:
+    """(id, source, size, n) to n rows each, with ``nth`` from 0; a large n is dealt in blocks of ``REPEATS`` first."""
+    last = lambda block: F.least(F.col("n"), (block + 1) * REPEATS) - 1
+    one = F.lit(0).cast("long")
+    few = counted.filter(F.col("n") <= REPEATS).withColumn("nth", F.explode(F.sequence(one, last(one))))
+    many = counted.filter(F.col("n") > REPEATS).withColumn("block", F.explode(F.sequence(one, F.floor((F.col("n") - 1) / REPEATS))))
+    many = many.repartition("id", "source", "size", "block").withColumn("nth", F.explode(F.sequence(F.col("block") * REPEATS, last(F.col("block")))))
+    return few.unionByName(many.drop("block")).drop("n")
+
+
+def _mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS, fan_in: int = FAN_IN) -> DataFrame:
+    """(id, source, size, nth, source_size, target, copies) from (id, source, size); ``nth`` numbers equal rows from 0."""
+    spark = sized.sparkSession
     base = scratch_dir(spark)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *(keep or []))
-    narrow = materialize(narrow, f"{base}/sizes")
-    wanted = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    counted = materialize(sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")), f"{base}/sizes")
+    wanted = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     wanted = materialize(wanted, f"{base}/targets")
     wanted = F.broadcast(wanted) if wanted.count() <= SMALL_SOURCES else wanted.hint("merge")
-    rows = narrow.join(wanted.withColumnRenamed("source", "same"), F.col("source").eqNullSafe(F.col("same"))).drop("same")
+    rows = _numbered(counted).join(wanted.withColumnRenamed("source", "same"), F.col("source").eqNullSafe(F.col("same"))).drop("same")
     rows = rows.withColumns({"group": F.lit(0), "open": F.lit(False)})
 
     def shared(df: DataFrame, words: F.Column, over: F.Column) -> DataFrame:
@@ -166,7 +185,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     # the few documents that are a large part of their source are settled first; the others share what these leave of the target
     large = F.col("size") * LARGE > F.col("source_size")
     first = shared(rows.filter(large), F.col("target"), F.col("source_size"))
-    first = first.repartition("source").sortWithinPartitions("source", F.desc("size"), "id")
+    first = first.repartition("source").sortWithinPartitions("source", F.desc("size"), "id", "nth")
     first = materialize(first.mapInArrow(_round_groups(-1), first.schema).withColumn("part", F.round("part")), f"{base}/large")
     took = first.groupBy(F.col("source").alias("same")).agg(F.sum((F.col("copies") + F.col("part")) * F.col("size")).alias("took"), F.sum("size").alias("held"))
     took = materialize(took, f"{base}/took")
@@ -174,11 +193,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = rows.filter(~large).join(took, F.col("source").eqNullSafe(F.col("same")), "left").na.fill(0, ["took", "held"])
     rows = shared(rows, F.col("target") - F.col("took"), F.col("source_size") - F.col("held")).drop("same", "took", "held")
     size_class = F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(0)  # under 64
-    rows = rows.withColumns({"group": (F.pmod(F.xxhash64("source", "id"), F.lit(buckets)) * 64 + size_class).cast("int"), "open": F.lit(False)})
+    rows = rows.withColumns({"group": (F.pmod(F.xxhash64("source", "id", "size", "nth"), F.lit(buckets)) * 64 + size_class).cast("int"), "open": F.lit(False)})
     done, level, groups = [first], 0, buckets
     while True:
         # larger documents meet first, so that what is left at the end is small
-        ordered = rows.repartition("source", "group").sortWithinPartitions("source", "group", F.desc("size"), "id")
+        ordered = rows.repartition("source", "group").sortWithinPartitions("source", "group", F.desc("size"), "id", "nth")
         rounded = materialize(ordered.mapInArrow(_round_groups(level), ordered.schema), f"{base}/level={level}")
         done.append(rounded.filter(~F.col("open")))
         rows = rounded.filter("open")
@@ -190,23 +209,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     out = rows.withColumn("part", F.round("part"))
     for d in done:
         out = out.unionByName(d)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("copies") + F.col("part")).cast("int").alias("copies"), *(keep or []))
+    return out.select("id", "source", "size", "nth", "source_size", "target", (F.col("copies") + F.col("part")).cast("int").alias("copies"))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mixed rows themselves, each repeated as often as it is taken."""
-    mixed = materialize(mix(docs, id_col, source_col, text_col)).select(F.col(id_col), F.col(source_col), "size", "copies")
-    keys = [id_col, source_col, "size"]
-    nth = Window.partitionBy(*keys).orderBy("copies")
-    if mixed.groupBy(*keys).count().filter(F.col("count") > 1).isEmpty():
-        rows, keys = docs.withColumn("size", n_words(F.col(text_col))), [id_col, source_col, "size"]
-    else:  # rows of one id, source and size: each gets one of their numbers of copies
-        rows = docs.withColumn("size", n_words(F.col(text_col))).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(text_col)))
-        mixed, keys = mixed.withColumn("nth", F.row_number().over(nth)), [*keys, "nth"]
-    mixed = mixed.filter(F.col("copies") > 0).select(*(F.col(k).alias(f"same_{k}") for k in keys), "copies")
-    mixed = F.broadcast(mixed) if mixed.count() <= SMALL_ROWS else mixed.hint("shuffle_merge")
-    on = [F.col(k).eqNullSafe(F.col(f"same_{k}")) for k in keys]
-    return rows.join(mixed, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """The mixed rows themselves, each repeated as often as it is taken; their columns stay as they are."""
+    row = free_name(docs.columns, "row")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    sized = materialize(keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    mixed = materialize(_mix(sized.select("id", "source", "size")))
+    # rows of one id, source and size are numbered within their partition, and partitions follow each other
+    keys = ["id", "source", "size"]
+    sized = sized.withColumn("part", F.shiftright("row", 33))
+    within = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("row")) - 1
+    before = sized.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = before.select(*(F.col(k).alias(f"_{k}") for k in (*keys, "part")), start.alias("start"))
+    same = lambda names: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]
+    placed = sized.withColumn("within", within).join(before.hint("shuffle_merge"), same([*keys, "part"])).select("row", *keys, (F.col("within") + F.col("start")).alias("nth"))
+    mixed = mixed.filter(F.col("copies") > 0).select(*(F.col(k).alias(f"_{k}") for k in (*keys, "nth")), "copies")
+    taken = materialize(placed.join(mixed.hint("shuffle_merge"), same([*keys, "nth"])).select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(free_name([*docs.columns, row], "times"))))
+    times = taken.columns[1]
+    taken = F.broadcast(taken) if taken.count() <= SMALL_ROWS else taken.hint("shuffle_merge")
+    return keyed.join(taken, row).withColumn(times, F.explode(times)).select(docs.columns)
 
 
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
