@@ -14,8 +14,9 @@ over ``cluster_weight`` is dealt into blocks whose pairs are tasks of their own;
 same distributed component search as the loose ones.
 
 Nulls: a text that is null or without words has an empty set and is linked with nothing. A text of one to
-four words is one shingle, its whole sequence. Rows that share an id are one document for linking. An empty
-table gives no rows. Other columns are ignored.
+four words is one shingle, its whole sequence. For ``link``, rows that share an id are one document, and a row
+without an id is linked with nothing and kept; ``deduplicate`` looks at rows, whatever their ids. An empty table
+gives no rows. Other columns are ignored by ``link`` and carried along by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import hold, materialize, scratch_dir, slices, table
+from folio.llm.common import free_name, hold, materialize, scratch_dir, slices, table
 
 WORDS = 5
 PERCENT = 75
@@ -297,17 +298,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the document with the smallest id, once."""
-    linked = materialize(link(docs, id_col, text_col))
-    gone = linked.filter(~F.col("kept")).select(id_col).distinct()
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id, once; a null id comes last.
+
+    Rows are told apart by a number of their own, so that unlike texts under one id, or under none, all stay."""
+    row = free_name(docs.columns, "row")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    linked = materialize(link(keyed.select(F.col(row).alias("id"), F.col(text_col).alias("text")), "id", "text"))
+    copies = linked.filter(~F.col("kept")).select("id", F.col("component_id").alias("comp"))
+    members = materialize(copies.unionByName(copies.select("comp").distinct().select(F.col("comp").alias("id"), "comp")))
+    named = members.hint("shuffle_merge").join(keyed.select(F.col(row).alias("id"), F.col(id_col).alias("name")), "id")
+    first = named.groupBy("comp").agg(F.min(F.struct(F.col("name").isNull().alias("last"), "name", "id")).alias("first"))
+    gone = members.select("id").join(first.select(F.col("first.id").alias("id")).hint("shuffle_merge"), "id", "left_anti")
+    gone = materialize(gone.select(F.col("id").alias(row)))
     gone = F.broadcast(gone) if gone.count() <= SMALL_IDS else gone.hint("shuffle_merge")
-    left = docs.join(gone, id_col, "left_anti")
-    again = materialize(linked.filter("kept").groupBy(id_col).count().filter(F.col("count") > 1).select(id_col))
-    if again.isEmpty():
-        return left.select(docs.columns)
-    again = F.broadcast(again) if again.count() <= SMALL_IDS else again.hint("shuffle_merge")
-    once = left.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    return left.join(again, id_col, "left_anti").unionByName(once).select(docs.columns)
+    return keyed.join(gone, row, "left_anti").select(docs.columns)
 
 
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
