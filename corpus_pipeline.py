@@ -1,7 +1,10 @@
 """The training-data pipeline: quality rules, near-duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that the next one gets, written as Parquet and
-read again; all but the last keep the columns of ``documents``.
+read again; all but the last keep the columns of ``documents``, and any others, as they are.
+
+Nulls: a null text fails the quality rules; a null id or source stays one. Rows that share an id are rows each. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from folio.llm.common import materialize, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or look anomalous go."""
-    return quality.judge(docs, table(spark, sf_dir, "labels"), keep_text=True).filter("kept").select(docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind."""
-    out = pii.spans_of(docs, mask="<{kind}>").drop("base", "spans")
+    out = pii.masked(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(docs.columns)
