@@ -9,13 +9,13 @@ boundary record is simply the piece that starts there. Only the last window may
 padding elsewhere.
 
 Nulls: a null text is packed as an empty one, whose only id is the end mark. Repeated rows and ids are
-packed each. An empty table gives no rows. Long texts make many pieces and are never cut short.
+packed each. An empty table gives no rows. Long texts make many pieces and are never cut short. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -23,96 +23,79 @@ from itertools import accumulate
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.bpe import Merges
 from folio.llm.common import hold, materialize, scratch_dir, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 LENGTH = 4096
 END_ID = 2
-KEEP_CHARS = 64
-KEEP_ENTRIES = 600_000
-#: Control characters that only Python takes for white space (fixed values).
-_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words that are encoded at once.
+CHUNK_WORDS = 700_000
+#: A word of Latin-1 letters and the ASCII marks behind it, but for the apostrophe and ``<``.
+_PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:;=-@\\[-`{-~]*)$"
 
 
-#: A word of lower-case Latin-1 letters and the marks behind it; such marks hold no apostrophe and no ``<``.
-_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]{1,64})([,.;:!?]*)")
-
-
-def _lower(text: str) -> str:
-    """Lower case where that is the same as the vocabulary's own: Latin-1 letters, and no special string may appear by it."""
-    if "<|" in text:
-        return text
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-    return text.lower()
+def _gather(values: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The pieces ``pick`` of values that lie end to end, ``lengths`` each."""
+    starts, n = np.cumsum(lengths) - lengths, lengths[pick]
+    return values[np.repeat(starts[pick] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 class WordEncoder:
-    """Ids of texts by the library, remembered per word: this vocabulary drops white space and no token reaches over it."""
+    """Ids of texts as the library gives them, by distinct word: this vocabulary drops white space and no token reaches over it.
+
+    A plain word is one pre-token of letters, in lower case, and one of marks; these are merged together in numpy.
+    Any other word goes through the library. Nothing is remembered from one chunk of words to the next."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.parts.clear()
-
-    def _part(self, part: str) -> bytes:
-        """Ids of one pre-token, by the library's merging model alone; its letters stand for UTF-8 bytes."""
-        ids = self.parts.get(part)
-        if ids is None:
-            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u2").tobytes()
-        return ids
-
-    def _learn(self, words: list[str]) -> None:
-        """Plain words, with or without marks behind them, are two pre-tokens that need no normalizing but lower case;
-        any other word goes through the whole library."""
-        rest = []
-        for w in words:
-            if plain := _PLAIN.fullmatch(w.lower()):
-                letters, marks = plain.groups()
-                self.known[w] = self._part(letters) + self._part(marks) if marks else self._part(letters)
-            else:
-                rest.append(w)
-        for at in range(0, len(rest), 10_000):
-            some = rest[at : at + 10_000]
-            self.known.update(zip(some, self._library(some), strict=True))
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.merges = Merges.load(path)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each has."""
+        parts = pc.extract_regex(words, _PLAIN)
+        plain = parts.is_valid()
+        parts, rest = parts.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        letters = pc.utf8_lower(parts.field("letters")).dictionary_encode()
+        marks = parts.field("marks").dictionary_encode()
+        ids, sizes = self.merges.merge(pa.concat_arrays([letters.dictionary, marks.dictionary]))
+        pair = np.column_stack([letters.indices.to_numpy(), marks.indices.to_numpy() + len(letters.dictionary)]).ravel()
+        of_plain = sizes[pair].reshape(-1, 2).sum(1)
+        other = [self.tokenizer.encode_batch_fast(rest[at : at + 1000], add_special_tokens=False) for at in range(0, len(rest), 1000)]
+        of_rest = [np.array(e.ids, np.int64) for some in other for e in some]
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), np.int64)  # plain words come first
+        place[is_plain], place[~is_plain] = np.arange(len(of_plain)), len(of_plain) + np.arange(len(rest))
+        values = np.concatenate([_gather(ids, sizes, pair), *of_rest])
+        lengths = np.concatenate([of_plain, np.fromiter(map(len, of_rest), np.int64, len(rest))])
+        return _gather(values, lengths, place), lengths[place]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end (unsigned 16-bit numbers, as the vocabulary has fewer than 65,536), and how many each has."""
+        split = pc.ascii_split_whitespace(texts)
+        flat, bounds = split.flatten(), split.offsets.to_numpy()
+        ids, sizes = [np.zeros(0, np.uint16)], np.zeros(len(flat), np.int32)
+        for at in range(0, len(flat), CHUNK_WORDS):
+            known = flat.slice(at, CHUNK_WORDS).dictionary_encode()
+            values, n = self._distinct(known.dictionary)
+            pick = known.indices.to_numpy()
+            ids.append(_gather(values.astype(np.uint16), n, pick))
+            sizes[at : at + len(pick)] = n[pick]
+        total = np.r_[0, np.cumsum(sizes)]
+        return np.concatenate(ids), total[bounds[1:] - bounds[0]] - total[bounds[:-1] - bounds[0]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit numbers (the vocabulary has fewer than 65,536)."""
-        if len(self.known) > KEEP_ENTRIES:
-            self.known.clear()
-        odd = [any(c in t for c in _PYTHON_SPACE) for t in texts]
-        texts = [_lower(t) for t in texts]
-        words = [None if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        fresh = list({w for ws in words if ws for w in ws if w not in self.known})
-        self._learn(fresh)
-        get = self.known.__getitem__
-        out = [self._library([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
-        for w in fresh:
-            if len(w) > KEEP_CHARS:
-                del self.known[w]
-        if len(self.parts) > KEEP_ENTRIES:
-            self.parts.clear()
-        return out
+        """Ids of each text as little-endian unsigned 16-bit numbers."""
+        ids, sizes = self.encode_array(pa.array(texts, pa.string()))
+        return [x.astype("<u2").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -129,18 +112,20 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, part int, part_start long, doc_tokens long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, tail = TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
+        part, at = TaskContext.get().partitionId(), 0
         enc = encoder(path)
-        hold("packing", enc.forget)
         for b in slices(batches, text_col):
-            ids = [x + tail for x in enc.encode([t or "" for t in b.column(text_col).to_pylist()])]
-            sizes = [len(x) // 2 for x in ids]
-            starts = [at, *(at + s for s in accumulate(sizes))]
-            at = starts.pop()
+            hold("packing")
+            ids, sizes = enc.encode_array(pc.fill_null(b.column(text_col), ""))
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes += 1
+            bounds = np.r_[0, np.cumsum(sizes)]
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(2 * bounds), pa.py_buffer(ids)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column(id_col), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                [b.column(id_col), pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + bounds[:-1]), pa.array(sizes), data],
                 [id_col, "part", "part_start", "doc_tokens", "ids"],
             )
+            at += int(bounds[-1])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

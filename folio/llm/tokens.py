@@ -3,10 +3,12 @@
 Texts are cut into pre-tokens; the distinct pre-tokens of a batch lie end to end in one numpy array of
 symbols. Each round looks up the rank of every neighbouring pair, finds each sequence's lowest rank and
 merges all its occurrences at once; a sequence is done when none of its pairs has a rank. The symbols that
-survive are its tokens. Counts agree with the vocabulary's own library, special strings included.
+survive are its tokens. A pre-token of over ``bpe.LONG`` bytes is worked rank by rank, in time near to linear.
+Counts agree with the vocabulary's own library, special strings included.
 
 Nulls count as empty texts (0 bytes, 0 tokens). Repeated rows are counted each. An empty table gives no
-rows. Whole texts are read, however long; pre-tokens over ``KEEP_CHARS`` characters are not remembered.
+rows. Whole texts are read, however long; pre-tokens over ``KEEP_CHARS`` characters are not remembered. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.bpe import Merges
 from folio.llm.common import hold, slices, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,14 +30,6 @@ TOKENIZER = "byte_bpe_50k.json"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEEP_CHARS = 64
 KEEP_ENTRIES = 1_000_000
-_NONE = np.int64(1) << 40
-
-
-def _byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 #: White space other than blank and line feed, wherever Unicode or Python sees any.
@@ -55,77 +49,18 @@ class ArrayMerger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = spec["model"]["vocab"]
-        letters = _byte_letters()
-        self.symbol = np.zeros(256, np.int64)
-        for letter, byte in letters.items():
-            self.symbol[byte] = vocab[letter]
-        self.width = np.int64(max(vocab.values()) + 1)
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        keys = np.array([vocab[a] * int(self.width) + vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
-        # most keys are found by one look into a table of hashes; a key whose place is taken is found by bisection
-        self.place = np.zeros(1 << 18, np.int32)
-        hashed = self._hash(self.keys)
-        _, first = np.unique(hashed, return_index=True)
-        self.place[hashed[first]] = first
-        self.shared = np.zeros(1 << 18, bool)
-        self.shared[np.delete(hashed, first)] = True
-        specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.merges = Merges(spec)
+        specials = [t["content"] for t in spec.get("added_tokens") or []]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.specials = specials
         self.cut = regex.compile(PRETOKEN)
         self.known: dict[str, int] = {}
 
-    @staticmethod
-    def _hash(key: np.ndarray) -> np.ndarray:
-        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-
-    def _rank(self, key: np.ndarray) -> np.ndarray:
-        """The rank of each pair, or ``_NONE``."""
-        hashed = self._hash(key)
-        at = self.place[hashed]
-        other = np.flatnonzero(self.shared[hashed] & (self.keys[at] != key))
-        at[other] = np.minimum(np.searchsorted(self.keys, key[other]), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
-
-    def merge(self, pretokens: list[bytes]) -> np.ndarray:
-        """Number of symbols that survive in each pre-token."""
-        sizes = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
-        out = sizes.copy()
-        sym = self.symbol[np.frombuffer(b"".join(pretokens), np.uint8)]
-        seq = np.repeat(np.arange(len(pretokens)), sizes)
-        while len(sym) > 1:
-            inside = seq[1:] == seq[:-1]
-            rank = np.where(inside, self._rank(sym[:-1] * self.width + sym[1:]), _NONE)
-            starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-            least = np.minimum.reduceat(np.r_[rank, _NONE], starts)
-            alive = least < _NONE
-            if not alive.any():
-                break
-            lengths = np.diff(np.r_[starts, len(sym)])
-            lowest = np.repeat(least, lengths)
-            hit = np.flatnonzero((rank == lowest[:-1]) & (rank < _NONE))
-            # of overlapping occurrences (a run of one symbol) every second merges, from the left
-            gap = np.r_[True, np.diff(hit) > 1]
-            run_start = hit[gap][np.cumsum(gap) - 1]
-            hit = hit[(hit - run_start) % 2 == 0]
-            sym[hit] = self.made[rank[hit]]
-            keep = np.ones(len(sym), bool)
-            keep[hit + 1] = False
-            keep &= np.repeat(alive, lengths)
-            gone = np.bincount(seq[hit], minlength=len(out))
-            out -= gone
-            sym, seq = sym[keep], seq[keep]
-        return out
-
     def _learn(self, chunks: set[str]) -> dict[str, int]:
         """Token counts of chunks, all their distinct pre-tokens merged together."""
         cuts = {c: self.cut.findall(c) for c in chunks}
         distinct = list({p for ps in cuts.values() for p in ps})
-        n = dict(zip(distinct, self.merge([p.encode() for p in distinct]).tolist(), strict=True)) if distinct else {}
+        n = dict(zip(distinct, self.merges.merge(pa.array(distinct, pa.string()))[1].tolist(), strict=True)) if distinct else {}
         return {c: sum(map(n.__getitem__, ps)) for c, ps in cuts.items()}
 
     def count(self, texts: list[str]) -> list[int]:

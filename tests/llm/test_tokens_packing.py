@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import defaultdict
 
@@ -29,6 +30,32 @@ def test_ids_agree_with_the_library(text):
     assert np.frombuffer(got, "<u2").tolist() == PACK.encode(text, add_special_tokens=False).ids
 
 
+MARKED = st.lists(st.sampled_from(["a", "Zebra", "ÉCOLE", "ÿ", "Ÿ", "K", "İ", "$", "%", "_", "^", "`", "[", "]", "\\", "/", "-", "&", "'", "<", "|", "9", ".", " ", "\xad", "\xa0", "e\u0301", "\u0301"]), max_size=10).map("".join)
+
+
+@given(MARKED)
+@settings(max_examples=500, deadline=None)
+def test_marked_words_agree_with_the_library(text):
+    got = packing.encoder(public_tokenizers.path(packing.TOKENIZER)).encode([text])[0]
+    assert np.frombuffer(got, "<u2").tolist() == PACK.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "é漢a"])
+@pytest.mark.parametrize("size", [2049, 30_000])
+def test_long_pretokens_agree_with_the_library(letters, size):
+    text = "".join(np.random.default_rng(size).choice(list(letters), size))
+    assert tokens.merger(public_tokenizers.path(tokens.TOKENIZER)).count([text]) == [len(COUNT.encode(text, add_special_tokens=False).ids)]
+    got = packing.encoder(public_tokenizers.path(packing.TOKENIZER)).encode([text])[0]
+    assert np.frombuffer(got, "<u2").tolist() == PACK.encode(text, add_special_tokens=False).ids
+
+
+def test_a_pretoken_of_a_million_letters_is_no_square():
+    text = "".join(np.random.default_rng(1).choice(list("etaoinshrdlu"), 1_000_000))
+    start = time.process_time()
+    tokens.merger(public_tokenizers.path(tokens.TOKENIZER)).count([text])
+    assert time.process_time() - start < 30
+
+
 def documents(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "word " * 3000)]
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).repartition(3)
