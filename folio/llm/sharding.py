@@ -1,13 +1,15 @@
 """Sharding by fixed virtual slots.
 
 Records hash into ``n_slots`` fixed slots, bytes are summed per slot, and a versioned slot-to-shard map
-says where each slot lives. Version 1 deals the slots in equal ranges; rebalancing edits the map, moving
-slots from the fullest to the emptiest shard until the bytes are near equal, and stores the next version.
+says where each slot lives. Version 1 deals the slots in equal ranges; rebalancing edits the newest version, moving
+slots from the fullest to the emptiest shard until the bytes are near equal, and stores the next one. With a
+``map_path`` the versions stay there, and a later run starts from the newest: only slots that must move do.
 Only DataFrame functions touch the rows; the driver sees one total per slot.
 
 Nulls: a null text has 0 bytes (size 1) and checksum 0; a null id is hashed like any other. Repeated rows
 are separate records. An empty table gives no rows. A slot that alone holds more than ``1 / (hot_parts *
-n_shards)`` of the bytes (one id repeated in a third of all rows, say) is split into ``salts`` sub-slots.
+n_shards)`` of the bytes or of the rows (one id repeated in a third of all rows, say) is split into ``salts`` sub-slots,
+by a number that the written digest of the rows holds. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,14 +68,36 @@ def rebalance(slot_map: SlotMap, load: list[int]) -> SlotMap:
     return replace(slot_map, version=slot_map.version + 1, shard_of=tuple(shard_of), moved=tuple(moved))
 
 
-def store(spark: SparkSession, slot_map: SlotMap, path: str) -> str:
-    """Writes one version of the map as a table (version, unit, shard) below ``path``."""
+def store(spark: SparkSession, slot_map: SlotMap, path: str, n_slots: int = N_SLOTS, salts: int = SALTS) -> str:
+    """Writes one version of the map as a table (unit, slot, salt, n_shards, shard) below ``path``; a version is never changed later."""
     rows = spark.range(1).select(F.posexplode(_ints(slot_map.shard_of)).alias("unit", "shard"))
+    nth = F.floor((F.col("unit") - n_slots) / salts).cast("int")
+    split = F.col("unit") >= n_slots
+    rows = rows.select("unit", F.when(split, F.try_element_at(_ints(slot_map.hot), nth + 1)).otherwise(F.col("unit")).alias("slot"), F.when(split, (F.col("unit") - n_slots) % salts).alias("salt"), F.lit(slot_map.n_shards).alias("n_shards"), "shard")
     out = f"{path}/version={slot_map.version}"
-    rows.coalesce(1).write.mode("overwrite").parquet(out)
+    rows.coalesce(1).write.parquet(out)
     return out
 
 
+def load(spark: SparkSession, path: str) -> SlotMap | None:
+    """The newest complete version stored below ``path``, or None."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    versions = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    if not versions:
+        return None
+    rows = spark.read.parquet(f"{path}/version={max(versions)}").orderBy("unit").collect()  # a row for each slot and sub-slot
+    return SlotMap(max(versions), rows[0].n_shards, tuple(r.shard for r in rows), tuple(r.slot for r in rows if r.salt == 0))
+
+
+def widen(slot_map: SlotMap, hot: list[int], salts: int = SALTS) -> SlotMap:
+    """The map with further slots split; their sub-slots start where the slot was."""
+    new = [s for s in hot if s not in slot_map.hot]
+    more = tuple((slot_map.shard_of[s] + i) % slot_map.n_shards for s in new for i in range(salts))
+    return replace(slot_map, shard_of=slot_map.shard_of + more, hot=slot_map.hot + tuple(new))
+
+
 def _ints(values, kind: str = "int") -> Column:
     """An array literal from one string literal; it is folded once, at planning."""
     if not len(values):
@@ -99,27 +123,32 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     The texts are read once and never shuffled. The position is a number within the record's virtual slot
     plus the rows of the shard's earlier slots, so no task sorts a whole shard."""
     spark = docs.sparkSession
-    base = map_path or scratch_dir(spark)
-    rows = materialize(digest(docs, id_col, text_col, n_slots, salts), f"{base}/digest")
+    rows = materialize(digest(docs, id_col, text_col, n_slots, salts))
     sums = [F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")]
-    load, count = [0] * n_slots, [0] * n_slots
+    load_of, count = [0] * n_slots, [0] * n_slots
     for r in rows.groupBy("vslot").agg(*sums).collect():  # n_slots rows at most
-        load[r.vslot], count[r.vslot] = r.b, r.n
-    whole = sum(load)
-    hot = tuple(s for s in range(n_slots) if load[s] * hot_parts * n_shards > whole and count[s] > 1)
-    if hot:  # fewer than hot_parts * n_shards slots
-        load += [0] * (len(hot) * salts)
+        load_of[r.vslot], count[r.vslot] = r.b, r.n
+    most_bytes, most_rows = (sum(of) / (hot_parts * n_shards) for of in (load_of, count))
+    hot = [s for s in range(n_slots) if count[s] > 1 and (load_of[s] > most_bytes or count[s] > most_rows)]  # fewer than 2 * hot_parts * n_shards
+    stored = load(spark, map_path) if map_path else None
+    first = stored if stored and stored.n_shards == n_shards else replace(initial_map(n_shards, n_slots), version=stored.version if stored else 1)
+    first = widen(first, hot, salts)
+    hot = first.hot
+    if hot:
+        load_of += [0] * (len(hot) * salts)
         count += [0] * (len(hot) * salts)
         at = {s: n_slots + i * salts for i, s in enumerate(hot)}
         for r in rows.filter(F.col("vslot").isin(*hot)).groupBy("vslot", "salt").agg(*sums).collect():
-            load[at[r.vslot] + r.salt], count[at[r.vslot] + r.salt] = r.b, r.n
+            load_of[at[r.vslot] + r.salt], count[at[r.vslot] + r.salt] = r.b, r.n
         for s in hot:
-            load[s] = count[s] = 0
-    first = initial_map(n_shards, n_slots, hot, salts)
-    slot_map = rebalance(first, load)
-    for version in (first, slot_map):
-        store(spark, version, f"{base}/slot_map")
-    start, filled = [0] * len(load), [0] * n_shards
+            load_of[s] = count[s] = 0
+    slot_map = rebalance(first, load_of)
+    path = map_path or scratch_dir(spark)
+    if not stored:
+        store(spark, initial_map(n_shards, n_slots), path, n_slots, salts)
+    if not stored or slot_map.shard_of != stored.shard_of or slot_map.n_shards != stored.n_shards:
+        store(spark, slot_map, path, n_slots, salts)
+    start, filled = [0] * len(count), [0] * n_shards
     for unit, s in enumerate(slot_map.shard_of):
         start[unit], filled[s] = filled[s], filled[s] + count[unit]
     unit = F.col("vslot")
