@@ -1,10 +1,11 @@
 """URL filter: host rules first, then a character language-model ratio.
 
 Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, are counted from the
-URLs that the rules decide. A character's probability backs off from two characters of context to one, to
+URLs that the rules decide, but for a quarter held out by a hash of the URL. A character's probability backs off from two characters of context to one, to
 none, to uniform, each order weighted by how often and how variously its context was seen. A URL's score is
-the mean log ratio per character, in units of 1e-4; the threshold is the score that separates the labelled
-URLs best (highest sum of both hit rates, the lowest such score on ties). All of it is DataFrame work: the
+the mean log ratio per character, in units of 1e-4; the threshold is the score that separates the held-out
+URLs best (highest sum of both hit rates, the lowest such score on ties). Where these, or the others, lack a label, all labelled
+URLs serve in their stead. All of it is DataFrame work: the
 counts are a grouped count over at most ``2 * V**3`` keys, the model has ``V**3`` integers whatever the
 input, and scoring is a column expression without join or shuffle.
 
@@ -26,6 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Symbols of the models: start and end mark, letters, any digit (0), punctuation, anything else (~).
 ALPHABET = "^" + LOWER + "0./_?=&#%-~"
 V = len(ALPHABET)
+#: First digits of the hash of held-out URLs.
+HELD_OUT = ("0", "1", "2", "3")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -84,6 +87,11 @@ def train(labelled: DataFrame) -> list[int]:
     return out
 
 
+def held_out(symbols: Column) -> Column:
+    """Whether a URL is kept from training; equal URLs go together."""
+    return F.substring(F.md5(symbols), 1, 1).isin(*HELD_OUT)
+
+
 def score(model: list[int], symbols: str) -> Column:
     """Mean log ratio per character, rounded down."""
     weights = "cast(split('" + ",".join(map(str, model)) + "', ',') as array<int>)"
@@ -110,9 +118,11 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("ruled"), "symbols")
     rows = materialize(rows, f"{scratch_dir(spark)}/urls")
-    labelled = rows.filter(F.col("ruled").isNotNull()).select(F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("label"), "symbols")
-    model = train(labelled)
-    least = threshold(labelled.select("label", score(model, "symbols").alias("score")))
+    labelled = rows.filter(F.col("ruled").isNotNull()).select(F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("label"), "symbols", held_out(F.col("symbols")).alias("held"))
+    both = {r.held for r in labelled.groupBy("held").agg(F.count_distinct("label").alias("n")).filter("n = 2").collect()}
+    model = train(labelled.filter(~F.col("held")) if False in both else labelled)
+    judged = labelled.filter("held") if True in both else labelled
+    least = threshold(judged.select("label", score(model, "symbols").alias("score")))
     value = score(model, "symbols")
     own = F.lit("allow") if least is None else F.when(value >= least, "allow").otherwise("block")
     return rows.select(id_col, "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), value.alias("score"))
@@ -131,9 +141,12 @@ _SQL = f"""
 WITH cut AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 named AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
   '^^' || regexp_replace(translate(url, '{UPPER}123456789', '{LOWER}000000000'), '[^a-z0./_?=&#%-]', '~', 'g') || '^' AS s FROM cut),
-ruled AS (SELECT *, row_number() OVER () AS row_no, {_rule_sql(lambda k, h, p: h + p)} AS rule, {_rule_sql(lambda k, h, p: k)} AS ruled FROM named),
-windows AS (SELECT row_no, ruled, page_id, unnest(list_transform(range(1, length(s) - 1), lambda i: ((strpos('{ALPHABET}', s[i:i]) - 1) * {V} + strpos('{ALPHABET}', s[i + 1:i + 1]) - 1) * {V} + strpos('{ALPHABET}', s[i + 2:i + 2]) - 1)) AS code FROM ruled),
-counts AS (SELECT CASE ruled WHEN 'allow' THEN 1 ELSE 0 END AS label, code, count(*) AS k FROM windows WHERE ruled IS NOT NULL GROUP BY ALL),
+ruled AS (SELECT *, row_number() OVER () AS row_no, md5(s)[1:1] IN ('0', '1', '2', '3') AS held, {_rule_sql(lambda k, h, p: h + p)} AS rule, {_rule_sql(lambda k, h, p: k)} AS ruled FROM named),
+parts AS (SELECT held, count(DISTINCT ruled) = 2 AS able FROM ruled WHERE ruled IS NOT NULL GROUP BY 1),
+taught AS (SELECT row_no, ruled FROM ruled WHERE ruled IS NOT NULL AND NOT (held AND coalesce((SELECT able FROM parts WHERE NOT held), false))),
+judged AS (SELECT row_no, ruled FROM ruled WHERE ruled IS NOT NULL AND (held OR NOT coalesce((SELECT able FROM parts WHERE held), false))),
+windows AS (SELECT row_no, unnest(list_transform(range(1, length(s) - 1), lambda i: ((strpos('{ALPHABET}', s[i:i]) - 1) * {V} + strpos('{ALPHABET}', s[i + 1:i + 1]) - 1) * {V} + strpos('{ALPHABET}', s[i + 2:i + 2]) - 1)) AS code FROM ruled),
+counts AS (SELECT CASE ruled WHEN 'allow' THEN 1 ELSE 0 END AS label, code, count(*) AS k FROM windows JOIN taught USING (row_no) GROUP BY ALL),
 grid AS (SELECT label, code, code // {V * V} AS a, code // {V} % {V} AS b, code % {V} AS c, coalesce(k, 0) AS n FROM (SELECT unnest([0, 1]) AS label) CROSS JOIN (SELECT unnest(range({V**3})) AS code) LEFT JOIN counts USING (label, code)),
 sums AS (SELECT *, sum(n) OVER (PARTITION BY label, a, b) AS n_ab, count(*) FILTER (n > 0) OVER (PARTITION BY label, a, b) AS t_ab, sum(n) OVER (PARTITION BY label, b, c) AS n_bc,
   sum(n) OVER (PARTITION BY label, b) AS n_b, sum(n) OVER (PARTITION BY label, c) AS n_c, sum(n) OVER (PARTITION BY label) AS n_all FROM grid),
@@ -143,7 +156,7 @@ two AS (SELECT *, CASE WHEN n_b > 0 THEN (n_bc + t_b * p1) / (n_b + t_b) ELSE p1
 three AS (SELECT *, CASE WHEN n_ab > 0 THEN (n + t_ab * p2) / (n_ab + t_ab) ELSE p2 END AS p3 FROM two),
 model AS (SELECT code, CAST(round((sum(ln(p3)) FILTER (label = 1) - sum(ln(p3)) FILTER (label = 0)) * 10000) AS BIGINT) AS w FROM three GROUP BY code),
 scored AS (SELECT row_no, floor(sum(w) / count(*)) AS score FROM windows JOIN model USING (code) GROUP BY row_no),
-bins AS (SELECT floor(score / 100) AS bin, count(*) FILTER (ruled = 'allow') AS yes, count(*) FILTER (ruled = 'block') AS no FROM scored JOIN ruled USING (row_no) WHERE ruled IS NOT NULL GROUP BY 1),
+bins AS (SELECT floor(score / 100) AS bin, count(*) FILTER (ruled = 'allow') AS yes, count(*) FILTER (ruled = 'block') AS no FROM scored JOIN judged USING (row_no) GROUP BY 1),
 rates AS (SELECT bin, 1 - coalesce(sum(yes) OVER before, 0) / sum(yes) OVER () + coalesce(sum(no) OVER before, 0) / sum(no) OVER () AS rate FROM bins WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 best AS (SELECT bin * 100 AS least FROM rates ORDER BY rate DESC, bin LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((SELECT least FROM best), -1e9) THEN 'allow' ELSE 'block' END) AS verdict
