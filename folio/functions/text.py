@@ -1,7 +1,8 @@
 """Ordered pattern cascades over text columns.
 
 Patterns are Java regular expressions; ``d`` keeps the line feed as the only line end, ``U`` and ``i`` fold
-accented letters. No pattern may repeat a group without bound: write ``[^\\n]+`` or bounded lazy ranges.
+accented letters. No pattern may repeat a group or reach over lines without bound: what lies between two anchors, however
+long, is cut out by ``between``, in time linear in the text.
 """
 
 from __future__ import annotations
@@ -109,3 +110,36 @@ def around(text: Column, key: Column, before: int, after: int) -> Column:
     at = F.instr(text, key)
     start = F.greatest(at - before, F.lit(1))
     return F.when(at > 0, F.substring(text, start, at - start + after))
+
+
+def behind(text: Column, anchor: str, flags: str = FLAGS) -> Column:
+    """The text behind the first match of an anchor; null if there is none."""
+    return F.try_element_at(F.split(text, rx(anchor, flags), 2), F.lit(2))
+
+
+def before(text: Column, anchor: str, flags: str = FLAGS, open_end: bool = True) -> Column:
+    """The text ahead of the first match of an anchor; without one the whole text if ``open_end``, else null."""
+    parts = F.split(text, rx(anchor, flags), 2)
+    head = F.try_element_at(parts, F.lit(1))
+    return head if open_end else F.when(F.size(parts) == 2, head)
+
+
+def between(text: Column, begins: str, ends: str, flags: str = FLAGS, open_end: bool = True) -> Column:
+    """What lies between two anchors, trimmed; null if it is empty."""
+    return present(before(behind(text, begins, flags), ends, flags, open_end))
+
+
+def first_of(values: Column) -> Column:
+    """The first value of an array that is not null."""
+    return F.try_element_at(F.array_compact(values), F.lit(1))
+
+
+def pieces_behind(text: Column, anchor: str, flags: str = FLAGS) -> Column:
+    """For each match of an anchor the text from there to the next, as an array."""
+    parts = F.split(text, rx(anchor, flags))
+    return F.slice(parts, 2, F.size(parts))
+
+
+def near(text: Column, anchor: str, pattern: str, reach: int, width: int, flags: str = FLAGS) -> Column:
+    """The first match of a pattern of up to ``width`` characters that begins within ``reach`` characters behind an anchor."""
+    return first_of(F.transform(pieces_behind(text, anchor, flags), lambda s: find(F.substring(s, 1, reach + width), pattern, 1, flags)))

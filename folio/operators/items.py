@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
-from folio.functions.text import cascade, find, find_all, find_distinct, matches, squeeze
+from folio.functions.text import behind, cascade, find, find_all, find_distinct, matches, present, squeeze
 
 #: Column names by the header cell's text, tried in this order (fixed values).
 HEADER_CELLS = {
@@ -24,7 +24,10 @@ def clean_cell(cell: Column) -> Column:
 def is_header(cells: Column) -> Column:
     """A row that names the item column and one more."""
     text = F.upper(F.array_join(F.array_compact(cells), " "))
-    return matches(text, "[IÍ]?TEM", "(?d)") & matches(text, "QTD|UND|UNT|TOTAL|ND|DESCRI", "(?d)")
+    other = F.lit(False)
+    for word in ("QTD", "UND", "UNT", "TOTAL", "ND", "DESCRI"):
+        other = other | F.contains(text, F.lit(word))
+    return F.coalesce(F.contains(text, F.lit("TEM")) & other, F.lit(False))
 
 
 def kind_of(cell: Column, kinds: dict[str, str]) -> Column:
@@ -127,7 +130,7 @@ def texts_to_items(texts: DataFrame, keys: tuple[str, ...] = ("proc_id", "page_n
     total = S.money_strict(F.when(F.length(whole) - F.length(F.replace(whole, F.lit(","), F.lit(""))) >= 2, F.regexp_replace(whole, r",(?=.*,)", ".")).otherwise(whole))
     code = F.coalesce(find(s, CATALOGUE, flags="(?d)"), F.when(F.col("strategy") == "quantities", F.col("_code")))
     number = F.when(F.col("strategy") == "numbers", F.regexp_extract(s, r"\A(\d{3,5})", 1).try_cast("int")).otherwise(F.col("seg_no") + 1)
-    described = S.clean_description(F.regexp_replace(F.regexp_replace(F.coalesce(find(s, rf"{CATALOGUE}\s*\|?\s*(.{{1,400}})", 2, "(?d)"), s), r"TOTAL.*\z", ""), r"\b\d{2}[/.]\d{2}\b", " "))
+    described = S.clean_description(F.regexp_replace(F.regexp_replace(F.coalesce(present(behind(s, rf"{CATALOGUE}\s*\|?\s*", "(?d)")), s), r"TOTAL.*\z", ""), r"\b\d{2}[/.]\d{2}\b", " "))
     out = rows.select(
         *keys, "strategy", number.alias("item_no"), code.alias("code"), described.alias("description"), F.upper(find(s, rf"\b({UNITS}|PAR|JG|GL)\b")).alias("unit"), S.quantity(find(s, rf"\b(\d{{1,6}})\s*(?:{UNITS})\b", flags="(?d)")).alias("qty"),
         S.element_item(cascade(s, *_CODES, flags="(?d)")).alias("nd_si"), F.when(F.size(values) >= 2, F.try_element_at(values, F.lit(1))).alias("unit_price"), F.coalesce(total, F.when(F.size(values) > 0, F.try_element_at(values, F.lit(-1)))).alias("total"), F.lit("ocr").alias("source"),

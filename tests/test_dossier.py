@@ -166,4 +166,48 @@ def test_pairing_stops_at_the_next_opening(spark):
 def test_long_text_does_not_overflow(spark):
     long = "Órgão Gestor: X\nCadastro: Y\n" + "linha\n" * 50_000 + "Resultado da consulta: Z\n"
     df = spark.createDataFrame([(long,)], "t string").select(*(c.alias(n) for n, c in fields.consolidated(F.col("t")).items()))
-    assert df.first().registers == []
+    assert [(r.agency, r.register, r.result) for r in df.first().registers] == [("X", "Y", "Z")]
+
+
+MEGABYTE = "palavra comum do processo\n" * 40_000
+
+
+def test_no_field_is_cut_short_in_a_long_text(spark):
+    """A megabyte between the anchors of each field."""
+    line = MEGABYTE.replace("\n", " ").strip()
+    cases = {
+        "pieces": ("PEÇAS PROCESSUAIS\n" + "7- Nota de empenho\n" * 20_000 + "8- Última peça (b)\nLegenda", lambda t: None, None),
+        "validity": ("CLÁUSULA PRIMEIRA OBJETO 1.1. Limpeza, " + line + ", fim 1.2. x\nprazo de vigência " + MEGABYTE + " 01/02/2025 " + MEGABYTE + " 31/01/2026", lambda t: fields.contract_document(t)["valid_to"], "31/01/2026"),
+        "note": ("DOCUMENTO WEB : 2026NC000343\nOBSERVACAO\n" + MEGABYTE + "LANCADO POR X", lambda t: F.length(fields.terminal_note(t)["note"]).cast("string"), str(len(line))),
+        "subject": ("Assunto: " + MEGABYTE.lower() + "\n\n1. x", lambda t: F.length(fields.dispatch(t)["subject"]).cast("string"), str(len(line))),
+        "observation": ('Obs: "' + MEGABYTE + '"', lambda t: F.length(fields.observation(t)).cast("string"), str(len(MEGABYTE))),
+        "purchase": ("despesas com a aquisição de " + line + " por meio do PE", lambda t: F.length(fields.bid_details(t)["object"]).cast("string"), str(len("aquisição de " + line))),
+        "template": ("2026NC000343\n6. Material:\n2026NC000343 ND 339030 PI X " + MEGABYTE + "\n8. Outro", lambda t: F.length(fields.own_template(t)).cast("string"), str(len("2026NC000343 ND 339030 PI X " + line))),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, *_) in cases.items()], "proc_id string, text string")
+    got = fields.pieces(df.filter("proc_id = 'pieces'"), "proc_id")
+    assert got.count() == 20_001 and got.filter("piece_no = 8").first().status == "nao_imprimivel"
+    for k, (_, f, want) in cases.items():
+        if want:
+            assert df.filter(F.col("proc_id") == k).select(f(F.col("text")).alias("v")).first().v == want, k
+    r = df.filter("proc_id = 'validity'").select(fields.contract_document(F.col("text"))["object"].alias("o")).first().o
+    assert r == "Limpeza"
+
+
+def test_destination_rows(spark):
+    barred = "DESTINO | 1 | 160136 | 1 | 171460 | 1000000000 | 339000 | 160073 | I3DAFUNADOM | R$ 9.000,00"
+    plain = "DESTINO x\nDESTINO 1 1 160136 1 171397 1000000000 33.90.30 160504 E6SUPLJA3RR R$\n4.000,00 fim"
+    df = spark.createDataFrame([(0, barred), (1, plain), (2, "DESTINO 1 2")], "i int, t string").select("i", fields.destination(F.col("t")).alias("d")).orderBy("i").collect()
+    assert tuple(df[0].d) == ("160136", "1", "171460", "1000000000", "339000", "160073", "I3DAFUNADOM", "9.000,00")
+    assert tuple(df[1].d) == ("160136", "1", "171397", "1000000000", "33.90.30", "160504", "E6SUPLJA3RR", "4.000,00") and df[2].d is None
+
+
+def test_active_pieces(spark):
+    df = spark.createDataFrame([("A", corpus.COVER)], "proc_id string, text string")
+    assert [r.piece_no for r in fields.pieces(df, "proc_id", active=True).orderBy("piece_no").collect()] == [1, 2]
+
+
+def test_notes_without_a_number_stay(spark):
+    df = spark.createDataFrame([("A", corpus.TERMINAL.replace("DOCUMENTO WEB : 2026NC000343\n", ""))], "proc_id string, text string")
+    r = fields.credit_notes(df).first()
+    assert r.number is None and r.siafi_no == "2026RO000273" and r.nd == "339030"
