@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import scalars as S
+from folio.operators.render import dash
+
 
 def search(analyses: DataFrame, text: str | None = None, columns: Sequence[str] = ("nup", "supplier", "unit_name", "instrument"), result: str | None = None, result_col: str = "result", start: str | None = None, end: str | None = None, date_col: str = "created") -> DataFrame:
     """Rows that contain the text in any of the columns (``%`` and ``_`` are wildcards), with the result, within inclusive dates."""
@@ -63,3 +66,34 @@ def summary(columns: dict[str, Column]) -> tuple[Column, Column]:
     found = F.array_compact(F.array(*(F.when(c.isNotNull(), F.lit(n)) for n, c in columns.items())))
     missing = F.array_compact(F.array(*(F.when(c.isNull(), F.lit(n)) for n, c in columns.items())))
     return found, missing
+
+
+def by_code(rows: DataFrame, code: str = "unit_code") -> DataFrame:
+    """Units in order of their code."""
+    return rows.orderBy(code)
+
+
+def dispatch_order(dispatches: DataFrame, key: str = "proc_id", number: str = "number", page: str = "page_no") -> DataFrame:
+    """``seq`` numbers a dossier's dispatches by number, those without one first, then by page."""
+    w = Window.partitionBy(key).orderBy(F.coalesce(number, F.lit(0)), page)
+    return dispatches.withColumn("seq", F.row_number().over(w))
+
+
+#: What a stored analysis keeps as JSON text.
+DETAIL = "identification struct<unit_code:string,instrument:string,tax_id:string,pi:string>, items array<struct<item_no:int,qty:string,sub:string,total:string>>, result struct<type:string,title:string,caveats:array<string>,ok:array<string>>"
+
+
+def rebuild(rows: DataFrame, detail: str = "detail") -> DataFrame:
+    """A stored analysis as it was shown: (its other columns, type, title, caveats, ok, unit_code, instrument, tax_id, pi, item, qty, sub, total).
+
+    What is missing, or not readable, has a default: a caveat without texts, a dash for what is shown. The total adds up amounts
+    in either written form and is null without any."""
+    d = F.from_json(detail, DETAIL, {"mode": "PERMISSIVE"})
+    none = F.array().cast("array<string>")
+    listed = lambda n: dash(F.array_join(F.transform("_d.items", lambda i: F.coalesce(i[n].cast("string"), F.lit(""))), ", "))
+    amounts = F.array_compact(F.transform("_d.items", lambda i: S.money(i["total"])))
+    total = F.when(F.size(amounts) > 0, F.aggregate(amounts, F.lit(0).cast("decimal(18,2)"), lambda a, b: (a + b).cast("decimal(18,2)")))
+    plain = {n: dash(F.col(f"_d.identification.{n}")) for n in ("unit_code", "instrument", "tax_id", "pi")}
+    return rows.withColumn("_d", d).select(
+        *(c for c in rows.columns if c != detail), F.coalesce("_d.result.type", F.lit("caveat")).alias("type"), dash(F.col("_d.result.title")).alias("title"), F.coalesce("_d.result.caveats", none).alias("caveats"), F.coalesce("_d.result.ok", none).alias("ok"),
+        *(c.alias(n) for n, c in plain.items()), listed("item_no").alias("item"), listed("qty").alias("qty"), listed("sub").alias("sub"), total.alias("total"))

@@ -22,7 +22,7 @@ def report(failed: DataFrame) -> DataFrame:
 def missing_labels(dossiers: DataFrame, labels: DataFrame, required: DataFrame, key: str = "proc_id", kind: str = "type") -> DataFrame:
     """Required labels (per dossier type) that a dossier has no page of. ``required(type, label)`` is a dimension."""
     wanted = dossiers.select(key, kind).join(F.broadcast(required), kind).select(key, "label")
-    return wanted.join(labels.select(key, "label").distinct(), [key, "label"], "left_anti")
+    return wanted.join(labels.select(key, "label").distinct().hint("shuffle_merge"), [key, "label"], "left_anti")
 
 
 def fewer_than(rows: DataFrame, key: str, least: int) -> DataFrame:
@@ -33,3 +33,26 @@ def rejected_then_corrected(rows: DataFrame, key: str, order: str, rejects: Colu
     """Per key whether a rejection occurs, and whether a correction follows the first one."""
     r = rows.groupBy(key).agg(F.min(F.when(rejects, F.col(order))).alias("rejected_at"), F.max(F.when(corrects, F.col(order))).alias("corrected_at"))
     return r.select(key, F.col("rejected_at").isNotNull().alias("rejected"), F.coalesce(F.col("corrected_at") > F.col("rejected_at"), F.lit(False)).alias("corrected"))
+
+
+def number_findings(dispatches: DataFrame, dossiers: DataFrame, key: str = "proc_id", number: str = "nup") -> DataFrame:
+    """A caveat for each dispatch that names another dossier's number; dispatches that name none are passed over."""
+    side = dossiers.select(key, F.col(number).alias("_own")).hint("shuffle_merge")
+    rows = dispatches.join(side, key).filter(F.col(number) != F.col("_own"))
+    text = F.concat(F.lit("NUP do despacho "), number, F.lit(" difere do processo "), "_own")
+    return rows.select(key, F.lit("dispatch").alias("family"), F.lit("NUP do despacho").alias("check"), text.alias("description"), F.lit("ressalva").alias("severity"))
+
+
+def declared_status(total: Column, declared: Column, tolerance: float = 0.02) -> Column:
+    """Whether items add up to the declared total; null where either is unknown."""
+    return F.when(F.abs(total - declared) > F.lit(tolerance).cast("decimal(4,2)"), "ressalva").when((total - declared).isNotNull(), "conforme")
+
+
+def registered_items(items: DataFrame, registered: DataFrame, keys: Sequence[str], price: str = "unit_price", qty: str = "qty", tolerance: float = 0.02) -> DataFrame:
+    """Items against those registered for their bid: ``status`` is absent, price, quantity or ok, in this order; the registered price and
+    quantity are ``registered_price`` and ``registered_qty``."""
+    side = registered.select(*keys, F.col(price).alias("registered_price"), F.col(qty).alias("registered_qty"), F.lit(True).alias("_there")).hint("shuffle_merge")
+    rows = items.join(side, list(keys), "left")
+    apart = F.abs(F.col(price) - F.col("registered_price")) > F.lit(tolerance).cast("decimal(4,2)")
+    status = F.when(F.col("_there").isNull(), "absent").when(apart, "price").when(F.col(qty) > F.col("registered_qty"), "quantity").otherwise("ok")
+    return rows.withColumn("status", status).drop("_there")

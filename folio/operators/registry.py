@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio.functions import scalars as S
 from folio.functions.text import present
 from folio.operators.reconcile import first_filled
+from folio.operators.render import code_and_name
 
 
 def merge_registry(rows: DataFrame, key: str, order: str, seen: str, first: list[str] = (), sets: dict[str, str] | None = None, flags: list[str] = (), distinct_by: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -65,6 +66,13 @@ def _unrolled(stored: DataFrame, arrays: dict[str, str]) -> DataFrame:
     return out
 
 
-def listing(registry: DataFrame, arrays: list[str], text: str, width: int = 80) -> DataFrame:
-    """Registry rows with set sizes and a shortened text."""
-    return registry.select(*(c for c in registry.columns if c not in (*arrays, text)), *(F.coalesce(F.size(a), F.lit(0)).alias(f"n_{a}") for a in arrays), F.substring(text, 1, width).alias(text))
+def listing(registry: DataFrame, arrays: list[str], text: str, width: int = 80, unit: tuple[str, str] | None = None, validity: tuple[str, str] | None = None) -> DataFrame:
+    """Registry rows with set sizes and a shortened text; ``unit`` (code, name) and ``validity`` (from, to) become one label each."""
+    labels = []
+    if unit:
+        labels.append(code_and_name(F.col(unit[0]), F.col(unit[1])).alias("unit"))
+    if validity:
+        start, end = (present(F.col(c).cast("string")) for c in validity)
+        labels.append(F.coalesce(F.concat(start, F.lit(" a "), end), F.concat(F.lit("até "), end), F.concat(F.lit("desde "), start), F.lit("—")).alias("validity"))
+    gone = {*arrays, text, *(unit or ()), *(validity or ())}
+    return registry.select(*(c for c in registry.columns if c not in gone), *labels, *(F.coalesce(F.size(a), F.lit(0)).alias(f"n_{a}") for a in arrays), F.substring(text, 1, width).alias(text))

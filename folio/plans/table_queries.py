@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -35,17 +36,16 @@ def money_parse(spark, d):
     return rows.select("p_partkey", "shown", S.money_strict(F.col("shown")).cast("double").alias("strict"), S.money(F.concat(F.lit("R$ "), F.col("shown"))).cast("double").alias("tolerant"), S.quantity(F.col("dotted")).cast("double").alias("thousands"))
 
 
-@R.add("flex_date", "SELECT o_orderkey, CAST(o_orderkey % 8 AS INTEGER) AS style, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS parsed FROM orders")
+@R.add("flex_date", "SELECT o_orderkey, CAST(o_orderkey % 8 AS INTEGER) AS style, CAST(CAST(CASE WHEN o_orderkey % 8 > 4 THEN o_orderdate + INTERVAL 20 YEAR ELSE o_orderdate END AS DATE) AS VARCHAR) AS parsed FROM orders")
 def flex_date(spark, d):
-    day = F.col("o_orderdate").cast("date")
+    style = (F.col("o_orderkey") % 8).cast("int")
+    day = F.when(style > 4, F.add_months(F.to_date("o_orderdate"), 240)).otherwise(F.to_date("o_orderdate"))  # two-digit years are of this century
     name = lambda months: F.element_at(F.array(*map(F.lit, months)), F.month(day))
     short, long = name(list(S.MONTHS)), F.lower(name(list(S.LONG_MONTHS)))
     dd, d1, y4, y2 = F.date_format(day, "dd"), F.date_format(day, "d"), F.date_format(day, "yyyy"), F.date_format(day, "yy")
-    century = F.year(day) < 2000
     joined = lambda *x: F.concat(*x)
     forms = [joined(dd, F.lit("/"), F.date_format(day, "MM"), F.lit("/"), y4), joined(dd, F.lit("/"), short, F.lit("/"), y4), joined(d1, F.lit(" de "), long, F.lit(" de "), y4), joined(d1, F.lit(" "), short, F.lit(" "), y4), joined(dd, short, y4)]
-    forms += [F.when(century, forms[0]).otherwise(f) for f in (joined(d1, F.lit(" "), short, F.lit(" "), y2), joined(dd, short, y2), joined(dd, F.lit("/"), F.date_format(day, "MM"), F.lit("/"), y2))]
-    style = (F.col("o_orderkey") % 8).cast("int")
+    forms += [joined(d1, F.lit(" "), short, F.lit(" "), y2), joined(dd, short, y2), joined(dd, F.lit("/"), F.date_format(day, "MM"), F.lit("/"), y2)]
     rows = table(spark, d, "orders").select("o_orderkey", style.alias("style"), F.element_at(F.array(*forms), style + 1).alias("written"))
     return rows.select("o_orderkey", "style", S.flexible_date(F.col("written")).cast("string").alias("parsed"))
 
@@ -60,8 +60,8 @@ def expiry_status(spark, d):
 
 @R.add("code_normalise", """
 WITH c AS (SELECT p_partkey, lpad(CAST(30 + p_partkey % 23 AS VARCHAR), 2, '0') AS e, lpad(CAST(p_partkey % 7 AS VARCHAR), 2, '0') AS s, CAST(p_partkey % 5 AS INTEGER) AS style FROM part)
-SELECT p_partkey, CASE WHEN style = 4 THEN e WHEN s = '00' THEN NULL ELSE e || '.' || s END AS code, CASE WHEN style = 4 THEN e ELSE e || '.' || s END AS loose, CAST(e AS INTEGER) AS element, CASE WHEN style < 4 THEN CAST(s AS INTEGER) END AS sub,
-  CASE CAST(e AS INTEGER) WHEN 30 THEN 'material' WHEN 32 THEN 'material' WHEN 33 THEN 'passagem' WHEN 35 THEN 'servico' WHEN 36 THEN 'servico_pf' WHEN 37 THEN 'servico' WHEN 39 THEN 'servico_pj' WHEN 40 THEN 'servico' WHEN 47 THEN 'tributo' WHEN 51 THEN 'permanente' WHEN 52 THEN 'permanente' ELSE 'outro' END AS kind,
+SELECT p_partkey, CASE WHEN style = 4 THEN e WHEN s = '00' THEN NULL ELSE e || '.' || s END AS code, CASE WHEN style = 4 THEN '3390' || e ELSE e || '.' || s END AS loose, CASE style WHEN 0 THEN CAST(s AS INTEGER) ELSE CAST(e AS INTEGER) END AS element, CASE WHEN style IN (1, 2, 3) THEN CAST(s AS INTEGER) END AS sub,
+  CASE CASE style WHEN 0 THEN CAST(s AS INTEGER) ELSE CAST(e AS INTEGER) END WHEN 30 THEN 'material' WHEN 32 THEN 'material' WHEN 33 THEN 'passagem' WHEN 35 THEN 'servico' WHEN 36 THEN 'servico_pf' WHEN 37 THEN 'servico' WHEN 39 THEN 'servico_pj' WHEN 40 THEN 'servico' WHEN 47 THEN 'tributo' WHEN 51 THEN 'permanente' WHEN 52 THEN 'permanente' ELSE 'outro' END AS kind,
   lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '/2024' AS contract, '90' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '/2025' AS bid, 'C' || p_partkey AS tax_id FROM c""")
 def code_normalise(spark, d):
     e, s = F.lpad((30 + F.col("p_partkey") % 23).cast("string"), 2, "0"), F.lpad((F.col("p_partkey") % 7).cast("string"), 2, "0")
@@ -70,10 +70,8 @@ def code_normalise(spark, d):
     forms = [F.concat(F.lit("33.90."), e, F.lit("."), s), F.concat(F.lit("33.90."), e, F.lit("/"), s), F.concat(e, F.lit("/"), s), F.concat(F.lit(" "), e, F.lit("."), s), F.concat(F.lit("3390"), e)]
     rows = table(spark, d, "part").select("p_partkey", style.alias("style"), F.element_at(F.array(*forms), style + 1).alias("raw"), F.concat(short, F.lit("/2024")).alias("contract"), F.concat(F.when(F.length(short) == 3, F.concat(F.lit("9"), short)).otherwise(short), F.lit("/2025")).alias("bid"), F.concat(F.lit("C."), F.col("p_partkey").cast("string"), F.lit("-")).alias("tax"))
     raw = F.col("raw")
-    dotted = F.regexp_replace(raw, r"\A33\.90\.([0-9]{2})\.", "33.90.$1/")
-    parsed = S.element_sub(dotted)
-    loose = F.when(F.col("style") == 4, F.substring(S.element_item_loose(raw), 5, 2)).otherwise(S.element_item_loose(raw))
-    return rows.select("p_partkey", S.element_item(raw).alias("code"), loose.alias("loose"), F.coalesce(parsed["element"], S.element_of(raw)).alias("element"), parsed["sub"].alias("sub"), S.element_kind(parsed["element"]).alias("kind"), S.contract_number(F.col("contract")).alias("contract"), S.bid_number(F.col("bid")).alias("bid"), S.tax_id(F.col("tax")).alias("tax_id"))
+    parsed = S.element_sub(raw)  # of four dotted groups the last is taken for the element
+    return rows.select("p_partkey", S.element_item(raw).alias("code"), S.element_item_loose(raw).alias("loose"), F.coalesce(parsed["element"], S.element_of(raw)).alias("element"), parsed["sub"].alias("sub"), S.element_kind(parsed["element"]).alias("kind"), S.contract_number(F.col("contract")).alias("contract"), S.bid_number(F.col("bid")).alias("bid"), S.tax_id(F.col("tax")).alias("tax_id"))
 
 
 KINDS = {"metal": ["bolt", "ring", "gear", "plate"], "tool": ["widget", "gizmo", "gear", "small"], "heavy": ["large", "old", "PROMO".lower()]}
@@ -284,19 +282,6 @@ def calc_check(spark, d):
     return found.groupBy("o_orderkey").agg(F.when(none, "none").when(bad > 0, "ressalva").otherwise("conforme").alias("status"), bad.alias("n_bad"))
 
 
-@R.add("cert_table", f"""
-WITH u AS (SELECT s_suppkey, unnest([{{'c': 'fgts', 'd': DATE '{AS_OF}' + CAST(s_suppkey % 40 - 10 AS INTEGER)}}, {{'c': 'federal', 'd': CASE WHEN s_suppkey % 3 > 0 THEN DATE '{AS_OF}' + CAST(s_nationkey AS INTEGER) END}}]) AS r, CASE WHEN s_acctbal > 5000 THEN 'Nada Consta' WHEN s_acctbal > 0 THEN 'Sistema indisponível' ELSE 'Consta' END AS result FROM supplier),
-c AS (SELECT s_suppkey, r.c AS certificate, CASE WHEN r.d IS NULL THEN 0 WHEN r.d < DATE '{AS_OF}' THEN 2 WHEN r.d <= DATE '{AS_OF}' + 15 THEN 1 ELSE 0 END AS rank FROM u UNION ALL SELECT DISTINCT s_suppkey, 'register', CASE result WHEN 'Nada Consta' THEN 0 WHEN 'Consta' THEN 2 ELSE 1 END FROM u)
-SELECT s_suppkey, string_agg(certificate, ', ' ORDER BY certificate) FILTER (rank > 0) AS bad, CASE max(rank) WHEN 2 THEN 'bloqueio' WHEN 1 THEN 'ressalva' ELSE 'conforme' END AS status FROM c GROUP BY 1""")
-def cert_table(spark, d):
-    day = lambda n: F.date_add(as_of(), n.cast("int"))
-    s = table(spark, d, "supplier").select("s_suppkey", F.map_filter(F.create_map(F.lit("fgts"), day(F.col("s_suppkey") % 40 - 10), F.lit("federal"), F.when(F.col("s_suppkey") % 3 > 0, day(F.col("s_nationkey")))), lambda k, v: v.isNotNull()).alias("validities"), F.when(F.col("s_acctbal") > 5000, "Nada Consta").when(F.col("s_acctbal") > 0, "Sistema indisponível").otherwise("Consta").alias("result"))
-    dated = s.select("s_suppkey", F.explode("validities").alias("certificate", "until")).select("s_suppkey", "certificate", S.expiry_status(S.days_left(F.col("until"), as_of())).alias("status"))
-    rows = dated.unionByName(s.select("s_suppkey", F.lit("register").alias("certificate"), rules.register_status(F.col("result")).alias("status")))
-    bad = F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") != rules.OK, F.col("certificate")))), ", ")
-    return rows.groupBy("s_suppkey").agg(F.nullif(bad, F.lit("")).alias("bad"), rules.named(F.max(rules.rank(F.col("status")))).alias("status"))
-
-
 _DECISION = f"""
 WITH {_IDENTITY}, {_CALC},
 n AS (SELECT o_orderkey, count(st.l_orderkey) AS n, count(*) FILTER (status = 'ressalva') AS bad FROM orders LEFT JOIN st ON st.l_orderkey = o_orderkey GROUP BY 1),
@@ -426,10 +411,11 @@ def first_item_projection(spark, d):
 
 
 def _scratch(spark) -> str:
+    """A new folder that driver and executors share; a temporary one only serves a local session that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}"
@@ -453,9 +439,59 @@ def store_roundtrip(spark, d):
     return both.select("o_orderkey", "result", F.date_format("created", "yyyy-MM").alias("month"), "note", F.size(tables.safe_array(F.lit("no json"))).alias("n_json"))
 
 
-@R.add("safe_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 0 AS n_items FROM events")
+@R.add("safe_json", """
+SELECT event_id, CASE WHEN event_id % 3 > 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CAST(CASE WHEN event_id % 3 > 0 THEN 2 ELSE 0 END AS INTEGER) AS n_items, CASE WHEN event_id % 3 > 0 THEN event_type END AS second FROM events""")
 def safe_json(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.size(tables.safe_array(F.col("props"))).alias("n_items"))
+    k = F.get_json_object("props", "$.k")
+    stored = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit('["'), k, F.lit('", "'), F.col("event_type"), F.lit('"]'))).when(F.col("event_id") % 2 > 0, F.col("props"))  # arrays, objects and nulls
+    rows = table(spark, d, "events").select("event_id", tables.safe_array(stored).alias("a"))
+    return rows.select("event_id", F.try_element_at("a", F.lit(1)).try_cast("long").alias("k"), F.size("a").alias("n_items"), F.try_element_at("a", F.lit(2)).alias("second"))
+
+
+@R.add("analysis_rebuild", """
+WITH l AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ', ' ORDER BY l_linenumber, l_partkey, l_extendedprice) AS item, sum(CAST(round(l_extendedprice, 2) AS DECIMAL(18, 2))) AS total FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 1 THEN o_orderstatus ELSE 'caveat' END AS type, CASE WHEN o_orderkey % 4 > 1 THEN 'T' ELSE '—' END AS title, CASE WHEN o_orderkey % 4 > 1 THEN 1 ELSE 0 END AS n_caveats, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_custkey AS VARCHAR) ELSE '—' END AS unit_code, '—' AS pi,
+  CASE WHEN o_orderkey % 4 > 0 THEN item ELSE '—' END AS item, CASE WHEN o_orderkey % 4 > 0 THEN CAST(total AS DOUBLE) END AS total FROM orders JOIN l ON l_orderkey = o_orderkey""")
+def analysis_rebuild(spark, d):
+    key = F.col("o_orderkey")
+    total = F.when(F.col("l_linenumber") % 2 == 0, S.format_brl(decimal("l_extendedprice"))).otherwise(decimal("l_extendedprice").cast("string"))
+    one = F.struct("l_linenumber", "l_partkey", "l_extendedprice", F.struct(F.col("l_linenumber").alias("item_no"), total.alias("total")).alias("i"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["i"]).alias("items"))  # the lines of an order
+    result = F.when(key % 4 > 1, F.struct(F.col("o_orderstatus").alias("type"), F.lit("T").alias("title"), F.array(F.lit("c")).alias("caveats")))
+    detail = F.to_json(F.struct(F.struct(F.col("o_custkey").cast("string").alias("unit_code")).alias("identification"), "items", result.alias("result")))
+    rows = table(spark, d, "orders").join(lines.hint("shuffle_merge"), "o_orderkey").select("o_orderkey", F.when(key % 4 > 0, detail).when(key % 8 == 0, "no json").alias("detail"))
+    return history.rebuild(rows).select("o_orderkey", "type", "title", F.size("caveats").alias("n_caveats"), "unit_code", "pi", "item", F.col("total").cast("double").alias("total"))
+
+
+@R.add("ordered_listing", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'N' THEN 0 ELSE CAST(l_quantity AS INTEGER) END, l_linenumber, l_partkey, l_extendedprice) AS seq FROM lineitem""")
+def ordered_listing(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.when(F.col("l_returnflag") != "N", F.col("l_quantity").cast("int")).alias("number"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("page_no"))
+    return history.dispatch_order(rows, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "seq")
+
+
+@R.add("registry_units", """
+SELECT unit_code, arg_min(name, o_orderkey) FILTER (name IS NOT NULL) AS unit_name, min(o_orderkey) AS first_use, max(o_orderkey) AS last_use, coalesce(unit_code || ' — ' || arg_min(name, o_orderkey) FILTER (name IS NOT NULL), unit_code) AS unit, min(o_orderkey) || ' a ' || max(o_orderkey) AS validity
+FROM (SELECT o_orderkey, CAST(c_nationkey AS VARCHAR) AS unit_code, CASE WHEN o_orderkey % 5 = 0 THEN c_mktsegment END AS name FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1""")
+def registry_units(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("string").alias("unit_code"), F.when(F.col("o_orderkey") % 5 == 0, F.col("c_mktsegment")).alias("unit_name"), F.col("o_orderkey").alias("used"))
+    units = registry.merge_units(rows)
+    shown = registry.listing(units.withColumns({"code": F.col("unit_code"), "text": F.lit(""), "a": F.col("first_use"), "b": F.col("last_use")}), [], "text", unit=("unit_code", "unit_name"), validity=("a", "b"))
+    return history.by_code(shown.join(units.select(F.col("unit_code").alias("code"), "unit_name").hint("shuffle_merge"), "code").select(F.col("code").alias("unit_code"), "unit_name", "first_use", "last_use", "unit", "validity"))
+
+
+@R.add("merged_bids", """
+WITH r AS (SELECT CASE WHEN o_custkey % 1000 >= 100 THEN '90' ELSE '90' END || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '/2025' AS bid, o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'obj' || o_orderkey END AS object, 'N' || o_orderkey % 7 AS sup, o_orderstatus AS item FROM orders)
+SELECT bid, arg_min(object, o_orderkey) FILTER (object IS NOT NULL) AS object, count(DISTINCT o_orderkey) AS n_dossiers, count(DISTINCT sup) AS n_suppliers, count(DISTINCT item) AS n_items, min(o_orderkey) AS first_use, max(o_orderkey) AS last_use FROM r GROUP BY 1""")
+def merged_bids(spark, d):
+    n, k = F.col("o_custkey") % 1000, F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(F.concat(n.cast("string"), F.lit("/2025")).alias("bid"), F.lit("160136").alias("unit_code"), F.lit(None).cast("string").alias("unit_name"), F.when(k % 3 > 0, F.concat(F.lit("obj"), k.cast("string"))).alias("object"), F.concat(F.lit("n"), (k % 7).cast("string")).alias("supplier"), F.concat(F.lit("1."), (k % 7).cast("string"), F.lit("/0")).alias("tax_id"),
+                                            F.when(k % 2 == 0, F.lower("o_orderstatus")).otherwise(F.concat(F.col("o_orderstatus"), F.lit(" "))).alias("item"), k.cast("string").alias("proc_id"), k.alias("used"))
+    early = registry.merge_bids(None, rows.filter(k % 2 == 0))
+    both = registry.listing(registry.merge_bids(early, rows.filter(k % 2 == 1)), ["dossiers", "suppliers", "items"], "unit_code")
+    again = registry.merge_bids(None, rows)  # the first object by use comes from all rows at once
+    out = both.select("bid", *(F.col(c).cast("long").alias(c) for c in ("n_dossiers", "n_suppliers", "n_items")), "first_use", "last_use")
+    return out.join(again.select("bid", "object").hint("shuffle_merge"), "bid")
 
 
 @R.add("dims_load", """
@@ -476,16 +512,25 @@ def nc_single_row(spark, d):
 
 
 @R.add("spec_checks", """
-WITH t AS (SELECT o_orderkey, CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) AS declared, sum(CAST(round(l_extendedprice, 2) AS DECIMAL(18, 2))) AS total, min(l_linenumber) FILTER (l_returnflag = 'R') AS rej, max(l_linenumber) FILTER (l_returnflag = 'A') AS cor, count(*) AS n,
-  bool_or(l_extendedprice > l_quantity * p_retailprice * 2) AS dear FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
-SELECT o_orderkey, declared = total AS sum_ok, rej IS NOT NULL AS rejected, coalesce(cor > rej, false) AS corrected, n < 3 AS few, dear FROM t""")
+WITH l AS (SELECT *, CAST(round(l_extendedprice, 2) AS DECIMAL(18, 2)) AS v FROM lineitem JOIN part ON l_partkey = p_partkey),
+i AS (SELECT l_orderkey, CASE WHEN p_size % 4 = 0 THEN 'absent' WHEN l_linenumber % 3 = 0 THEN 'price' WHEN l_quantity > p_size THEN 'quantity' ELSE 'ok' END AS status FROM l),
+n AS (SELECT l_orderkey, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM i GROUP BY 1),
+t AS (SELECT o_orderkey, CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) AS declared, sum(v) AS total, min(l_linenumber) FILTER (l_returnflag = 'R') AS rej, max(l_linenumber) FILTER (l_returnflag = 'A') AS cor, count(*) AS n FROM orders JOIN l ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT o_orderkey, CASE WHEN abs(declared - total) > 0.02 THEN 'ressalva' ELSE 'conforme' END AS sum_status, rej IS NOT NULL AS rejected, coalesce(cor > rej, false) AS corrected, n < 3 AS few, statuses, o_orderkey % 5 = 0 AS other_number FROM t JOIN n ON l_orderkey = o_orderkey""")
 def spec_checks(spark, d):
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("l_orderkey", "o_orderkey")
-    sums = lines.groupBy("o_orderkey").agg(F.sum(decimal("l_extendedprice")).alias("total"), F.bool_or(F.col("l_extendedprice") > F.col("l_quantity") * F.col("p_retailprice") * 2).alias("dear"))
+    sums = lines.groupBy("o_orderkey").agg(F.sum(decimal("l_extendedprice")).alias("total"))
     fixed = quality.rejected_then_corrected(lines, "o_orderkey", "l_linenumber", F.col("l_returnflag") == "R", F.col("l_returnflag") == "A")
     few = quality.fewer_than(lines, "o_orderkey", 3).select("o_orderkey", F.lit(True).alias("few"))
-    rows = table(spark, d, "orders").join(sums, "o_orderkey").join(fixed, "o_orderkey").join(few, "o_orderkey", "left")
-    return rows.select("o_orderkey", (decimal("o_totalprice") == F.col("total")).alias("sum_ok"), "rejected", "corrected", F.coalesce("few", F.lit(False)).alias("few"), "dear")
+    registered = table(spark, d, "part").filter(F.col("p_size") % 4 > 0).select("p_partkey", decimal("p_retailprice").alias("unit_price"), F.col("p_size").cast("double").alias("qty"))
+    price = decimal("p_retailprice") + F.when(F.col("l_linenumber") % 3 == 0, 1).otherwise(0)
+    found = quality.registered_items(lines.select("o_orderkey", "p_partkey", price.alias("unit_price"), F.col("l_quantity").alias("qty")), registered, ["p_partkey"])
+    found = found.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
+    orders = table(spark, d, "orders")
+    own = orders.select("o_orderkey", F.col("o_orderkey").cast("string").alias("nup"))
+    other = quality.number_findings(orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "x").when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).alias("nup")), own, "o_orderkey")
+    rows = orders.join(sums, "o_orderkey").join(fixed, "o_orderkey").join(found, "o_orderkey").join(few, "o_orderkey", "left").join(other.select("o_orderkey", F.lit(True).alias("other")).hint("shuffle_merge"), "o_orderkey", "left")
+    return rows.select("o_orderkey", quality.declared_status(F.col("total"), decimal("o_totalprice")).alias("sum_status"), "rejected", "corrected", F.coalesce("few", F.lit(False)).alias("few"), "statuses", F.coalesce("other", F.lit(False)).alias("other_number"))
 
 
 @R.add("incremental", """
