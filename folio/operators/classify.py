@@ -88,10 +88,10 @@ def page_labels(up: Column) -> Column:
     return F.when(exclusive.isNotNull(), F.array(F.when(exclusive.startswith("dispatch"), F.lit("dispatch")).otherwise(exclusive))).when(F.size(several) > 0, several).otherwise(F.array(rest))
 
 
-def classify_pages(pages: DataFrame) -> DataFrame:
-    """(proc_id, page_no, label), a row for each label of a page; no shuffle."""
+def classify_pages(pages: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(proc_id, page_no, label) and the columns to carry, a row for each label of a page; no shuffle."""
     up = F.upper(F.coalesce("text", F.lit("")))
-    return pages.withColumn("up", up).select("proc_id", "page_no", F.explode(page_labels(F.col("up"))).alias("label"))
+    return pages.withColumn("_up", up).select("proc_id", "page_no", *carry, F.explode(page_labels(F.col("_up"))).alias("label"))
 
 
 def label_counts(labels: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators.reconcile import dimension
+
 
 def failures(expected: DataFrame, actual: DataFrame, key: str, checks: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
     """(key, check, severity, note) for every check that fails: (name, severity, condition of failure, note)."""
@@ -21,7 +23,7 @@ def report(failed: DataFrame) -> DataFrame:
 
 def missing_labels(dossiers: DataFrame, labels: DataFrame, required: DataFrame, key: str = "proc_id", kind: str = "type") -> DataFrame:
     """Required labels (per dossier type) that a dossier has no page of. ``required(type, label)`` is a dimension."""
-    wanted = dossiers.select(key, kind).join(F.broadcast(required), kind).select(key, "label")
+    wanted = dossiers.select(key, kind).join(dimension(required), kind).select(key, "label")
     return wanted.join(labels.select(key, "label").distinct().hint("shuffle_merge"), [key, "label"], "left_anti")
 
 

@@ -29,12 +29,21 @@ def fill(left: Column, right: Column) -> Column:
     return F.coalesce(F.nullif(left, F.lit("")), F.nullif(right, F.lit("")))
 
 
+#: Up to so many rows a dimension is broadcast; a longer one is joined by shuffle.
+MOST_BROADCAST = 100_000
+
+
+def dimension(rows: DataFrame) -> DataFrame:
+    """A look-up table with the join strategy that its size allows; it is counted for that."""
+    return F.broadcast(rows) if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rows.hint("shuffle_merge")
+
+
 def with_fallback(rows: DataFrame, dim: DataFrame, exact: Sequence[str], generic_key: str, generic_value, value: str, name: str) -> DataFrame:
-    """Looks a value up by all keys, else with ``generic_key`` set to its generic value. ``dim`` is a dimension of bounded size."""
+    """Looks a value up by all keys, else with ``generic_key`` set to its generic value."""
     first = dim.select(*exact, F.col(value).alias("_exact"))
     rest = [k for k in exact if k != generic_key]
     second = dim.filter(F.col(generic_key) == generic_value).select(*rest, F.col(value).alias("_generic"))
-    out = rows.join(F.broadcast(first), list(exact), "left").join(F.broadcast(second), rest, "left")
+    out = rows.join(dimension(first), list(exact), "left").join(dimension(second), rest, "left")
     return out.withColumn(name, F.coalesce("_exact", "_generic")).drop("_exact", "_generic")
 
 
@@ -63,7 +72,7 @@ def official_name(rows: DataFrame, name: str, dim: DataFrame, out: str, title: b
     key = F.upper(F.regexp_replace(F.trim(F.col(name)), r"\s+", " "))
     small = dim.select(F.col("alias").alias("_alias"), F.col("official").alias("_official"))
     own = F.initcap(F.col(name)) if title else F.col(name)
-    return rows.join(F.broadcast(small), key == F.col("_alias"), "left").withColumn(out, F.coalesce("_official", own)).drop("_alias", "_official")
+    return rows.join(dimension(small), key == F.col("_alias"), "left").withColumn(out, F.coalesce("_official", own)).drop("_alias", "_official")
 
 
 def resolve(candidates: Sequence[tuple[str, Column]], valid: str = r"\A\d{6}\z") -> Column:
@@ -150,12 +159,12 @@ def fill_item_codes(items: DataFrame, ident: DataFrame, key: str = "proc_id") ->
 def matching_line(notes: DataFrame, lines: DataFrame, wanted: DataFrame, keys: Sequence[str], code: str, order: str, columns: Sequence[str]) -> DataFrame:
     """Notes with the first line whose code is the wanted one; ``divergent`` where lines exist but none fits; all codes listed."""
     key = keys[0]
-    rows = lines.join(wanted.select(key, F.col(code).alias("_wanted")), key)
+    rows = lines.join(wanted.select(key, F.col(code).alias("_wanted")).hint("shuffle_merge"), key)
     plain = lambda c: F.replace(c, F.lit("."), F.lit(""))
     fits = plain(F.col(code)) == plain(F.col("_wanted"))
     at = F.when(fits, F.col(order))
     best = rows.groupBy(*keys).agg(*(F.min_by(c, at).alias(f"_{c}") for c in columns), F.bool_or(fits).alias("_fits"), F.array_join(F.array_sort(F.collect_set(code)), ", ").alias("codes"), F.count_distinct(code).alias("n_codes"))
-    out = notes.join(best, list(keys), "left")
+    out = notes.join(best.hint("shuffle_merge"), list(keys), "left")
     out = out.withColumns({c: F.when(F.coalesce("_fits", F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c) if c in notes.columns else F.lit(None)) for c in columns})
     return out.withColumn("divergent", F.coalesce(~F.col("_fits"), F.lit(False))).drop("_fits", *(f"_{c}" for c in columns))
 

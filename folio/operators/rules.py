@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
 from folio.functions.text import contains_count, present
+from folio.operators.reconcile import dimension
 
 OK, CAVEAT, BLOCK = "conforme", "ressalva", "bloqueio"
 SEVERITY = {OK: 0, CAVEAT: 1, BLOCK: 2}
@@ -140,7 +141,7 @@ def code_findings(items: DataFrame, ident: DataFrame, names: DataFrame, elements
     """Items whose expenditure code does not fit their description; else one row that all fit. ``names(element, sub, name)`` and ``elements(element, name)`` are dimensions."""
     rows = items.join(ident.select(key, F.col("nd").alias("_nd")), key, "left").withColumn("_code", S.element_sub(F.col("nd_si")))
     rows = rows.withColumn("element", F.coalesce(F.col("_code.element"), S.element_of(F.col("_nd")))).withColumn("sub", F.col("_code.sub")).filter(F.col("element").isNotNull())
-    rows = rows.join(F.broadcast(elements.select("element", F.col("name").alias("_element_name"))), "element", "left")
+    rows = rows.join(dimension(elements.select("element", F.col("name").alias("_element_name"))), "element", "left")
     name = F.coalesce("_element_name", F.concat(F.lit("Elemento "), F.col("element").cast("string")))
     kind, said = S.element_kind(F.col("element")), keyword_kind(F.col("description"))
     shown = {"material": "MATERIAL", "servico": "SERVIÇO", "permanente": "EQUIPAMENTO PERMANENTE"}

@@ -1,29 +1,33 @@
 """From page texts to decisions and texts, for many dossiers at once.
 
-Pages are labelled without a shuffle and dealt once by dossier; what follows joins tables of one row per dossier (or item,
-note, finding) on ``proc_id``. Tables that several later ones read are persisted: their patterns run once, and the plans of
-what follows start from them instead of growing with every step. ``release`` frees them.
+Pages are labelled where they are read, without a shuffle, and written with their labels; their texts are shuffled once, when
+the pages of one label are joined, and these joined texts are written, too. What follows reads these two tables and joins
+tables of one row per dossier (or item, note, finding) on ``proc_id``. Those that several later ones read are written as well:
+their patterns run once, the plans of what follows start from them, and a lost executor costs nothing. ``release``
+deletes the folder.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
 from folio.functions.text import find
-from folio.operators import classify, fields, items, reconcile, render, rules, texts
-from folio.sources import tables
+from folio.operators import classify, fields, items, quality, reconcile, registry, render, rules, texts
+from folio.sources import store, tables
+from folio.streaming import incremental
 
 KEY = "proc_id"
 
 
 @dataclass
 class Dossiers:
-    """Every table of a run; all are lazy but ``texts``."""
+    """Every table of a run, below ``folder``; only ``dispatches`` and ``rendered`` are worked out when they are read."""
 
     labels: DataFrame
     texts: DataFrame
@@ -39,14 +43,10 @@ class Dossiers:
     findings: DataFrame
     decisions: DataFrame
     rendered: DataFrame
+    folder: str
 
     def release(self) -> None:
-        for df in vars(self).values():
-            df.unpersist()
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+        store.remove(self.labels.sparkSession, self.folder)
 
 
 def _of(label_texts: DataFrame, label: str, columns) -> DataFrame:
@@ -54,16 +54,28 @@ def _of(label_texts: DataFrame, label: str, columns) -> DataFrame:
     return rows.select(KEY, *(c.alias(n) for n, c in columns(F.col("text")).items()))
 
 
+def _requisition(text: Column) -> dict[str, Column]:
+    """The fields of a requisition; supplier and tax id also from the text around the first tax id, the instrument also by its context."""
+    near = fields.supplier_near_tax_id(text)
+    own = fields.requisition(text)
+    return own | {"supplier": F.coalesce(own["supplier"], near["supplier"]), "tax_id": F.coalesce(own["tax_id"], near["tax_id"]), "named_instrument": fields.instrument(text)["shown"]}
+
+
 def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Column, ocr_texts: DataFrame | None = None, names: DataFrame | None = None, elements: DataFrame | None = None, with_contract: bool = False, with_notes: bool = True) -> Dossiers:
     """The whole run. ``with_contract`` lets contract checks into the decision; ``with_notes`` false leaves out the credit notes."""
-    pages = pages.repartition(KEY)
-    labels = _kept(classify.classify_pages(pages))
-    labelled = pages.join(labels, [KEY, "page_no"])
-    label_texts = _kept(texts.joined_text(labelled, [KEY, "label"], "page_no"))
-    everyone = _kept(pages.select(KEY).distinct())
+    folder = store.scratch(spark)
+    count = itertools.count()
+
+    def _kept(df: DataFrame) -> DataFrame:
+        return store.written(df, f"{folder}/{next(count)}")
+
+    labelled = store.written(classify.classify_pages(pages, ("text", "source")), f"{folder}/labelled")
+    labels = labelled.select(KEY, "page_no", "label")
+    label_texts = store.written(texts.joined_text(labelled, [KEY, "label"], "page_no"), f"{folder}/texts")
+    everyone = _kept(labels.select(KEY).distinct())
 
     cover = _of(label_texts, "cover", fields.cover)
-    requisition = _of(label_texts, "requisition", fields.requisition).drop("more_nc")
+    requisition = _kept(_of(label_texts, "requisition", _requisition).drop("more_nc"))
     sicaf, cadin = _kept(_of(label_texts, "sicaf", fields.sicaf)), _kept(_of(label_texts, "cadin", fields.cadin))
     consolidated = _kept(_of(label_texts, "consolidated", fields.consolidated))
     contract_texts = label_texts.filter(F.col("label") == "contract")
@@ -72,6 +84,9 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     dispatches = labelled.filter(F.col("label") == "dispatch").select(KEY, "page_no", *(c.alias(n) for n, c in fields.dispatch(F.col("text")).items()))
 
     ident = reconcile.merge_identification(everyone.join(cover, KEY, "left"), requisition)
+    named = requisition.select(KEY, "named_instrument")
+    ident = ident.join(named, KEY, "left").withColumn("instrument", F.coalesce("instrument", "named_instrument")).drop("named_instrument")
+    ident = ident.withColumn("number", F.coalesce("number", fields.requisition_number(F.col("subject"))["raw"]))
     ident = reconcile.complete_supplier(ident, sicaf)
     ident = _kept(ident.withColumn("unit_name", F.coalesce("unit_name", reconcile.unit_from_cover(F.col("origin"), F.col("interested")))))
 
@@ -86,7 +101,11 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     notes = fields.credit_notes(label_texts.filter(F.col("label") == "credit_note"))
     mirrors = labelled.filter(F.col("label").isin("unclassified", "credit_note"))
     notes = reconcile.complete_notes_from_mirror(notes, mirrors)
-    notes = _kept(reconcile.complete_notes(notes, ident, as_of))
+    notes = reconcile.complete_notes(notes, ident, as_of)
+    terminal = F.col("format") == "terminal"
+    lines = fields.event_lines(label_texts.filter(F.col("label") == "credit_note")).withColumnRenamed("value", "balance")
+    fitted = reconcile.matching_line(notes.filter(terminal), lines, ident, [KEY], "nd", "line_no", ["nd", "esf", "ptres", "fonte", "ugr", "pi", "balance"])
+    notes = _kept(fitted.unionByName(notes.filter(~terminal), allowMissingColumns=True))
 
     first_note = notes.groupBy(KEY).agg(F.min_by("favoured_code", "number").alias("_favoured"))
     unit_names = tables.aliases(spark, tables.UNIT_NAME_CODES)
@@ -99,7 +118,13 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     has = labels.groupBy(KEY).agg(F.bool_or(F.col("label") == "checklist").alias("_checklist"), F.bool_or(F.col("label") == "contract").alias("_contract"))
     ident = ident.join(has, KEY, "left")
     ident = ident.withColumn("type", F.coalesce("type", fields.dossier_type(F.col("contract"), F.col("_checklist"), F.col("_contract"), F.col("bid"), F.col("commitment_type")))).drop("_checklist", "_contract")
-    ident = _kept(ident)
+    known = F.create_map(*(F.lit(x) for kv in tables.KNOWN_UNITS.items() for x in kv))
+    ident = reconcile.official_name(ident, "unit_name", tables.official_units(spark), "unit_official", title=True)
+    ident = _kept(ident.withColumn("unit_official", F.coalesce(F.try_element_at(known, F.col("unit_code")), "unit_official")))
+    # a dossier without a credit note document shows the requisition's own note
+    lone = ident.join(notes.select(KEY).distinct().hint("shuffle_merge"), KEY, "left_anti").filter(F.col("nc").isNotNull())
+    lone = lone.select(KEY, F.col("nc").alias("number"), F.col("nc_date").alias("issue_date"), F.col("nc_issuer").alias("issuer_name"), "nd", "pi", "ptres", "ugr", "fonte", F.lit(True).alias("from_requisition"))
+    shown = notes.withColumn("from_requisition", F.lit(False)).unionByName(lone, allowMissingColumns=True)
 
     certificates = _kept(rules.certificate_rows(everyone, sicaf, cadin, consolidated, as_of))
     ids = ident.select(KEY, "tax_id", "supplier").join(sicaf.select(KEY, F.col("tax_id").alias("sicaf_id"), F.col("name").alias("sicaf_name")), KEY, "left")
@@ -109,6 +134,7 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
         rules.name_findings(ids, KEY, "supplier", "sicaf_name", "tax_id", "sicaf_id"),
         rules.item_findings(found, everyone),
         rules.certificate_findings(certificates),
+        quality.number_findings(dispatches.select(KEY, "nup"), ident),
     ]
     if names is not None and elements is not None:
         found_all.append(rules.code_findings(found, ident, names, elements))
@@ -122,7 +148,7 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
         findings = findings.unionByName(f, allowMissingColumns=True)
     findings = _kept(findings)
     decisions = _kept(rules.decide(findings, KEY, partial=not with_notes))
-    return Dossiers(labels, label_texts, ident, found, notes, sicaf, cadin, consolidated, contracts, dispatches, certificates, findings, decisions, rendered(spark, ident, notes, decisions))
+    return Dossiers(labels, label_texts, ident, found, shown, sicaf, cadin, consolidated, contracts, dispatches, certificates, findings, decisions, rendered(spark, ident, shown, decisions), folder)
 
 
 def rendered(spark: SparkSession, ident: DataFrame, notes: DataFrame, decisions: DataFrame, for_rejections: bool = False) -> DataFrame:
@@ -143,3 +169,27 @@ def rendered(spark: SparkSession, ident: DataFrame, notes: DataFrame, decisions:
     out = decisions.join(templates, KEY, "left")
     template = F.col("template") if for_rejections else F.when(F.col("type") != "rejection", F.col("template"))
     return out.select(KEY, template.alias("template"), render.dispatch_text(F.col("type"), F.col("caveats")).alias("dispatch"))
+
+
+def arriving(path: str, page_rows: DataFrame, as_of: Column, **options) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: the batch's pages go through the whole plan, and its results into the history and the registries below ``path``.
+
+    A batch holds whole dossiers. Each writes its own folder of the history, named by its id, and merges into snapshots of the registries,
+    so that a batch that is delivered again changes nothing."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = page_rows.join(batch.select(KEY).distinct().hint("shuffle_merge"), KEY, "left_semi")
+        out = run(spark, batch, rows, as_of, **options)
+        facts = out.identification.select(KEY, "nup", F.col("supplier"), "tax_id", "unit_code", "unit_name", "instrument", "bid", "bid_details", F.to_timestamp(as_of).alias("created"))
+        totals = out.items.groupBy(KEY).agg(F.sum("total").alias("total"))
+        decided = out.decisions.join(facts, KEY).join(totals, KEY, "left").withColumn("result", F.col("type"))
+        made = store.analysis_rows(decided, KEY, "created", ["nup", "result", "title", "supplier", "tax_id", "unit_code", "unit_name", "instrument", "total"])
+        made.write.mode("overwrite").parquet(f"{path}/analyses/batch={batch_id}")
+        bids = facts.join(out.items.select(KEY, F.col("description").alias("item")), KEY, "left").select("bid", "unit_code", F.col("bid_details.unit_name").alias("unit_name"), F.col("bid_details.object").alias("object"), "supplier", "tax_id", "item", KEY, F.col("created").alias("used"))
+        incremental.merge_into(f"{path}/bids", registry.merge_bids)(bids, batch_id)
+        signed = out.contracts.select(KEY, F.col("contract_no").alias("contract"), "contracted", F.col("contracted_tax_id").alias("tax_id"), "object", "total", "valid_from", "valid_to", "signed").withColumn("used", F.to_timestamp(as_of))
+        incremental.merge_into(f"{path}/contracts", registry.merge_contracts)(signed, batch_id)
+        out.release()
+
+    return work

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
@@ -410,21 +407,10 @@ def first_item_projection(spark, d):
     return items.first_item(rows, "l_orderkey")
 
 
-def _scratch(spark) -> str:
-    """A new folder that driver and executors share; a temporary one only serves a local session that names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}"
-
-
 @R.add("store_roundtrip", """
 SELECT o_orderkey, o_orderstatus AS result, strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS note, CAST(0 AS INTEGER) AS n_json FROM orders WHERE o_orderkey % 10 > 0""")
 def store_roundtrip(spark, d):
-    path = _scratch(spark)
+    path = store.scratch(spark)
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("created"), F.col("o_orderstatus").alias("result"), F.col("o_orderpriority").alias("note"))
     old = store.analysis_rows(orders.filter(F.col("o_orderkey") % 2 == 0), "o_orderkey", "created", ["result"])
     new = store.analysis_rows(orders.filter(F.col("o_orderkey") % 2 == 1), "o_orderkey", "created", ["result", "note"])
@@ -536,7 +522,7 @@ def spec_checks(spark, d):
 @R.add("incremental", """
 SELECT user_id AS unit_code, arg_min(event_type, struct_pack(t := ts, e := event_type)) AS unit_name, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_use, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_use FROM events GROUP BY 1""")
 def incremental_units(spark, d):
-    path = _scratch(spark)
+    path = store.scratch(spark)
     events = table(spark, d, "events")
     rows = events.select(F.col("user_id").alias("unit_code"), F.col("event_type").alias("unit_name"), F.col("ts").alias("used"))
     half = F.pmod(F.xxhash64("ts"), F.lit(2))

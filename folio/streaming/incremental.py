@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources.store import remove
+
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
@@ -31,12 +33,14 @@ def current(spark: SparkSession, path: str, before: int | None = None) -> DataFr
     return spark.read.parquet(f"{path}/batch={ids[-1]}") if ids else None
 
 
-def merge_into(path: str, merge: Merge) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function."""
+def merge_into(path: str, merge: Merge, keep: int = 3) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function; the newest ``keep`` snapshots stay, so that a batch delivered again finds its predecessor."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         merge(current(spark, path, batch_id), batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for old in [i for i in _snapshots(spark, path) if i <= batch_id][:-keep]:
+            remove(spark, f"{path}/batch={old}")
 
     return run
 

@@ -14,6 +14,20 @@ from tests import corpus
 AS_OF = "2026-02-10"
 
 
+SMALL = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+
+
+@pytest.fixture(scope="module", autouse=True)
+def small(spark):
+    """A dozen pages go through plans of hundreds of expressions: compiling these would take longest by far."""
+    before = {k: spark.conf.get(k, None) for k in SMALL}
+    for k, v in SMALL.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def run(spark):
     pages = spark.createDataFrame(corpus.PAGES, schemas.PAGES)
@@ -44,6 +58,10 @@ def test_usable(spark):
     assert [r.u for r in df.select(classify.usable(F.col("t")).alias("u")).collect()] == [False, True, False, False]
 
 
+def test_units_have_official_names(run):
+    assert one(run.identification).unit_official == "9º Batalhão de Suprimento"
+
+
 def test_identification(run):
     a = one(run.identification)
     assert (a.nup, a.number, a.sector, a.supplier, a.tax_id) == ("64136.000123/2026-11", "21", "Almox", "ACME LTDA", "12.345.678/0001-90")
@@ -194,6 +212,20 @@ def test_no_field_is_cut_short_in_a_long_text(spark):
     assert r == "Limpeza"
 
 
+def test_arriving_dossiers_fill_history_and_registries(spark, tmp_path):
+    from folio.streaming import incremental
+
+    rows = spark.createDataFrame(corpus.ROWS, schemas.PAGE_ROWS)
+    work = dossier.arriving(f"{tmp_path}/out", rows, F.lit(AS_OF).cast("date"))
+    for n, proc in ((0, "A"), (1, "B"), (1, "B")):  # the second is delivered again
+        work(spark.createDataFrame([p for p in corpus.PAGES if p[0] == proc], schemas.PAGES), n)
+    history = {r.proc_id: r for r in spark.read.parquet(f"{tmp_path}/out/analyses").collect()}
+    assert {k: r.result for k, r in history.items()} == {"A": "caveat", "B": "rejection"} and history["A"].total == Decimal("2009.80")
+    bid = incremental.current(spark, f"{tmp_path}/out/bids").collect()
+    assert [(r.bid, r.dossiers) for r in bid] == [("90004/2025", ["A", "B"])] and len(bid[0]["items"]) == 4
+    assert [r.contract for r in incremental.current(spark, f"{tmp_path}/out/contracts").collect()] == ["059/2024"]
+
+
 def test_destination_rows(spark):
     barred = "DESTINO | 1 | 160136 | 1 | 171460 | 1000000000 | 339000 | 160073 | I3DAFUNADOM | R$ 9.000,00"
     plain = "DESTINO x\nDESTINO 1 1 160136 1 171397 1000000000 33.90.30 160504 E6SUPLJA3RR R$\n4.000,00 fim"
