@@ -117,11 +117,17 @@ def behind(text: Column, anchor: str, flags: str = FLAGS) -> Column:
     return F.try_element_at(F.split(text, rx(anchor, flags), 2), F.lit(2))
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def before(text: Column, anchor: str, flags: str = FLAGS, open_end: bool = True) -> Column:
     """The text ahead of the first match of an anchor; without one the whole text if ``open_end``, else null."""
     parts = F.split(text, rx(anchor, flags), 2)
-    head = F.try_element_at(parts, F.lit(1))
-    return head if open_end else F.when(F.size(parts) == 2, head)
+    if open_end:
+        return F.try_element_at(parts, F.lit(1))
+    return once(parts, lambda p: F.when(F.size(p) == 2, F.try_element_at(p, F.lit(1))))
 
 
 def between(text: Column, begins: str, ends: str, flags: str = FLAGS, open_end: bool = True) -> Column:
