@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.text import find, present, replace_all, squeeze
+from folio.functions.text import find, once, present, replace_all, squeeze
 
 #: Month names (fixed values).
 MONTHS = {"JAN": 1, "FEV": 2, "MAR": 3, "ABR": 4, "MAI": 5, "JUN": 6, "JUL": 7, "AGO": 8, "SET": 9, "OUT": 10, "NOV": 11, "DEZ": 12}
@@ -20,7 +20,10 @@ def money_strict(text: Column) -> Column:
 
 
 def _tolerant(text: Column) -> Column:
-    plain = F.regexp_replace(text, r"\s+", "")
+    return once(F.regexp_replace(text, r"\s+", ""), _unpointed)
+
+
+def _unpointed(plain: Column) -> Column:
     thousands = F.regexp_like(plain, F.lit(r"\A[^.]*\.[0-9]{3}\z"))
     return F.when(F.contains(plain, F.lit(",")), F.replace(F.replace(plain, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(thousands, F.replace(plain, F.lit("."), F.lit(""))).otherwise(plain)
 
@@ -92,11 +95,19 @@ def expiry_label(days: Column) -> Column:
 
 def element_item(code: Column) -> Column:
     """``EE.SS`` or ``EE`` from an expenditure code in any of its written forms; null if there is no element, or sub-element 00."""
-    s = F.regexp_replace(F.regexp_replace(code, r"\s+", ""), r"[^0-9./]", "")
-    s = F.when(F.length(s) <= 15, s)
+    return once(F.regexp_replace(F.regexp_replace(code, r"\s+", ""), r"[^0-9./]", ""), lambda s: once(_element_forms(F.when(F.length(s) <= 15, s)), _element_of_forms))
+
+
+def _element_forms(s: Column) -> Column:
+    """struct(pair, long, single): what each kind of written form gives."""
     pair = F.coalesce(*(F.nullif(F.regexp_replace(F.regexp_extract(s, p, 0), p, "$1.$2"), F.lit("")) for p in (r"\A33\.90\.([0-9]{2})[./]([0-9]{2})\z", r"\A3390([0-9]{2})/([0-9]{2})\z", r"\A([0-9]{2})[./]([0-9]{2})\z")))
     long = F.nullif(F.regexp_replace(F.regexp_extract(s, r"\A3390([0-9]{2})([0-9]{2})\z", 0), r"\A3390([0-9]{2})([0-9]{2})\z", "$1.$2"), F.lit(""))
     single = F.coalesce(*(F.nullif(F.regexp_extract(s, p, 1), F.lit("")) for p in (r"\A3390([0-9]{2})\z", r"\A33\.90\.([0-9]{2})\z", r"\A([0-9]{2})\z")))
+    return F.struct(pair.alias("pair"), long.alias("long"), single.alias("single"))
+
+
+def _element_of_forms(forms: Column) -> Column:
+    pair, long, single = forms["pair"], forms["long"], forms["single"]
     return F.when(pair.isNotNull(), F.when(~pair.endswith(".00"), pair)).when(long.isNotNull(), F.when(long.endswith(".00"), F.substring(long, 1, 2)).otherwise(long)).when(single != "00", single)
 
 

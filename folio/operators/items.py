@@ -61,9 +61,11 @@ def usable_shape(cells: Column) -> Column:
 
 
 def continues_map(cells: Column, known: Column) -> Column:
-    """Whether a first row goes on under a known map: its item cell is a small number, or some cell is an amount."""
-    item = clean_cell(F.try_element_at(cells, F.try_element_at(known, F.lit("item"))))
-    return matches(item, r"\A\d{1,3}\z", "(?d)") | F.exists(cells, lambda c: F.regexp_like(F.coalesce(c, F.lit("")), F.lit(r"R\$|\d+[,.]\d{2}")))
+    """Whether a first row goes on under a known map: it reaches the item column, and its item cell is a small number, or some cell is an amount."""
+    at = F.try_element_at(known, F.lit("item"))
+    item = clean_cell(F.try_element_at(cells, at))
+    fits = matches(item, r"\A\d{1,3}\z", "(?d)") | F.exists(cells, lambda c: F.regexp_like(F.coalesce(c, F.lit("")), F.lit(r"R\$|\d+[,.]\d{2}")))
+    return F.coalesce((F.size(cells) >= at) & fits, F.lit(False))
 
 
 def cell(cells: Column, mapped: Column, name: str) -> Column:
@@ -71,20 +73,32 @@ def cell(cells: Column, mapped: Column, name: str) -> Column:
 
 
 def rows_to_items(page_rows: DataFrame, keys: tuple[str, ...] = ("proc_id", "page_no", "table_no"), order: str = "row_no") -> DataFrame:
-    """Table rows (cells) to items. A header maps the columns of the rows below it; a table without one goes by shape.
+    """Table rows (cells) to items. A header maps the columns of the rows below it; a table without one goes by shape, or, if that
+    gives nothing and its first row fits, by the last header of an earlier table of the same first key.
 
     TOTAL and OBS rows are no items; rows without an item number continue the description above; code, unit and
     quantity missing on an item are taken from the next two rows, up to the next item."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    table = Window.partitionBy(*keys)
+    w = table.orderBy(order)
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = page_rows.withColumns({"_head": is_header(F.col("cells")), "_shape": usable_shape(F.col("cells"))})
-    rows = rows.withColumns({"_map": F.last(F.when(F.col("_head"), column_map(F.col("cells"))), ignorenulls=True).over(up_to), "_guess": F.first(F.when(F.col("_shape"), shape_map(F.col("cells"))), ignorenulls=True).over(up_to), "_headed": F.max("_head").over(Window.partitionBy(*keys))})
-    rows = rows.withColumn("_m", F.when(F.col("_headed"), F.col("_map")).otherwise(F.col("_guess"))).filter(~F.col("_head") & F.col("_m").isNotNull())
-    c = lambda n: cell(F.col("cells"), F.col("_m"), n)
-    text = c("item")
+    rows = rows.withColumns({"_named": F.when(F.col("_head"), column_map(F.col("cells"))), "_formed": F.when(F.col("_shape"), shape_map(F.col("cells")))})
+    if len(keys) > 1:  # the one shuffle, by the first key, serves the windows over single tables, too
+        before = Window.partitionBy(keys[0]).orderBy(*keys[1:], order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_earlier", F.last("_named", ignorenulls=True).over(before))
+    else:
+        rows = rows.withColumn("_earlier", F.col("_named"))
+    rows = rows.withColumns({
+        "_map": F.last("_named", ignorenulls=True).over(up_to), "_guess": F.first("_formed", ignorenulls=True).over(up_to), "_goes_on": F.first(continues_map(F.col("cells"), F.col("_earlier"))).over(up_to),
+        "_headed": F.max("_head").over(table), "_shaped": F.max("_shape").over(table),
+    })
+    mapped = F.when(F.col("_headed"), F.col("_map")).when(F.col("_shaped"), F.col("_guess")).when(F.col("_goes_on"), F.col("_earlier"))
+    rows = rows.withColumn("_m", mapped).filter(~F.col("_head") & F.col("_m").isNotNull())
+    rows = rows.select(*keys, order, *(cell(F.col("cells"), F.col("_m"), n).alias(f"_{n}") for n in HEADER_CELLS))
+    text = F.col("_item")
     item = F.when(~matches(text, "TOTAL|[IÍ]TEM|OBS"), F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit(""))).try_cast("int")
     rows = rows.filter(~matches(F.coalesce(text, F.lit("")), r"\A(TOTAL|OBS)"))
-    rows = rows.select(*keys, order, item.alias("item_no"), c("code").alias("code"), c("description").alias("description"), c("unit").alias("unit"), S.quantity(c("qty")).alias("qty"), S.element_item(c("nd_si")).alias("nd_si"), S.money(c("unit_price")).alias("unit_price"), S.money(c("total")).alias("total"))
+    rows = rows.select(*keys, order, item.alias("item_no"), F.col("_code").alias("code"), F.col("_description").alias("description"), F.col("_unit").alias("unit"), S.quantity(F.col("_qty")).alias("qty"), S.element_item(F.col("_nd_si")).alias("nd_si"), S.money(F.col("_unit_price")).alias("unit_price"), S.money(F.col("_total")).alias("total"))
     rows = rows.withColumns({"_group": F.count("item_no").over(up_to), "_is": F.col("item_no").isNotNull()})
     filled = {}
     for name in ("code", "unit", "qty"):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
-from folio.functions.text import find, find_all, first_rule, matches, present
+from folio.functions.text import find, find_all, first_rule, matches, once, present
 
 
 def joined_parts(*parts: Column) -> Column:
@@ -53,25 +55,34 @@ def compare_templates(rows: DataFrame, key: str, ours: str, theirs: str, compare
     """(key, field, ours, theirs) where both texts name a field differently; a generic code on their side is expected;
     numbers that only their text lists come last, sorted."""
     compared = compared or COMPARED
-    a, b = S.template_tokens(F.col(ours), fields), S.template_tokens(F.col(theirs), fields)
-    rows = rows.withColumns({"_a": a, "_b": b})
-    differs = []
-    for k, name in compared.items():
-        x, y = F.col(f"_a.{k}"), F.col(f"_b.{k}")
-        apart = S.comparable(x) != S.comparable(y)
-        if k == "nd":
-            apart = apart & (S.comparable(y) != generic)
-        differs.append(F.when(apart, F.struct(F.lit(name).alias("field"), x.alias("ours"), y.alias("theirs"))))
+
+    def differs(t: Column) -> Column:
+        out = []
+        for k, name in compared.items():
+            x, y = t["a"][k], t["b"][k]
+            apart = S.comparable(x) != S.comparable(y)
+            if k == "nd":
+                apart = apart & (S.comparable(y) != generic)
+            out.append(F.when(apart, F.struct(F.lit(name).alias("field"), x.alias("ours"), y.alias("theirs"))))
+        out.append(F.when(F.size(t["extra"]) > 0, F.struct(F.lit("NCs adicionais").alias("field"), F.lit("—").alias("ours"), F.array_join(t["extra"], ", ").alias("theirs"))))
+        return F.array_compact(F.array(*out))
+
     extra = F.array_sort(F.array_except(find_all(F.col(theirs), numbers, flags="(?d)"), find_all(F.col(ours), numbers, flags="(?d)")))
+    tokens = F.struct(S.template_tokens(F.col(ours), fields).alias("a"), S.template_tokens(F.col(theirs), fields).alias("b"), extra.alias("extra"))
     both = present(F.col(ours)).isNotNull() & present(F.col(theirs)).isNotNull()
-    differs.append(F.when(F.size(extra) > 0, F.struct(F.lit("NCs adicionais").alias("field"), F.lit("—").alias("ours"), F.array_join(extra, ", ").alias("theirs"))))
-    return rows.filter(both).select(key, F.explode(F.array_compact(F.array(*differs))).alias("d")).select(key, "d.*")
+    # the tokens of both texts are read once, however often they are compared and shown; no filter, as it would work out the texts once more
+    return rows.select(key, F.explode(F.when(both, once(tokens, differs))).alias("d")).select(key, "d.*")
 
 
 def sentence(text: Column) -> Column:
-    """The sentence for a caveat; the rules are tried in order, a text that none fits is used as it stands, in lower case."""
-    up = F.upper(text)
-    has = lambda *ws: matches(up, "|".join(ws), "(?d)")
+    """The sentence for a caveat; the rules are tried in order, a text that none fits is used as it stands, in lower case.
+
+    Each rule looks for its words first, so that its pattern runs only on texts that can fit."""
+    return once(F.struct(text.alias("text"), F.upper(text).alias("up")), lambda t: _sentence(t["text"], t["up"]))
+
+
+def _sentence(text: Column, up: Column) -> Column:
+    has = lambda *ws: reduce(lambda a, b: a | b, [F.contains(up, F.lit(w)) for w in ws])
     g = lambda p, k=1: find(text, p, k)
     cat = lambda *xs: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in xs))
     expired, near, dated = r"([^\n]+?):\s*(\d{2}/\d{2}/\d{4})\s*\((\d+)\s*dias?\s*vencida?\)", r"([^\n]+?):\s*(\d{2}/\d{2}/\d{4})\s*\((\d+)\s*dias?\)", r"([^\n]+?):\s*(\d{2}/\d{2}/\d{4})"
@@ -82,9 +93,9 @@ def sentence(text: Column) -> Column:
     differs = F.contains(text, F.lit("≠"))
     confirms = F.coalesce(cat(" (CNPJ ", g(r"CNPJ confere:\s*([\d./-]+)"), " confere)"), F.lit(""))
     rules = [
-        (matches(text, expired), cat("a certidão de ", S.certificate_name(g(expired)), " no SICAF encontra-se VENCIDA desde ", g(expired, 2), " (", g(expired, 3), " dias).")),
-        (matches(text, near), cat("a certidão de ", S.certificate_name(g(near)), " no SICAF possui validade próxima (", g(near, 2), ", ", g(near, 3), " dias restantes).")),
-        (matches(text, dated) & has("FGTS", "RECEITA", "TRABALHISTA", "QUALIF", "MUNICIPAL", "ESTADUAL", "FEDERAL"), cat("a certidão de ", S.certificate_name(g(dated)), " no SICAF requer verificação (validade: ", g(dated, 2), ").")),
+        (has("VENCID") & matches(text, expired), cat("a certidão de ", S.certificate_name(g(expired)), " no SICAF encontra-se VENCIDA desde ", g(expired, 2), " (", g(expired, 3), " dias).")),
+        (has("DIA") & matches(text, near), cat("a certidão de ", S.certificate_name(g(near)), " no SICAF possui validade próxima (", g(near, 2), ", ", g(near, 3), " dias restantes).")),
+        (has("FGTS", "RECEITA", "TRABALHISTA", "QUALIF", "MUNICIPAL", "ESTADUAL", "FEDERAL") & matches(text, dated), cat("a certidão de ", S.certificate_name(g(dated)), " no SICAF requer verificação (validade: ", g(dated, 2), ").")),
         (has("CNPJ DIVERGENTE") | (has("CNPJ") & differs), F.when(matches(text, ids), cat("o CNPJ constante no ", g(ids), " (", g(ids, 2), ") não corresponde ao CNPJ do fornecedor requisitado (", g(ids, 3), ").")).otherwise("o CNPJ do fornecedor diverge entre as peças do processo.")),
         (has("CNPJ NÃO EXTRAÍDO"), F.lit("não foi possível extrair o CNPJ da requisição para validação cruzada — verificar manualmente.")),
         (has("RAZÃO SOCIAL"), F.when(matches(text, names), cat('a razão social na requisição ("', g(names), '") diverge da razão social no SICAF ("', g(names, 2), '")', confirms, ".")).otherwise("a razão social diverge entre a requisição e o SICAF.")),

@@ -98,6 +98,15 @@ def test_items(run):
     assert len(got) == 4
 
 
+def test_map_goes_on_in_the_next_table(spark):
+    """A table without header whose first row fits goes on under the header of an earlier page; other tables, and other dossiers, do not."""
+    head, first = corpus.ROWS[0][4], corpus.ROWS[1][4]
+    more = ["2", "301999", "PREGO", "KG", "4", "30.24", "R$ 1,00", "R$ 4,00"]
+    rows = [("A", 2, 1, 0, head), ("A", 2, 1, 1, first), ("A", 3, 1, 0, more), ("A", 3, 1, 1, [None, None, "FINO", *[None] * 5]), ("A", 4, 1, 0, ["nota", "texto"]), ("B", 1, 1, 0, more)]
+    got = [(r.proc_id, r.page_no, r.item_no, r.code, r.description, r.qty, r.total) for r in items.rows_to_items(spark.createDataFrame(rows, schemas.PAGE_ROWS)).orderBy("proc_id", "page_no").collect()]
+    assert got == [("A", 2, 1, "123456", "CHAPA DE AÇO", Decimal("6666"), Decimal("1999.80")), ("A", 3, 2, "301999", "PREGO FINO", Decimal("4"), Decimal("4.00"))]
+
+
 def test_certificates(run):
     s = one(run.sicaf)
     assert (s.status, s.size, s.trade_name) == ("Credenciado", "ME", "ACME") and s.validities == {"receita_federal": datetime.date(2026, 7, 20), "fgts": datetime.date(2026, 2, 19)}
