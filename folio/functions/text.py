@@ -8,6 +8,7 @@ long, is cut out by ``between``, in time linear in the text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -149,3 +150,85 @@ def pieces_behind(text: Column, anchor: str, flags: str = FLAGS) -> Column:
 def near(text: Column, anchor: str, pattern: str, reach: int, width: int, flags: str = FLAGS) -> Column:
     """The first match of a pattern of up to ``width`` characters that begins within ``reach`` characters behind an anchor."""
     return first_of(F.transform(pieces_behind(text, anchor, flags), lambda s: find(F.substring(s, 1, reach + width), pattern, 1, flags)))
+
+
+#: What folds to one plain symbol, one for one, so that a text and its folded form have the same positions.
+_FOLDS = {"a": "ÁÀÂÃÄÅáàâãäåª", "c": "Çç", "e": "ÉÈÊËéèêë", "i": "ÍÌÎÏíìîï", "n": "Ññ", "o": "ÓÒÔÕÖóòôõöº°", "u": "ÚÙÛÜúùûü", "-": "–—", " ": "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: White space as patterns have it.
+BLANKS = " \t\n\v\f\r"
+
+
+def folded(text: Column) -> Column:
+    """The text without capitals, accents, long dashes and odd blanks; every symbol stays at its position."""
+    return F.translate(text, _UPPER + "".join(_FOLDS.values()), _UPPER.lower() + "".join(k * len(v) for k, v in _FOLDS.items()))
+
+
+@dataclass(frozen=True)
+class Anchored:
+    """A text beside its folded form, two columns of one row.
+
+    Anchors are plain patterns over the folded text (no flags, no accents: a search for their first letters), and what follows
+    one is cut out of the text itself by position. Every look-up is one search and one cut, linear in the text.
+    """
+
+    text: Column
+    fold: Column
+
+    @classmethod
+    def of(cls, text: Column) -> Anchored:
+        return cls(text, folded(text))
+
+    def _rest(self, anchor: str) -> Column:
+        return F.try_element_at(F.split(self.fold, anchor, 2), F.lit(2))
+
+    def has(self, pattern: str) -> Column:
+        return F.coalesce(F.regexp_like(self.fold, F.lit(pattern)), F.lit(False))
+
+    def code(self, pattern: str, group: int = 1) -> Column:
+        """The group of the first match in the folded text: for digits and fixed words."""
+        return F.nullif(F.regexp_extract(self.fold, pattern, group), F.lit(""))
+
+    def behind(self, anchor: str) -> Column:
+        """The text behind the first match of an anchor; null if there is none."""
+        return F.right(self.text, F.char_length(self._rest(anchor)))
+
+    def line(self, anchor: str) -> Column:
+        """What stands behind an anchor, from the first that is not blank to the end of its line."""
+        return first_line(self.behind(anchor))
+
+    def between(self, begins: str, ends: str) -> Column:
+        """What lies between two anchors, trimmed; null if either is missing or nothing does."""
+        rest = self._rest(begins)
+        parts = F.split(rest, ends, 2)
+        size = F.when(F.size(parts) == 2, F.char_length(F.try_element_at(parts, F.lit(1))))
+        return F.nullif(F.trim(F.substring(self.text, F.char_length(self.text) - F.char_length(rest) + 1, size), F.lit(BLANKS)), F.lit(""))
+
+
+def first_line(text: Column) -> Column:
+    """The first line that is not blank, trimmed; null if there is none."""
+    return present(F.substring_index(F.ltrim(text, F.lit(BLANKS)), "\n", 1))
+
+
+def upto(text: Column, anchor: str) -> Column:
+    """The text ahead of the first match of a plain pattern, whatever its case, or the whole text; trimmed, null if empty."""
+    return present(F.try_element_at(F.split(text, f"(?i){anchor}", 2), F.lit(1)))
+
+
+def lines_around(text: Column, key: Column, below: int) -> Column:
+    """The line in which ``key`` first stands and up to ``below`` more, as far as an empty one; null if it stands nowhere.
+
+    The key is found once and lines are cut off on both sides of it; no line is searched."""
+    at = F.instr(text, key)
+    behind = F.split(F.substring(text, at, F.length(text)), "\n", below + 2)
+    near = F.slice(behind, 1, F.least(F.size(behind), F.lit(below + 1)))
+    empty = F.array_position(near, "").cast("int")
+    near = F.when(empty > 1, F.slice(near, 1, F.greatest(empty - 1, F.lit(0)))).otherwise(near)
+    ahead = F.substring_index(F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0))), "\n", -1)
+    return F.when(at > 0, F.concat(ahead, F.array_join(near, "\n")))
+
+
+def behind_each(text: Column, key: Column) -> Column:
+    """For each place of a key without special characters what follows it, as an array."""
+    parts = F.split(text, key)
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))

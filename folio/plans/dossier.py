@@ -54,11 +54,11 @@ def _of(label_texts: DataFrame, label: str, columns) -> DataFrame:
     return rows.select(KEY, *(c.alias(n) for n, c in columns(F.col("text")).items()))
 
 
-def _requisition(text: Column) -> dict[str, Column]:
+def _requisitions(label_texts: DataFrame) -> DataFrame:
     """The fields of a requisition; supplier and tax id also from the text around the first tax id, the instrument also by its context."""
-    near = fields.supplier_near_tax_id(text)
-    own = fields.requisition(text)
-    return own | {"supplier": F.coalesce(own["supplier"], near["supplier"]), "tax_id": F.coalesce(own["tax_id"], near["tax_id"]), "named_instrument": fields.instrument(text)["shown"]}
+    also = {"_near": fields.supplier_near_tax_id(F.col("text")), "named_instrument": fields.instrument(F.col("text"))["shown"]}
+    out = fields.requisitions(label_texts.filter(F.col("label") == "requisition"), KEY, also=also)
+    return out.withColumns({n: F.coalesce(n, F.col("_near")[n]) for n in ("supplier", "tax_id")}).drop("_near")
 
 
 def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Column, ocr_texts: DataFrame | None = None, names: DataFrame | None = None, elements: DataFrame | None = None, with_contract: bool = False, with_notes: bool = True) -> Dossiers:
@@ -75,7 +75,7 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     everyone = _kept(labels.select(KEY).distinct())
 
     cover = _of(label_texts, "cover", fields.cover)
-    requisition = _kept(_of(label_texts, "requisition", _requisition).drop("more_nc"))
+    requisition = _kept(_requisitions(label_texts).drop("more_nc"))
     sicaf, cadin = _kept(_of(label_texts, "sicaf", fields.sicaf)), _kept(_of(label_texts, "cadin", fields.cadin))
     consolidated = _kept(_of(label_texts, "consolidated", fields.consolidated))
     contract_texts = label_texts.filter(F.col("label") == "contract")

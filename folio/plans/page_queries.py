@@ -72,7 +72,7 @@ def requisition_fields(spark, d):
     text = _cat("Req nº ", _s(k % 1000), "-Almox\nDo: Chefe da Sec ", _s(k % 7), " do 9º B ", _s("c_nationkey"), " Sup\nNUP: ", F.col("nup"), "\nAssunto: ", F.col("c_mktsegment"), " e outros\nTipo de Empenho: ", F.element_at(F.array(*map(F.lit, ("Ordinário", "GLOBAL", "estimativo"))), (k % 3 + 1).cast("int")),
                 "\nEmpresa: ", F.col("c_name"), " – CNPJ: ", F.col("tax"), "\nNC ", F.col("nc"), ", de ", F.date_format("day", "dd/MM/yyyy"), ", do DGO, ND 3390", _s(30 + k % 10), ", PI E6SUP", _pad(k % 10_000, 4), ", PTRES 17", _pad(k % 10_000, 4), ", UGR 160", _pad(k % 1000, 3), ", FONTE 1", _pad(k % 1_000_000_000, 9),
                 "\nPE ", _pad(k % 1000, 3), "/2025, UASG 16", _pad(k % 10_000, 4), F.when(k % 2 == 0, " (GER)").otherwise(" (participante)"), "\n", F.when(k % 4 == 0, "e NC 2025NC000001\n").otherwise(""), "aprovar despesas com a aquisição de ", F.col("c_mktsegment"), "\npor meio do PE")
-    out = _read(_orders(spark, d).withColumn("text", text), fields.requisition(F.col("text")))
+    out = fields.requisitions(_orders(spark, d).withColumn("text", text), KEY)
     return out.select(KEY, "number", "sector", "unit_name", "nup", "subject", "commitment_type", "supplier", "tax_id", "nc", F.array_join("more_nc", ",").alias("more_nc"), "nc_date", "nc_issuer", "nd", "pi", "ptres", "ugr", "fonte", "bid", "unit_code", "participation", F.col("bid_details.object").alias("bid_object"))
 
 

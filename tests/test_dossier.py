@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions.text import lines_around
 from folio.operators import classify, fields, items, texts
 from folio.plans import dossier
 from folio.sources import schemas
@@ -208,8 +209,6 @@ def test_no_field_is_cut_short_in_a_long_text(spark):
         "note": ("DOCUMENTO WEB : 2026NC000343\nOBSERVACAO\n" + MEGABYTE + "LANCADO POR X", lambda t: F.length(fields.terminal_note(t)["note"]).cast("string"), str(len(line))),
         "subject": ("Assunto: " + MEGABYTE.lower() + "\n\n1. x", lambda t: F.length(fields.dispatch(t)["subject"]).cast("string"), str(len(line))),
         "observation": ('Obs: "' + MEGABYTE + '"', lambda t: F.length(fields.observation(t)).cast("string"), str(len(MEGABYTE))),
-        "purchase": ("despesas com a aquisição de " + line + " por meio do PE", lambda t: F.length(fields.bid_details(t)["object"]).cast("string"), str(len("aquisição de " + line))),
-        "template": ("2026NC000343\n6. Material:\n2026NC000343 ND 339030 PI X " + MEGABYTE + "\n8. Outro", lambda t: F.length(fields.own_template(t)).cast("string"), str(len("2026NC000343 ND 339030 PI X " + line))),
     }
     df = spark.createDataFrame([(k, t) for k, (t, *_) in cases.items()], "proc_id string, text string")
     got = fields.pieces(df.filter("proc_id = 'pieces'"), "proc_id")
@@ -221,6 +220,70 @@ def test_no_field_is_cut_short_in_a_long_text(spark):
     assert r == "Limpeza"
 
 
+def test_requisition_fields_in_a_long_text(spark):
+    """A megabyte ahead of, between and behind the anchors; the number of the credit note in the first, or only in the last line."""
+    import time
+
+    line = MEGABYTE.replace("\n", " ").strip()
+    cases = {
+        "purchase": ("despesas com a aquisição de " + line + " por meio do PE", lambda r: len(r.bid_details["object"]), len("aquisição de " + line)),
+        "template": ("2026NC000343\n6. Material:\n2026NC000343 ND 339030 PI X " + MEGABYTE + "\n8. Outro", lambda r: len(r.own_template), len("2026NC000343 ND 339030 PI X " + line)),
+        "last": (MEGABYTE + "9º B Mnt, NC 2026NC000343, de 05FEV26, ND 339030\nPE 90004/2025\n\nfim", lambda r: (r.own_template, r.nc_date), ("9º B Mnt, NC 2026NC000343, de 05FEV26, ND 339030 PE 90004/2025", "05FEV26")),
+        "many": ("2026NC000343\n" * 80_000 + "2026NC000343 de 5/02/26\nEmpresa: " + line, lambda r: (r.nc_date, len(r.supplier)), ("5/02/26", len(line))),
+    }
+    for name, (text, read, want) in cases.items():
+        df = fields.requisitions(spark.createDataFrame([("A", text)], "proc_id string, text string"))
+        start = time.time()
+        assert read(df.first()) == want, name
+        assert time.time() - start < 20, name
+    near = spark.createDataFrame([(cases["last"][0],)], "text string").select(lines_around(F.col("text"), F.lit("2026NC000343"), 6).alias("n"))
+    near.first()
+    start = time.time()
+    assert near.first().n.startswith("9º B Mnt") and time.time() - start < 1
+
+
+def test_lines_around_a_key(spark):
+    cases = {"a\nb K\nc\nd": ("K", "b K\nc"), "K": ("K", "K"), "x K\n\ny": ("K", "x K"), "\nK\ny": ("K", "K\ny"), "none": ("K", None)}
+    df = spark.createDataFrame([(i, t, k) for i, (t, (k, _)) in enumerate(cases.items())], "i int, t string, k string")
+    assert [r.n for r in df.select("i", lines_around(F.col("t"), F.col("k"), 1).alias("n")).orderBy("i").collect()] == [w for _, w in cases.values()]
+
+
+REQUISITIONS = [
+    # each written form of a sender, and what is unit and sector then
+    ("Do: Chefe da Seção de Compras do 9º B Mnt, em exercício\n", {"unit_name": "9º B Mnt", "sector": "Seção de Compras"}),
+    ("Do: FISC ADM/Cmdo 9º Gpt Log Ao: Sr X\n", {"unit_name": "9º Gpt Log", "sector": "FISC ADM"}),
+    ("Do: 18º B Trnp\n", {"unit_name": "18º B Trnp", "sector": None}),
+    ("Do: Fulano\nAo: Sr OD do Cmdo 9º Gpt Log\n", {"unit_name": "9º Gpt Log"}),
+    ("Do Sr Cmt do 18 B Trnp\n", {"unit_name": "18 B Trnp"}),
+    ("Do Enc Set Mat/Cmdo 9º Gpt Log\n", {"unit_name": "9º Gpt Log", "sector": "Set Mat"}),
+    ("Do Enc Almoxarifado\n", {"unit_name": "Almoxarifado", "sector": None}),
+    ("Req. nº 9 – Aprv/CCAp\n", {"number": "9", "sector": "Aprv"}),
+    ("REQ 12-9º Gpt Log\n", {"number": "12", "sector": None}),
+    ("Referência: Lei 14.133\n", {"law": "Lei 14.133"}), ("Lei Federal Nr 14.133, de 2021\n", {"law": "14.133, de 2021"}),
+    ("TIPO DE EMPENHO ordinario\n", {"commitment_type": "Ordinario"}), ("( x ) Ordinário ( ) Global\n", {"commitment_type": "Ordinário"}), ("(X)Estimativo", {"commitment_type": "Estimativo"}),
+    ("Nome da empresa: ÁGUIA S.A. - CNPJ: 12.345.678/0001-90", {"supplier": "ÁGUIA S.A.", "tax_id": "12.345.678/0001-90"}), ("EMPRESA:\n BETA – CNPJ: x\n", {"supplier": "BETA", "tax_id": None}),
+    ("2026NC000001 x 2026NC000002 e 2026NC000001, DE 27 JAN 26 da Diretoria de Gestão Orçamentária", {"nc": "2026NC000001", "more_nc": ["2026NC000002"], "nc_date": "27 JAN 26", "nc_issuer": "DGO"}),
+    ("2026NC000001 11/jan/2026 dela COTER", {"nc_date": "11/jan/2026", "nc_issuer": "COTER", "more_nc": []}), ("2026NC000001", {"nc_date": None}),
+    ("Pregão Eletrônico nº 9004/2025 gerenciado pela UASG 160142 – 9º B Sup, o qual", {"bid": "90004/2025", "unit_code": "160142", "bid_details": ("160142", "9º B Sup", None)}),
+    ("Pregão nº 90006/2024, da UASG 160141, CRO/9 da qual", {"bid": "90006/2024", "bid_details": ("160141", "CRO/9", None)}),
+    ("PE 4/2025 PE 90004/2025, UASG 160142 (CAR)", {"bid": "90004/2025", "participation": "CAR", "bid_details": ("160142", None, None)}), ("órgão participante", {"participation": "PART"}),
+    ("contrato nº 59/2024 gerenciado pela UG 160136\nGestão e Fiscalização de Contrato: Fulano", {"contract": "59/2024", "managing_unit": "160136", "inspector": "Fulano"}),
+    ("aprovar as despesas com a\ncontratação, constante", {"bid_details": (None, None, "a contratação")}), ("despesas com Aquisição de água para atender", {"bid_details": (None, None, "Aquisição de água")}),
+    ("Campo Grande, MS, 3 de março de 2026.\nAo Sr. Ordenador\nASSUNTO:  compra ", {"date": "3 de março de 2026", "addressee": "Ordenador", "subject": "compra"}),
+    ("ND 33.90.30 PI ABCDEFGH1 PTRES 1714 UGR 160504 FONTE 1000000000 NUP: 64136.000123/2026-11", {"nd": "33.90.30", "pi": "ABCDEFGH1", "ptres": "1714", "ugr": "160504", "fonte": "1000000000", "nup": "64136.000123/2026-11"}),
+    ("7. Descrição\n2026NC000001 ND 339030\nCONTRATO 59/2024\n\n8. x", {"own_template": "2026NC000001 ND 339030 CONTRATO 59/2024"}), ("7. Descrição\n2026NC000001 sem código\n8. x", {"own_template": None}),
+    ("", {"number": None, "nc": None, "own_template": None}), (None, {"number": None, "nc": None, "own_template": None}),
+]
+
+
+def test_written_forms_of_a_requisition(spark):
+    df = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(REQUISITIONS)], "proc_id string, text string")
+    got = {r.proc_id: r.asDict() for r in fields.requisitions(df).collect()}
+    for i, (text, want) in enumerate(REQUISITIONS):
+        own = {k: (tuple(got[str(i)][k]) if k == "bid_details" else got[str(i)][k]) for k in want}
+        assert own == want, text
+
+
 def test_arriving_dossiers_fill_history_and_registries(spark, tmp_path):
     from folio.streaming import incremental
 
