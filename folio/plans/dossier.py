@@ -56,9 +56,9 @@ def _of(label_texts: DataFrame, label: str, columns) -> DataFrame:
 
 def _requisitions(label_texts: DataFrame) -> DataFrame:
     """The fields of a requisition; supplier and tax id also from the text around the first tax id, the instrument also by its context."""
-    also = {"_near": fields.supplier_near_tax_id(F.col("text")), "named_instrument": fields.instrument(F.col("text"))["shown"]}
+    also = {"_beside": fields.supplier_near_tax_id(F.col("text")), "named_instrument": fields.instrument(F.col("text"))["shown"]}
     out = fields.requisitions(label_texts.filter(F.col("label") == "requisition"), KEY, also=also)
-    return out.withColumns({n: F.coalesce(n, F.col("_near")[n]) for n in ("supplier", "tax_id")}).drop("_near")
+    return out.withColumns({n: F.coalesce(n, F.col("_beside")[n]) for n in ("supplier", "tax_id")}).drop("_beside")
 
 
 def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Column, ocr_texts: DataFrame | None = None, names: DataFrame | None = None, elements: DataFrame | None = None, with_contract: bool = False, with_notes: bool = True) -> Dossiers:

@@ -63,17 +63,30 @@ def piece_rows(spark, d):
     return fields.pieces(_orders(spark, d).select(KEY, text.alias("text")), KEY).select(KEY, "piece_no", "name", "status")
 
 
-@R.add("requisition_fields", f"""WITH {_ORDERS} SELECT o_orderkey, CAST(k % 1000 AS VARCHAR) AS number, 'Almox' AS sector, '9º B ' || c_nationkey || ' Sup' AS unit_name, nup, c_mktsegment || ' e outros' AS subject, ['Ordinário', 'Global', 'Estimativo'][k % 3 + 1] AS commitment_type, c_name AS supplier, tax AS tax_id, nc,
-  CASE WHEN k % 4 = 0 THEN '2025NC000001' ELSE '' END AS more_nc, strftime(day, '%d/%m/%Y') AS nc_date, 'DGO' AS nc_issuer, '3390' || 30 + k % 10 AS nd, 'E6SUP' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS pi, '17' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS ptres,
-  '160' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') AS ugr, '1' || lpad(CAST(k % 1000000000 AS VARCHAR), 9, '0') AS fonte, '90' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || '/2025' AS bid, '16' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS unit_code, CASE WHEN k % 2 = 0 THEN 'GER' ELSE 'PART' END AS participation,
-  'aquisição de ' || c_mktsegment AS bid_object FROM o""")
+_REQUISITION = f"""WITH {_ORDERS}, r AS (SELECT *, k % 2 = 0 AS one, '3390' || 30 + k % 10 AS nd, 'E6SUP' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS pi, '17' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS ptres, '160' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') AS ugr,
+  '1' || lpad(CAST(k % 1000000000 AS VARCHAR), 9, '0') AS fonte, lpad(CAST(k % 1000 AS VARCHAR), 3, '0') AS pe, '16' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS unit FROM o)
+SELECT o_orderkey, CAST(k % 1000 AS VARCHAR) AS number, 'Almox' AS sector, '9º B ' || c_nationkey || ' Sup' AS unit_name, nup, k % 28 + 1 || ' de março de 2026' AS "date", 'Ordenador ' || c_nationkey AS addressee, c_mktsegment || ' e outros' AS subject, CASE WHEN one THEN 'Lei ' || k ELSE k || ', de 2021' END AS law,
+  ['Ordinário', 'Global', 'Estimativo'][k % 3 + 1] AS commitment_type, c_name AS supplier, tax AS tax_id, nc, CASE WHEN k % 4 = 0 THEN '2025NC000001' ELSE '' END AS more_nc, strftime(day, '%d/%m/%Y') AS nc_date, 'DGO' AS nc_issuer, nd, pi, ptres, ugr, fonte, '90' || pe || '/2025' AS bid, unit AS unit_code,
+  CASE WHEN one THEN 'GER' ELSE 'PART' END AS participation, CASE WHEN NOT one THEN '59/2024' END AS contract, CASE WHEN NOT one THEN '160136' END AS managing_unit, CASE WHEN NOT one THEN 'Fulano ' || c_nationkey END AS inspector, unit AS bid_unit_code, CASE WHEN NOT one THEN '9º B Sup' END AS bid_unit_name,
+  CASE WHEN one THEN 'aquisição de ' ELSE 'serviço de ' END || c_mktsegment AS bid_object,
+  CASE WHEN one THEN 'NC ' || nc || ', de ' || strftime(day, '%d/%m/%Y') || ', do DGO, ND ' || nd || ', PI ' || pi || ', PTRES ' || ptres || ', UGR ' || ugr || ', FONTE ' || fonte || ' PE ' || pe || '/2025, UASG ' || unit || ' (GER)' ELSE nc || ', ND ' || nd || ' PE ' || pe END AS own_template FROM r"""
+
+
+@R.add("requisition_fields", _REQUISITION)
 def requisition_fields(spark, d):
-    k = F.col("k")
-    text = _cat("Req nº ", _s(k % 1000), "-Almox\nDo: Chefe da Sec ", _s(k % 7), " do 9º B ", _s("c_nationkey"), " Sup\nNUP: ", F.col("nup"), "\nAssunto: ", F.col("c_mktsegment"), " e outros\nTipo de Empenho: ", F.element_at(F.array(*map(F.lit, ("Ordinário", "GLOBAL", "estimativo"))), (k % 3 + 1).cast("int")),
-                "\nEmpresa: ", F.col("c_name"), " – CNPJ: ", F.col("tax"), "\nNC ", F.col("nc"), ", de ", F.date_format("day", "dd/MM/yyyy"), ", do DGO, ND 3390", _s(30 + k % 10), ", PI E6SUP", _pad(k % 10_000, 4), ", PTRES 17", _pad(k % 10_000, 4), ", UGR 160", _pad(k % 1000, 3), ", FONTE 1", _pad(k % 1_000_000_000, 9),
-                "\nPE ", _pad(k % 1000, 3), "/2025, UASG 16", _pad(k % 10_000, 4), F.when(k % 2 == 0, " (GER)").otherwise(" (participante)"), "\n", F.when(k % 4 == 0, "e NC 2025NC000001\n").otherwise(""), "aprovar despesas com a aquisição de ", F.col("c_mktsegment"), "\npor meio do PE")
-    out = fields.requisitions(_orders(spark, d).withColumn("text", text), KEY)
-    return out.select(KEY, "number", "sector", "unit_name", "nup", "subject", "commitment_type", "supplier", "tax_id", "nc", F.array_join("more_nc", ",").alias("more_nc"), "nc_date", "nc_issuer", "nd", "pi", "ptres", "ugr", "fonte", "bid", "unit_code", "participation", F.col("bid_details.object").alias("bid_object"))
+    """Every field, in two written forms each; the second names the bid, a contract and a numbered template field."""
+    k, kind = F.col("k"), F.element_at(F.array(*map(F.lit, ("Ordinário", "GLOBAL", "estimativo"))), (F.col("k") % 3 + 1).cast("int"))
+    n, pe, unit, nation = _s(k % 1000), _pad(k % 1000, 3), _cat("16", _pad(k % 10_000, 4)), _s("c_nationkey")
+    nd, day = _cat("ND 3390", _s(30 + k % 10)), F.date_format("day", "dd/MM/yyyy")
+    codes = _cat(nd, ", PI E6SUP", _pad(k % 10_000, 4), ", PTRES 17", _pad(k % 10_000, 4), ", UGR 160", _pad(k % 1000, 3), ", FONTE 1", _pad(k % 1_000_000_000, 9))
+    more = F.when(k % 4 == 0, "e NC 2025NC000001\n").otherwise("")
+    first = _cat("Req nº ", n, "-Almox\nDo: Chefe da Sec ", _s(k % 7), " do 9º B ", nation, " Sup\nCampo Grande, MS, ", _s(k % 28 + 1), " de março de 2026.\nAo Sr Ordenador ", nation, "\nNUP: ", F.col("nup"), "\nAssunto: ", F.col("c_mktsegment"), " e outros\nReferência: Lei ", _s(k), "\nTipo de Empenho: ", kind,
+                 "\nEmpresa: ", F.col("c_name"), " – CNPJ: ", F.col("tax"), "\nNC ", F.col("nc"), ", de ", day, ", do DGO, ", codes, "\nPE ", pe, "/2025, UASG ", unit, " (GER)\n\n", more, "aprovar despesas com a aquisição de ", F.col("c_mktsegment"), "\npor meio do PE")
+    second = _cat("REQ. ", n, " – Almox/Cia Cmdo\nDo: Sec ", _s(k % 7), "/Cmdo 9º B ", nation, " Sup Ao: Sr OD\nCAMPO GRANDE – ", _s(k % 28 + 1), " de março de 2026\nAo  Sr. Ordenador ", nation, "\nNUP: ", F.col("nup"), "\nASSUNTO:\n", F.col("c_mktsegment"), " e outros\nLei Federal Nr ", _s(k), ", de 2021\n( x ) ", kind,
+                  "\nNome da empresa: ", F.col("c_name"), "\nCNPJ: ", F.col("tax"), "\nNC ", F.col("nc"), " ", day, " da Diretoria de Gestão Orçamentária, ", codes, "\nPregão Eletrônico nº ", pe, "/2025 gerenciado pela UASG ", unit, " – 9º B Sup, órgão participante\n", more,
+                  "CONTRATO Nº 59/2024, gerenciado pela UG 160136\nGestão e Fiscalização de Contrato: Fulano ", nation, "\naprovar as despesas com serviço de ", F.col("c_mktsegment"), " constante do termo\n7. Descrição do material\n", F.col("nc"), ", ", nd, "\n PE ", pe, "\n8. Fim")
+    out = fields.requisitions(_orders(spark, d).withColumn("text", F.when(k % 2 == 0, first).otherwise(second)), KEY)
+    return out.withColumns({"more_nc": F.array_join("more_nc", ","), **{f"bid_{n}": F.col("bid_details")[n] for n in ("unit_code", "unit_name", "object")}}).drop("bid_details")
 
 
 @R.add("certificate_fields", f"""WITH {_ORDERS} SELECT o_orderkey, tax AS tax_id, c_name AS name, CASE WHEN k % 3 = 0 THEN 'Suspenso' ELSE 'Credenciado' END AS status, CAST(day AS VARCHAR) AS valid_to, CASE WHEN k % 2 = 0 THEN 'Consta' ELSE 'Nada Consta' END AS impediment, CAST(day + CAST(k % 50 AS INTEGER) AS VARCHAR) AS fgts,

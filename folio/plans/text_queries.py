@@ -71,7 +71,7 @@ WITH f AS (SELECT doc_id, regexp_extract_all(text, '([0-9]{2,6})', 1) AS a FROM
 SELECT doc_id, a[1] AS main, len(list_distinct(a)) - CASE WHEN len(a) > 0 THEN 1 ELSE 0 END AS n_more, len(a) AS n_all FROM f""")
 def repeat_extract(spark, d):
     rows = table(spark, d, "documents").select("doc_id", find_all(F.col("text"), "([0-9]{2,6})", flags="(?d)").alias("a"), find_distinct(F.col("text"), "([0-9]{2,6})", flags="(?d)").alias("u"))
-    more = F.size(F.slice("u", 2, 1_000_000))
+    more = F.size(F.slice("u", 2, F.greatest(F.size("u") - 1, F.lit(0))))
     return rows.select("doc_id", F.try_element_at("u", F.lit(1)).alias("main"), more.cast("long").alias("n_more"), F.size("a").cast("long").alias("n_all"))
 
 

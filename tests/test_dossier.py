@@ -220,6 +220,17 @@ def test_no_field_is_cut_short_in_a_long_text(spark):
     assert r == "Limpeza"
 
 
+def test_names_of_any_length(spark):
+    """A company of 300 characters found by its suffix, signers of 150 characters in both forms, blanks of any kind."""
+    company, person = "GRÃO DE OURO " * 22 + "COMÉRCIO LTDA", ("ÂNGELA  DA\tSILVA " * 9).strip()
+    cases = [(f"entre a UNIÃO e {company}, doravante", f"x\n{person} - 2º Ten Int\nChefe da Seção\n"), ("e ME", f"x\n{person}\nChefe de Tudo\n"), ("e " + "A" * 200_000, "\n" + "A " * 200_000)]
+    rows = [(i, c, s) for i, (c, s) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, c string, s string").select("i", fields.contract_document(F.col("c"))["contracted"].alias("c"), *(fields.dispatch(F.col("s"))[n].alias(n) for n in ("signer", "role")))
+    got = [tuple(r)[1:] for r in df.orderBy("i").collect()]
+    assert len(company) >= 299 and len(person) >= 150
+    assert got == [(company, f"{person} - 2º Ten Int", "Chefe da Seção"), (None, person, "Chefe de Tudo"), (None, None, None)]
+
+
 def test_requisition_fields_in_a_long_text(spark):
     """A megabyte ahead of, between and behind the anchors; the number of the credit note in the first, or only in the last line."""
     import time
