@@ -9,7 +9,9 @@ number's check digit is right is a feature: numbers of a card's length that fail
 Only words with a digit or an at sign can carry a label other than "outside": the model is so constrained.
 A text's chain therefore falls apart into runs of such words, which are decoded exactly, with the features of
 the words around them; the rest of a text is not looked at twice. Texts are mapped whole, however long, and
-never shuffled; the patterns are linear in the text.
+never shuffled; the patterns are linear in the text. Words, too, are read whole, however long.
+
+Where spans tie: base spans stay, added ones touch none of them; of equal paths the one with the first labels is taken.
 
 Nulls: a null text is empty and has no spans. Repeated rows are searched each. An empty table gives no rows.
 Columns named ``base`` or ``spans`` are replaced by ``spans_of``; ``masked`` changes the text alone.
@@ -179,7 +181,7 @@ _CUE_OF = {w: k for k, ws in _CUES.items() for w in ws}
 
 def shape(word: str) -> str:
     """Upper case X, lower case x, digit 9, others themselves; runs over three are cut to three."""
-    out = re.sub(r"[0-9]", "9", word[:80])
+    out = re.sub(r"[0-9]", "9", word)
     out = "".join("x" if c.islower() else "X" if c.isupper() else c for c in out)
     return re.sub(r"(.)\1{3,}", r"\1\1\1", out)
 
@@ -190,17 +192,17 @@ def _hash(name: str) -> int:
 
 def word_features(word: str, number: str = "") -> list[int]:
     """``number`` tells whether the long number that the word is part of has a right check digit."""
-    digits = "".join(c for c in word[:80] if "0" <= c <= "9")
+    digits = "".join(c for c in word if "0" <= c <= "9")
     own = ("sound" if luhn(digits) else "unsound") if 13 <= len(digits) <= 19 else ""
-    names = [f"s={shape(word)}", f"d={min(len(digits), 20)}", f"l={min(len(word) // 4, 10)}", f"p={''.join(sorted({c for c in word[:80] if not c.isalnum()}))[:8]}", f"a={any(c.isalpha() for c in word[:80])}", f"h={bool(re.fullmatch('[0-9a-f]{20,}', word[:80]))}", f"n={number}", f"o={own}", f"no={number}{own}"]
+    names = [f"s={shape(word)}", f"d={min(len(digits), 20)}", f"l={min(len(word) // 4, 10)}", f"p={''.join(sorted({c for c in word if not c.isalnum()}))[:8]}", f"a={any(c.isalpha() for c in word)}", f"h={bool(re.fullmatch('[0-9a-f]{20,}', word))}", f"n={number}", f"o={own}", f"no={number}{own}"]
     return [_hash(n) for n in names]
 
 
 def around_features(word: str | None, where: str) -> list[int]:
     if word is None:
         return [_hash(f"{where}none")]
-    low = word[:80].lower().strip(_AROUND + ":.()")
-    return [_hash(f"{where}c={_CUE_OF.get(low, '-')}"), _hash(f"{where}s={shape(word) if any(c.isdigit() for c in word[:80]) else 'w'}")]
+    low = word.lower().strip(_AROUND + ":.()")
+    return [_hash(f"{where}c={_CUE_OF.get(low, '-')}"), _hash(f"{where}s={shape(word) if any(c.isdigit() for c in word) else 'w'}")]
 
 
 def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, str | None, str | None]]:
@@ -232,7 +234,7 @@ def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str,
         after = z
         while after < size and text[after] in SPACES:
             after += 1
-        yield text[a:z], a, z, text[max(left(before), before - 80) : before] or None, text[after : min(right(after), after + 80)] or None
+        yield text[a:z], a, z, text[left(before) : before] or None, text[after : right(after)] or None
 
 
 def _numbers(text: str) -> list[tuple[int, int, str]]:
