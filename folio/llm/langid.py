@@ -33,7 +33,7 @@ from folio.llm.common import hold, slices, table
 
 #: Buckets are the upper 17 bits of a 32-bit hash.
 ORDERS, WIDTH = 5, 1 << 17
-MAX_FIT, MAX_LANGUAGES = 4000, 200
+MAX_FIT, MAX_LANGUAGES = 2000, 200
 UNKNOWN = "und"
 #: Code points of a text that are worked on at once.
 PIECE = 1_000_000
@@ -112,15 +112,16 @@ def _stretches(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield n, bucket[:PIECE]
 
 
-def profile(text: str) -> np.ndarray | None:
-    """Frequencies of the buckets, each order summing to one; None without a letter."""
+def profile(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The buckets of a text and their frequencies, each order summing to one; None without a letter."""
     symbols = _whole(text)
     if len(symbols) < 2:
         return None
     out = np.zeros(WIDTH)
     for n, bucket in _stretches(symbols):
         out += np.bincount(bucket, minlength=WIDTH) / max(len(symbols) - n, 1)
-    return out
+    places = np.flatnonzero(out)
+    return places.astype("<i4"), out[places].astype("<f4")
 
 
 def margins(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,9 +274,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not counted:
         return Model([], {})
     each = max(1, max_fit // len(counted))
-    # rows whose hash is low: about four times as many as are taken; equal rows have equal hashes, so the order still decides
+    # rows whose hash is low: about twice as many as are taken; equal rows have equal hashes, so the order still decides
     drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
-    low = F.create_map(*(F.lit(x) for r in counted for x in (r.lang, min(1 << 40, (1 << 40) * 4 * each // r.n + (1 << 20)))))
+    low = F.create_map(*(F.lit(x) for r in counted for x in (r.lang, min(1 << 40, (1 << 40) * 2 * each // r.n + (1 << 20)))))
     rows = rows.withColumn("drawn", drawn).filter(F.col("drawn") < F.try_element_at(low, F.col("lang")))
     order = Window.partitionBy("lang").orderBy("drawn", "id")  # each task keeps ``each`` rows a language before the shuffle
     taken = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each).select("lang", "nth", "text")
@@ -283,11 +284,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             found = [profile(t.lower()) for t in b.column(2).to_pylist()]
-            places = [None if p is None else np.flatnonzero(p) for p in found]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array([None if at is None else at.astype("<i4").tobytes() for at in places], pa.binary()),
-                pa.array([None if at is None else p[at].astype("<f4").tobytes() for p, at in zip(found, places, strict=True)], pa.binary()),
-            ], ["lang", "nth", "places", "values"])
+            parts = (pa.array([None if p is None else p[k].tobytes() for p in found], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *parts], ["lang", "nth", "places", "values"])
 
     got = taken.mapInArrow(run, "lang string, nth int, places binary, values binary").filter(F.col("places").isNotNull()).orderBy("lang", "nth").collect()
     return train([(r.lang, np.frombuffer(r.places, "<i4"), np.frombuffer(r["values"], "<f4")) for r in got])
