@@ -1,6 +1,5 @@
-"""Self-growing registries: bids, contracts, units. A merge groups what is stored with a batch; stored values come first.
-
-Stored registries carry ``seq`` columns implicitly: their rows take part with order 0, batch rows with their own time order."""
+"""Self-growing registries: bids, contracts, units. What rows say is turned into facts by key, which ``sources.keyed`` stores and merges;
+``merge_registry`` groups a table at once."""
 
 from __future__ import annotations
 
@@ -11,6 +10,7 @@ from folio.functions import scalars as S
 from folio.functions.text import present
 from folio.operators.reconcile import first_filled
 from folio.operators.render import code_and_name
+from folio.sources import keyed
 
 
 def merge_registry(rows: DataFrame, key: str, order: str, seen: str, first: list[str] = (), sets: dict[str, str] | None = None, flags: list[str] = (), distinct_by: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -30,22 +30,23 @@ def merge_registry(rows: DataFrame, key: str, order: str, seen: str, first: list
     return out
 
 
-def merge_bids(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Bids by number. Rows: bid, unit_code, unit_name, object, supplier, tax_id, item, proc_id, used (timestamp)."""
-    rows = batch.withColumns({"bid": S.bid_number(F.col("bid")), "supplier_id": S.tax_id(F.col("tax_id")), "item_id": F.upper(present(F.col("item")))}).filter(F.col("bid").isNotNull())
-    if stored is not None:
-        rows = _unrolled(stored, {"suppliers": "supplier", "items": "item", "dossiers": "proc_id"}).withColumns({"supplier_id": S.tax_id(F.element_at(F.split("supplier", r"\|"), 1)), "item_id": F.upper(present(F.col("item")))}).unionByName(rows.withColumn("supplier", F.concat_ws("|", "tax_id", "supplier")), allowMissingColumns=True)
-    else:
-        rows = rows.withColumn("supplier", F.concat_ws("|", "tax_id", "supplier"))
-    return merge_registry(rows, "bid", "used", "used", ["unit_code", "unit_name", "object"], {"dossiers": "proc_id"}, distinct_by={"suppliers": ("supplier_id", "supplier"), "items": ("item_id", "item")})
+def bid_facts(rows: DataFrame) -> DataFrame:
+    """Facts of bids, by repaired number. Rows: bid, unit_code, unit_name, object, supplier, tax_id, item, proc_id, used.
+
+    Suppliers are told apart by tax id, items by their text without regard to case, dossiers by id."""
+    ready = rows.withColumns({"bid": S.bid_number(F.col("bid")), "supplier_id": S.tax_id(F.col("tax_id")), "item_id": F.upper(present(F.col("item"))), "supplier": F.concat_ws("|", "tax_id", "supplier")})
+    return keyed.facts(ready, "bid", "used", ["unit_code", "unit_name", "object"], sets={"suppliers": ("supplier_id", "supplier"), "items": ("item_id", "item"), "dossiers": ("proc_id", "proc_id")})
+
+
+def contract_facts(rows: DataFrame) -> DataFrame:
+    """Facts of contracts, by normalised number. Rows: contract, contracted, tax_id, object, total, valid_from, valid_to, signed, proc_id, used."""
+    ready = rows.withColumn("contract", S.contract_number(F.col("contract")))
+    return keyed.facts(ready, "contract", "used", ["contracted", "tax_id", "object", "total", "valid_from", "valid_to"], ["signed"], {"dossiers": ("proc_id", "proc_id")})
 
 
-def merge_contracts(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Contracts by normalised number. Rows: contract, contracted, tax_id, object, total, valid_from, valid_to, signed, proc_id, used."""
-    rows = batch.withColumn("contract", S.contract_number(F.col("contract"))).filter(F.col("contract").isNotNull())
-    if stored is not None:
-        rows = _unrolled(stored, {"dossiers": "proc_id"}).unionByName(rows, allowMissingColumns=True)
-    return merge_registry(rows, "contract", "used", "used", ["contracted", "tax_id", "object", "total", "valid_from", "valid_to"], {"dossiers": "proc_id"}, ["signed"])
+def unit_facts(rows: DataFrame) -> DataFrame:
+    """Facts of units, by code. Rows: unit_code, unit_name, used."""
+    return keyed.facts(rows, "unit_code", "used", ["unit_name"])
 
 
 def merge_units(rows: DataFrame, code: str = "unit_code", name: str = "unit_name", seen: str = "used") -> DataFrame:
@@ -53,19 +54,6 @@ def merge_units(rows: DataFrame, code: str = "unit_code", name: str = "unit_name
     return merge_registry(rows.filter(present(F.col(code)).isNotNull()), code, seen, seen, [name])
 
 
-def _unrolled(stored: DataFrame, arrays: dict[str, str]) -> DataFrame:
-    """A stored registry as rows again, one set at a time: first and last use both take part."""
-    out = None
-    scalars = [c for c in stored.columns if c not in arrays and c not in ("first_use", "last_use")]
-    for used in ("first_use", "last_use"):
-        part = stored.select(*scalars, F.col(used).alias("used"))
-        out = part if out is None else out.unionByName(part)
-    for name, column in arrays.items():
-        part = stored.select(stored.columns[0], F.col("first_use").alias("used"), F.explode(name).alias(column))
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
 def listing(registry: DataFrame, arrays: list[str], text: str, width: int = 80, unit: tuple[str, str] | None = None, validity: tuple[str, str] | None = None) -> DataFrame:
     """Registry rows with set sizes and a shortened text; ``unit`` (code, name) and ``validity`` (from, to) become one label each."""
     labels = []

@@ -9,6 +9,7 @@ deletes the folder.
 
 from __future__ import annotations
 
+import datetime
 import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from folio.functions import scalars as S
 from folio.functions.text import find
 from folio.operators import classify, fields, items, quality, reconcile, registry, render, rules, texts
-from folio.sources import store, tables
+from folio.sources import analyses, keyed, store, tables
 from folio.streaming import incremental
 
 KEY = "proc_id"
@@ -171,11 +172,12 @@ def rendered(spark: SparkSession, ident: DataFrame, notes: DataFrame, decisions:
     return out.select(KEY, template.alias("template"), render.dispatch_text(F.col("type"), F.col("caveats")).alias("dispatch"))
 
 
-def arriving(path: str, page_rows: DataFrame, as_of: Column, **options) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: the batch's pages go through the whole plan, and its results into the history and the registries below ``path``.
+def arriving(path: str, page_rows: DataFrame, as_of: Column, limit: datetime.timedelta = datetime.timedelta(days=7), **options) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: pages go through the whole plan, and its results into the history and the registries of bids,
+    contracts and units below ``path``. A batch that is delivered again changes nothing.
 
-    A batch holds whole dossiers. Each writes its own folder of the history, named by its id, and merges into snapshots of the registries,
-    so that a batch that is delivered again changes nothing."""
+    Pages that carry ``n_pages`` (how many pages their dossier has) and ``arrived`` may come in any pieces: they wait until their
+    dossier is whole, or until ``limit`` has passed. Without these columns a batch holds whole dossiers."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -185,11 +187,13 @@ def arriving(path: str, page_rows: DataFrame, as_of: Column, **options) -> Calla
         totals = out.items.groupBy(KEY).agg(F.sum("total").alias("total"))
         decided = out.decisions.join(facts, KEY).join(totals, KEY, "left").withColumn("result", F.col("type"))
         made = store.analysis_rows(decided, KEY, "created", ["nup", "result", "title", "supplier", "tax_id", "unit_code", "unit_name", "instrument", "total"])
-        made.write.mode("overwrite").parquet(f"{path}/analyses/batch={batch_id}")
+        analyses.Analyses(spark, f"{path}/analyses").append(made, batch_id)
         bids = facts.join(out.items.select(KEY, F.col("description").alias("item")), KEY, "left").select("bid", "unit_code", F.col("bid_details.unit_name").alias("unit_name"), F.col("bid_details.object").alias("object"), "supplier", "tax_id", "item", KEY, F.col("created").alias("used"))
-        incremental.merge_into(f"{path}/bids", registry.merge_bids)(bids, batch_id)
+        keyed.merge_into(f"{path}/bids", registry.bid_facts)(bids, batch_id)
         signed = out.contracts.select(KEY, F.col("contract_no").alias("contract"), "contracted", F.col("contracted_tax_id").alias("tax_id"), "object", "total", "valid_from", "valid_to", "signed").withColumn("used", F.to_timestamp(as_of))
-        incremental.merge_into(f"{path}/contracts", registry.merge_contracts)(signed, batch_id)
+        keyed.merge_into(f"{path}/contracts", registry.contract_facts)(signed, batch_id)
+        keyed.merge_into(f"{path}/units", registry.unit_facts)(facts.select("unit_code", "unit_name", F.col("created").alias("used")), batch_id)
         out.release()
 
-    return work
+    hold = incremental.whole(f"{path}/waiting", work, KEY, limit=limit)
+    return lambda batch, batch_id: hold(batch, batch_id) if {"n_pages", "arrived"} <= set(batch.columns) else work(batch, batch_id)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
 from folio.functions.text import first_rule, present, replace_all
-from folio.operators import classify, fields, history, items, quality, reconcile, registry, render, rules
+from folio.operators import classify, fields, history, items, quality, reconcile, registry, render, rules, texts
 from folio.plans.bindings import AS_OF, Registry, as_of, decimal, table
-from folio.sources import store, tables
+from folio.sources import analyses, keyed, store, tables
 from folio.streaming import incremental
 
 R = Registry()
@@ -412,13 +412,12 @@ SELECT o_orderkey, o_orderstatus AS result, strftime(o_orderdate, '%Y-%m') AS mo
 def store_roundtrip(spark, d):
     path = store.scratch(spark)
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("created"), F.col("o_orderstatus").alias("result"), F.col("o_orderpriority").alias("note"))
-    old = store.analysis_rows(orders.filter(F.col("o_orderkey") % 2 == 0), "o_orderkey", "created", ["result"])
-    new = store.analysis_rows(orders.filter(F.col("o_orderkey") % 2 == 1), "o_orderkey", "created", ["result", "note"])
-    store.append(old, f"{path}/analyses")
-    store.append(new, f"{path}/analyses")
-    gone = store.read(spark, f"{path}/analyses").filter(F.col("o_orderkey") % 10 == 0).select("analysis_id")
-    store.delete(spark, f"{path}/analyses", f"{path}/kept", gone)
-    kept = store.read(spark, f"{path}/kept")
+    kept = analyses.Analyses(spark, f"{path}/analyses", searched=())
+    kept.append(store.analysis_rows(orders.filter(F.col("o_orderkey") % 2 == 0), "o_orderkey", "created", ["result"]), 0)
+    kept.append(store.analysis_rows(orders.filter(F.col("o_orderkey") % 2 == 1), "o_orderkey", "created", ["result", "note"]), 1)
+    kept.delete(kept.read().filter(F.col("o_orderkey") % 10 == 0).select("analysis_id"))
+    kept.fold()
+    kept = kept.read()
     store.export_csv(kept.select("o_orderkey", "result"), f"{path}/csv")
     exported = spark.read.schema("o_orderkey long, result string").option("header", True).csv(f"{path}/csv")
     both = kept.drop("result").join(exported, "o_orderkey")
@@ -473,11 +472,11 @@ def merged_bids(spark, d):
     n, k = F.col("o_custkey") % 1000, F.col("o_orderkey")
     rows = table(spark, d, "orders").select(F.concat(n.cast("string"), F.lit("/2025")).alias("bid"), F.lit("160136").alias("unit_code"), F.lit(None).cast("string").alias("unit_name"), F.when(k % 3 > 0, F.concat(F.lit("obj"), k.cast("string"))).alias("object"), F.concat(F.lit("n"), (k % 7).cast("string")).alias("supplier"), F.concat(F.lit("1."), (k % 7).cast("string"), F.lit("/0")).alias("tax_id"),
                                             F.when(k % 2 == 0, F.lower("o_orderstatus")).otherwise(F.concat(F.col("o_orderstatus"), F.lit(" "))).alias("item"), k.cast("string").alias("proc_id"), k.alias("used"))
-    early = registry.merge_bids(None, rows.filter(k % 2 == 0))
-    both = registry.listing(registry.merge_bids(early, rows.filter(k % 2 == 1)), ["dossiers", "suppliers", "items"], "unit_code")
-    again = registry.merge_bids(None, rows)  # the first object by use comes from all rows at once
-    out = both.select("bid", *(F.col(c).cast("long").alias(c) for c in ("n_dossiers", "n_suppliers", "n_items")), "first_use", "last_use")
-    return out.join(again.select("bid", "object").hint("shuffle_merge"), "bid")
+    path = store.scratch(spark)
+    for batch, half in enumerate((0, 1, 1)):  # the second delivery comes twice
+        keyed.merge_into(f"{path}/bids", registry.bid_facts)(rows.filter(k % 2 == half), batch)
+    out = keyed.Keyed(spark, f"{path}/bids").entries("bid", ["object"], sets=["dossiers", "suppliers", "items"])
+    return out.select("bid", "object", "n_dossiers", "n_suppliers", "n_items", "first_use", "last_use")
 
 
 @R.add("dims_load", """
@@ -526,23 +525,81 @@ def incremental_units(spark, d):
     events = table(spark, d, "events")
     rows = events.select(F.col("user_id").alias("unit_code"), F.col("event_type").alias("unit_name"), F.col("ts").alias("used"))
     half = F.pmod(F.xxhash64("ts"), F.lit(2))
-    for part in (0, 1):  # the events arrive in two deliveries, the second one twice
+    work = keyed.merge_into(f"{path}/units", registry.unit_facts)
+    for part in (0, 1, 1):  # the events arrive in two deliveries, the second one twice
         rows.filter(half == part).write.mode("append").parquet(f"{path}/in")
-        _run_units(spark, path, rows.schema)
-    rows.filter(half == 1).write.mode("append").parquet(f"{path}/in")
-    _run_units(spark, path, rows.schema)
-    return incremental.current(spark, f"{path}/units").select("unit_code", "unit_name", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_use", "last_use")))
-
-
-def _run_units(spark, path, schema) -> None:
-    def merge(stored, batch):
-        order = lambda df: df.withColumn("order", F.struct("used", "unit_name"))
-        rows = order(incremental.once_per_content(batch, ["unit_code"]))
-        if stored is not None:
-            for use in ("first_use", "last_use"):
-                name = F.col("unit_name") if use == "first_use" else F.lit(None).cast("string").alias("unit_name")
-                rows = rows.unionByName(order(stored.select("unit_code", name, F.col(use).alias("used"))))
-        return registry.merge_registry(rows, "unit_code", "order", "used", ["unit_name"])
-
-    stream = spark.readStream.schema(schema).parquet(f"{path}/in")
-    incremental.run_available(stream, f"{path}/units", f"{path}/checkpoint", merge)
+        incremental.run_available(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/checkpoint", work)
+    out = keyed.Keyed(spark, f"{path}/units").entries("unit_code", ["unit_name"])
+    return out.select(F.col("unit_code").cast("long").alias("unit_code"), "unit_name", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_use", "last_use")))
+
+
+@R.add("arriving_pieces", """
+SELECT conv_id, count(*) AS n_pages, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn, text) FILTER (text <> '')) AS text_md5, 'done' AS result FROM (SELECT DISTINCT conv_id, turn, text FROM conversations) GROUP BY conv_id""")
+def arriving_pieces(spark, d):
+    """Conversations as dossiers whose pages come in four deliveries, some twice; each goes into the history when it is whole."""
+    path = store.scratch(spark)
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("proc_id"), F.col("turn").alias("page_no"), "text").distinct()
+    size = rows.groupBy("proc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    pages = rows.join(size.hint("shuffle_hash"), "proc_id").withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000)))
+    kept = analyses.Analyses(spark, f"{path}/analyses", searched=())
+
+    def work(whole, batch_id):
+        joined = texts.joined_text(whole, ["proc_id"], "page_no").withColumnsRenamed({"text": "joined"})
+        one = whole.groupBy("proc_id").agg(F.count(F.lit(1)).alias("n_pages")).join(joined, "proc_id", "left")
+        made = one.withColumns({"created": F.timestamp_seconds(F.lit(1_700_000_000)), "result": F.lit("done"), "text_md5": F.md5(F.nullif("joined", F.lit("")))})
+        kept.append(store.analysis_rows(made, "proc_id", "created", ["n_pages", "text_md5", "result"]), batch_id)
+
+    hold = incremental.whole(f"{path}/waiting", work)
+    part = F.pmod(F.xxhash64("proc_id", "page_no"), F.lit(3))
+    for batch, own in enumerate((part == 0, part == 1, part < 2, part == 2)):
+        hold(pages.filter(own), batch)
+    return kept.read().select(F.col("proc_id").cast("long").alias("conv_id"), "n_pages", "text_md5", "result")
+
+
+def _history(spark, d):
+    """Orders as analyses, stored in two batches (the second comes twice); a tenth is deleted, one month's half folded away."""
+    path = store.scratch(spark)
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select("o_orderkey", F.col("o_orderdate").alias("created"), F.col("o_orderstatus").alias("result"), decimal("o_totalprice").alias("total"), F.col("c_name").alias("supplier"), F.col("c_mktsegment").alias("unit_name"))
+    made = store.analysis_rows(rows, "o_orderkey", "created", ["result", "total", "supplier", "unit_name"])
+    kept = analyses.Analyses(spark, f"{path}/analyses")
+    for batch, half in enumerate((0, 1)):
+        for _ in range(batch + 1):
+            kept.append(made.filter(F.col("o_orderkey") % 2 == half), batch)
+    kept.delete(made.filter(F.col("o_orderkey") % 20 == 0).select("analysis_id"))
+    kept.fold()
+    kept.delete(made.filter(F.col("o_orderkey") % 20 == 10).select("analysis_id"))
+    return kept
+
+
+@R.add("history_kept", """
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS approved, count(*) FILTER (o_orderstatus = 'O') AS caveat, count(*) FILTER (o_orderstatus = 'P') AS rejected, CAST(sum(CAST(round(o_totalprice, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS total
+FROM orders WHERE o_orderkey % 10 > 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) GROUP BY 1""")
+def history_kept(spark, d):
+    """Counts and sums from what is kept beside the history, after appends, deletes and a fold; no row of the history is read."""
+    return _history(spark, d).monthly({"approved": "F", "caveat": "O", "rejected": "P"}).withColumn("total", F.col("total").cast("double"))
+
+
+@R.add("history_found", f"""
+WITH o AS (SELECT o_orderkey, o_orderdate, c_name, c_mktsegment, CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 > 0)
+SELECT 'text' AS kind, o_orderkey FROM o WHERE c_name ILIKE '%er#0%9%1%' OR c_mktsegment ILIKE '%er#0%9%1%'
+UNION ALL SELECT 'short', o_orderkey FROM o WHERE c_name ILIKE '%9_1%' OR c_mktsegment ILIKE '%9_1%' UNION ALL SELECT 'period', o_orderkey FROM o WHERE CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - INTERVAL 90 DAY""")
+def history_found(spark, d):
+    """Substring search by postings and by scan, and the rows of a period."""
+    kept = _history(spark, d)
+    named = {"text": kept.search("ER#0%9%1"), "short": kept.search("9_1"), "period": kept.period(as_of(), 90)}
+    out = None
+    for kind, rows in named.items():
+        part = rows.select(F.lit(kind).alias("kind"), "o_orderkey")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@R.add("history_latest", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 > 0 AND CAST(o_orderdate AS DATE) >= (SELECT min(x) FROM (SELECT CAST(o_orderdate AS DATE) AS x FROM orders WHERE o_orderkey % 10 > 0 ORDER BY 1 DESC LIMIT 100))""")
+def history_latest(spark, d):
+    """The newest hundred rows, and those of the same day as the last of them; only the newest months are read."""
+    kept = _history(spark, d)
+    last = kept.latest(100).agg(F.min(F.to_date("created")).alias("last"))
+    rows = kept.read(kept.newest_months(100))
+    return rows.join(F.broadcast(last), F.to_date("created") >= F.col("last")).select("o_orderkey", "month")  # one row

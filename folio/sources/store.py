@@ -1,4 +1,4 @@
-"""The stored history: append, evolve, delete, export. Tables are Parquet folders partitioned by month."""
+"""Scratch tables, the rows of the history (kept by ``analyses``), exports."""
 
 from __future__ import annotations
 
@@ -37,27 +37,6 @@ def analysis_rows(decisions: DataFrame, key: str, created: str, columns: list[st
     return decisions.select(made.alias("analysis_id"), key, F.col(created).alias("created"), F.date_format(created, "yyyy-MM").alias("month"), *columns)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("month").parquet(path)
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All files, older ones without newer columns included."""
-    return spark.read.option("mergeSchema", True).parquet(path)
-
-
-def evolve(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new, allowMissingColumns=True)
-
-
-def delete(spark: SparkSession, path: str, target: str, ids: DataFrame, key: str = "analysis_id") -> bool:
-    """Writes the table without the ids to ``target`` (a new snapshot); whether any id was there."""
-    rows = read(spark, path)
-    found = not rows.join(ids, key, "left_semi").isEmpty()
-    rows.join(ids, key, "left_anti").write.partitionBy("month").parquet(target)
-    return found
-
-
 def export_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header; Spark writes no byte-order mark."""
     flat = rows.select(*(F.array_join(c, "; ").alias(c) if t.startswith("array<string") else F.col(c) for c, t in rows.dtypes))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folio.functions.text import lines_around
 from folio.operators import classify, fields, items, texts
 from folio.plans import dossier
-from folio.sources import schemas
+from folio.sources import analyses, keyed, schemas
 from tests import corpus
 
 AS_OF = "2026-02-10"
@@ -295,18 +295,38 @@ def test_written_forms_of_a_requisition(spark):
         assert own == want, text
 
 
-def test_arriving_dossiers_fill_history_and_registries(spark, tmp_path):
-    from folio.streaming import incremental
+def filled(spark, path):
+    """The history and the registries below a path."""
+    history = {r.proc_id: (r.result, r.total) for r in analyses.Analyses(spark, f"{path}/analyses").read().collect()}
+    bid = keyed.Keyed(spark, f"{path}/bids")
+    shown = {r.bid: (r.n_items, r.n_dossiers) for r in bid.entries("bid", sets=["items", "dossiers"]).collect()}
+    dossiers = {r.bid: sorted(r.dossiers) for r in bid.members("bid", "dossiers", 10).collect()}
+    contracts = [r.contract for r in keyed.Keyed(spark, f"{path}/contracts").entries("contract").collect()]
+    units = sorted((r.unit_code, r.unit_name) for r in keyed.Keyed(spark, f"{path}/units").entries("unit_code", ["unit_name"]).collect())
+    return history, shown, dossiers, contracts, units
+
+
+FILLED = ({"A": ("caveat", Decimal("2009.80")), "B": ("rejection", Decimal("12.00"))}, {"90004/2025": (4, 2)}, {"90004/2025": ["A", "B"]}, ["059/2024"], [("160142", "9º B Mnt")])
 
+
+def test_arriving_dossiers_fill_history_and_registries(spark, tmp_path):
     rows = spark.createDataFrame(corpus.ROWS, schemas.PAGE_ROWS)
     work = dossier.arriving(f"{tmp_path}/out", rows, F.lit(AS_OF).cast("date"))
     for n, proc in ((0, "A"), (1, "B"), (1, "B")):  # the second is delivered again
         work(spark.createDataFrame([p for p in corpus.PAGES if p[0] == proc], schemas.PAGES), n)
-    history = {r.proc_id: r for r in spark.read.parquet(f"{tmp_path}/out/analyses").collect()}
-    assert {k: r.result for k, r in history.items()} == {"A": "caveat", "B": "rejection"} and history["A"].total == Decimal("2009.80")
-    bid = incremental.current(spark, f"{tmp_path}/out/bids").collect()
-    assert [(r.bid, r.dossiers) for r in bid] == [("90004/2025", ["A", "B"])] and len(bid[0]["items"]) == 4
-    assert [r.contract for r in incremental.current(spark, f"{tmp_path}/out/contracts").collect()] == ["059/2024"]
+    assert filled(spark, f"{tmp_path}/out") == FILLED
+
+
+def test_dossiers_that_arrive_in_pieces(spark, tmp_path):
+    """Pages of both dossiers in turn, one batch twice; a dossier is worked off when its last page is there."""
+    rows = spark.createDataFrame(corpus.ROWS, schemas.PAGE_ROWS)
+    size = {p: sum(x[0] == p for x in corpus.PAGES) for p in "AB"}
+    pages = [(*p, size[p[0]] if i % 4 == 0 or p[1] == size[p[0]] else None, datetime.datetime(2026, 2, 1)) for i, p in enumerate(corpus.PAGES)]
+    work = dossier.arriving(f"{tmp_path}/out", rows, F.lit(AS_OF).cast("date"))
+    schema = "proc_id string, page_no int, text string, source string, n_pages int, arrived timestamp"
+    for n, part in ((0, pages[::2]), (0, pages[::2]), (1, pages[1::2])):
+        work(spark.createDataFrame(part, schema), n)
+    assert filled(spark, f"{tmp_path}/out") == FILLED
 
 
 def test_destination_rows(spark):

@@ -3,25 +3,35 @@
 from pyspark.sql import functions as F
 
 from folio.operators import history, quality, reconcile, registry, render, rules
-from folio.sources import store, tables
+from folio.sources import keyed, tables
 from folio.streaming import incremental
 
 
-def test_merge_is_idempotent(spark):
+def bids(store):
+    """Entries with their members, one row a bid."""
+    out = store.entries("bid", ["unit_code", "unit_name", "object"], sets=["suppliers", "items", "dossiers"])
+    for name in ("suppliers", "items", "dossiers"):
+        out = out.join(store.members("bid", name, 10), "bid", "left")
+    return out.collect()
+
+
+def test_merge_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([("9014/2024", "1", None, "obj", "ACME", "11.111.111/0001-11", "Tinta ", "P1", 1), ("90014/2024", "1", "U", "other", "ACME SA", "11111111000111", "tinta", "P2", 2), ("90014/2024", None, "V", None, "BETA", "22.222.222/0001-22", "Papel", "P1", 3)], "bid string, unit_code string, unit_name string, object string, supplier string, tax_id string, item string, proc_id string, used int")
-    once = registry.merge_bids(None, rows)
-    r = once.first()
-    assert once.count() == 1 and (r.bid, r.unit_code, r.unit_name, r.object, r.first_use, r.last_use) == ("90014/2024", "1", "U", "obj", 1, 3)
-    assert r.dossiers == ["P1", "P2"] and len(r.suppliers) == 2 and r["items"] == ["Tinta ", "Papel"]
-    twice = registry.merge_bids(once, rows).first()
-    assert (twice.object, twice.dossiers, twice.first_use, twice.last_use, len(twice.suppliers), len(twice["items"])) == ("obj", ["P1", "P2"], 1, 3, 2, 2)
+    store_ = keyed.Keyed(spark, f"{tmp_path}/bids", buckets=4, spread=2)
+    for batch in range(2):  # the same rows as another batch change nothing
+        store_.merge(registry.bid_facts(rows), batch)
+        (r,) = bids(store_)
+        assert (r.bid, r.unit_code, r.unit_name, r.object, r.first_use, r.last_use) == ("90014/2024", "1", "U", "obj", 1, 3)
+        assert r.dossiers == ["P1", "P2"] and len(r.suppliers) == 2 and r["items"] == ["Tinta ", "Papel"] and (r.n_suppliers, r.n_items, r.n_dossiers) == (2, 2, 2)
 
 
-def test_contracts_and_units(spark):
+def test_contracts_and_units(spark, tmp_path):
     rows = spark.createDataFrame([("59/2024", "A", False, "P1", 1), ("059/2024", "B", True, "P2", 2), (None, "C", True, "P3", 3)], "contract string, contracted string, signed boolean, proc_id string, used int")
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("tax_id", "object", "total", "valid_from", "valid_to")})
-    r = registry.merge_contracts(None, rows).collect()
-    assert [(x.contract, x.contracted, x.signed, x.dossiers) for x in r] == [("059/2024", "A", True, ["P1", "P2"])]
+    store_ = keyed.Keyed(spark, f"{tmp_path}/contracts")
+    store_.merge(registry.contract_facts(rows), 0)
+    (x,) = store_.entries("contract", ["contracted", "object"], ["signed"], ["dossiers"]).collect()
+    assert (x.contract, x.contracted, x.object, x.signed, x.n_dossiers) == ("059/2024", "A", None, True, 2) and store_.members("contract", "dossiers", 1).first().dossiers == ["P1"]
     units = spark.createDataFrame([("1", None, 1), ("1", "U", 2), (None, "V", 3)], "unit_code string, unit_name string, used int")
     assert [tuple(x) for x in registry.merge_units(units).select("unit_code", "unit_name", "first_use", "last_use").collect()] == [("1", "U", 1, 2)]
 
@@ -72,30 +82,21 @@ def test_search_and_latest(spark):
     assert [r.id for r in history.latest(rows, 2, "created", "id").collect()] == [3, 2]
 
 
-def test_store(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "2026-01-05", "ok"), ("b", "2026-02-05", "no")], "proc_id string, created string, result string")
-    made = store.analysis_rows(rows, "proc_id", "created", ["result"])
-    store.append(made, f"{tmp_path}/t")
-    assert store.delete(spark, f"{tmp_path}/t", f"{tmp_path}/u", made.filter("proc_id = 'a'").select("analysis_id")) is True
-    assert [r.proc_id for r in store.read(spark, f"{tmp_path}/u").collect()] == ["b"]
-    assert store.delete(spark, f"{tmp_path}/u", f"{tmp_path}/v", made.filter("proc_id = 'a'").select("analysis_id")) is False
+def test_safe_array(spark):
     assert [len(r.a) for r in spark.createDataFrame([('["x"]',), ("bad",), (None,)], "t string").select(tables.safe_array(F.col("t")).alias("a")).collect()] == [1, 0, 0]
 
 
 def test_incremental_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(str(i % 3), f"n{i}" if i > 2 else None, i) for i in range(12)], "unit_code string, unit_name string, used int")
-
-    def merge(stored, batch):
-        both = batch if stored is None else batch.unionByName(stored.select("unit_code", "unit_name", F.col("first_use").alias("used"))).unionByName(stored.select("unit_code", F.lit(None).cast("string").alias("unit_name"), F.col("last_use").alias("used")))
-        return registry.merge_units(both)
-
-    for k in range(3):
+    work = keyed.merge_into(f"{tmp_path}/out", registry.unit_facts)
+    for k in (2, 0, 1):
         rows.filter(F.col("used") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        incremental.run_available(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", merge)
-    got = incremental.current(spark, f"{tmp_path}/out").select("unit_code", "first_use", "last_use").orderBy("unit_code").collect()
-    assert [tuple(r) for r in got] == [("0", 0, 9), ("1", 1, 10), ("2", 2, 11)]
-    incremental.merge_into(f"{tmp_path}/out", merge)(rows.filter("used % 3 = 2"), 2)  # delivered again
-    assert [tuple(r) for r in incremental.current(spark, f"{tmp_path}/out").select("unit_code", "first_use", "last_use").orderBy("unit_code").collect()] == [("0", 0, 9), ("1", 1, 10), ("2", 2, 11)]
+        incremental.run_available(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", work)
+    units = lambda: [tuple(r) for r in keyed.Keyed(spark, f"{tmp_path}/out").entries("unit_code", ["unit_name"]).orderBy("unit_code").collect()]
+    want = [("0", "n3", 0, 9), ("1", "n4", 1, 10), ("2", "n5", 2, 11)]
+    assert units() == want
+    work(rows.filter("used % 3 = 1"), 2)  # delivered again
+    assert units() == want
 
 
 def test_missing_and_failures(spark):
