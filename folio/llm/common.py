@@ -25,7 +25,33 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Scratch folders of this session, in order.
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many scratch folders there were so far: a mark for ``clear``."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, mark: int, keep: str) -> None:
+    """Deletes the scratch folders made since a mark, but for ``keep``: for jobs whose result is written."""
+    for path in _made[mark:]:
+        if path != keep:
+            remove(spark, path)
+    _made[mark:] = [keep] if keep in _made[mark:] else []
+
+
+def narrow_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Rows go to Python in Arrow batches of up to ``most`` bytes, in this session from now on: operators over texts work on slices smaller
+    than that, and what a task holds twice, here and there, is so much less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > most:
+        spark.conf.set(name, str(most))
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -16,7 +16,7 @@ in a fixed order, so that reruns agree, however the rows are partitioned.
 
 Nulls: a null text has size 0; the null source is a source, ranked last; a null id is an id. Repeated rows
 are documents each; of rows with one id, source and size it is not said which is taken how often. Documents of size 0 are
-not taken. An empty table gives no rows. Other columns are ignored by ``mix`` and carried along by ``take``, whatever their names.
+not taken; a very long text is a size like any other. Documents of equal size meet in order of a hash. An empty table gives no rows. Other columns are ignored by ``mix`` and carried along by ``take``, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,6 +13,9 @@ its pairs are counted over an inverted list, and those of similarity 0.75 or mor
 over ``cluster_weight`` is dealt into blocks whose pairs are tasks of their own; its links go through the
 same distributed component search as the loose ones.
 
+A very long text is read whole, alone in its slice. Of equal texts the row with the smallest id stands for all; of the rows of a
+component the smallest id names it.
+
 Nulls: a text that is null or without words has an empty set and is linked with nothing. A text of one to
 four words is one shingle, its whole sequence. For ``link``, rows that share an id are one document, and a row
 without an id is linked with nothing and kept; ``deduplicate`` looks at rows, whatever their ids. An empty table
@@ -270,11 +273,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small:
     spark = docs.sparkSession
     base = scratch_dir(spark)
     sketched = materialize(sketch(docs, id_col, text_col), f"{base}/sketch")
-    first = sketched.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(id_col).cast("long").alias("rep"))
-    first = materialize(first, f"{base}/first")
-    same = F.col(id_col) == F.col("rep")
-    reps = sketched.join(first.hint("shuffle_merge"), "digest").filter(same).dropDuplicates(["digest"]).select("rep", "n_shingles", "sig", "first", "deep")
-    reps = materialize(reps, f"{base}/reps")
+    # the row that stands for each distinct text, combined in parts: a text of a third of the rows is a row a task
+    first = sketched.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min_by(F.struct(F.col(id_col).cast("long").alias("rep"), "n_shingles", "sig", "first", "deep"), id_col).alias("r"))
+    first = materialize(first.select("digest", "r.*"), f"{base}/first")
+    reps = first.filter(F.col("rep").isNotNull()).drop("digest")
     met = leaves(reps, small, depth)
     signed = met.join(reps.select("rep", "sig").hint("shuffle_merge"), "rep").select("node", "rep", "sig")
     edges = signed.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_loose_edges, "a long, b long")
@@ -291,10 +293,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small:
     tasks = sets.select(F.explode(F.when(F.col("parts") <= 2, F.array(F.col("cluster"))).otherwise(pairs)).alias("task"), "rep", "hashes")
     links = tasks.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(_exact_links, "a long, b long")
     found = components(links, f"{base}/exact")
-    whole = sketched.select(id_col, "n_shingles", "digest").join(first.hint("shuffle_merge"), "digest", "left").drop("digest")
+    worded = sketched.select(id_col, "n_shingles", "digest").filter(F.col("digest").isNotNull())
+    whole = worded.join(first.select("digest", "rep").hint("shuffle_merge"), "digest", "left").drop("digest")
     out = whole.join(found.select(F.col("id").alias("rep"), "comp").hint("shuffle_merge"), "rep", "left")
     component = F.coalesce("comp", "rep", F.col(id_col).cast("long"))
-    return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))
+    linked = out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))
+    # rows without words are linked with nothing, and join nothing
+    alone = sketched.filter(F.col("digest").isNull()).select(id_col, "n_shingles", F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

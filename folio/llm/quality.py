@@ -10,6 +10,8 @@ calibrate the score beyond which a document goes.
 Nulls: a null text has no words and fails the base rule. Labels with a null id or quality are left out; of
 several labels for one id the lowest counts, of several texts for one id the one with the least counts. Without
 labelled rows of both kinds only the base rule rejects. Repeated rows are judged each. An empty table gives no rows.
+A very long text is read whole, alone in its slice, in time linear in its length but for the sort of its windows. Rows with equal
+statistics get equal verdicts; of equal thresholds the highest is taken.
 ``judge`` carries other columns along, but for those that bear the name of a column it adds; ``keep`` changes none.
 """
 

@@ -3,9 +3,13 @@
 Records hash into ``n_slots`` fixed slots, bytes are summed per slot, and a versioned slot-to-shard map
 says where each slot lives. Version 1 deals the slots in equal ranges; rebalancing edits the newest version, moving
 slots from the fullest to the emptiest shard until the bytes are near equal, and stores the next one. With a
-``map_path`` the versions stay there, and a later run starts from the newest: only slots that must move do.
+``map_path`` the versions stay there, and a later run starts from the newest, whatever its number of shards: a shard that is new takes
+slots from the fullest ones, the slots of a shard that goes are dealt to the emptiest, and only slots that must move do.
 Only DataFrame functions touch the rows; the driver sees one total per slot.
 
+Very long texts are sizes and checksums like any other. Within a slot rows are numbered by id, size and checksum; rows that are equal in all three
+take their numbers in any order.
+
 Nulls: a null text has 0 bytes (size 1) and checksum 0; a null id is hashed like any other. Repeated rows
 are separate records. An empty table gives no rows. A slot that alone holds more than ``1 / (hot_parts *
 n_shards)`` of the bytes or of the rows (one id repeated in a third of all rows, say) is split into ``salts`` sub-slots,
@@ -41,19 +45,20 @@ def initial_map(n_shards: int, n_slots: int = N_SLOTS, hot: tuple[int, ...] = ()
     return SlotMap(1, n_shards, tuple([i * n_shards // n_slots for i in range(n_slots)] + [i % n_shards for i in range(units - n_slots)]), hot)
 
 
-def rebalance(slot_map: SlotMap, load: list[int]) -> SlotMap:
+def rebalance(slot_map: SlotMap, load: list[int], movable: set[int] | None = None, into: range | None = None) -> SlotMap:
     """The next version of the map: moves one slot at a time from the fullest to the emptiest shard, the one
-    nearest to half their difference, while that brings the two closer. Works on slot totals only."""
+    nearest to half their difference, while that brings the two closer. Works on slot totals only. With ``movable`` other slots stay;
+    with ``into`` other shards take none."""
     shard_of = list(slot_map.shard_of)
     total = [0] * slot_map.n_shards
     members: list[set[int]] = [set() for _ in total]
     for unit, shard in enumerate(shard_of):
         total[shard] += load[unit]
-        if load[unit]:
+        if load[unit] and (movable is None or unit in movable):
             members[shard].add(unit)
     moved = []
     for _ in range(len(shard_of)):
-        full, empty = max(range(len(total)), key=lambda s: (total[s], -s)), min(range(len(total)), key=lambda s: (total[s], s))
+        full, empty = max(range(len(total)), key=lambda s: (total[s], -s)), min(into or range(len(total)), key=lambda s: (total[s], s))
         gap = total[full] - total[empty]
         fits = [u for u in members[full] if load[u] < gap]
         if not fits:
@@ -68,6 +73,32 @@ def rebalance(slot_map: SlotMap, load: list[int]) -> SlotMap:
     return replace(slot_map, version=slot_map.version + 1, shard_of=tuple(shard_of), moved=tuple(moved))
 
 
+#: Totals of shards that differ by no more than this share of their mean are near equal.
+NEAR = 0.02
+
+
+def resize(slot_map: SlotMap, n_shards: int, load: list[int]) -> SlotMap:
+    """The next version for another number of shards. New shards are filled from the fullest ones; the slots of shards that go, largest
+    first, are dealt to the emptiest, and others move only if the totals are not near equal then."""
+    shard_of = list(slot_map.shard_of)
+    total = [0] * n_shards
+    for unit, shard in enumerate(shard_of):
+        if shard < n_shards:
+            total[shard] += load[unit]
+    homeless = [unit for unit, shard in enumerate(shard_of) if shard >= n_shards]
+    for unit in sorted(homeless, key=lambda u: (-load[u], u)):
+        shard_of[unit] = min(range(n_shards), key=lambda s: (total[s], s))
+        total[shard_of[unit]] += load[unit]
+    dealt = replace(slot_map, n_shards=n_shards, shard_of=tuple(shard_of))
+    out = rebalance(dealt, load, set(homeless)) if homeless else rebalance(dealt, load, into=range(slot_map.n_shards, n_shards))
+    total = [0] * n_shards
+    for unit, shard in enumerate(out.shard_of):
+        total[shard] += load[unit]
+    if (max(total) - min(total)) * n_shards > NEAR * sum(total):
+        out = replace(rebalance(out, load), version=out.version)
+    return replace(out, moved=tuple(u for u, (a, b) in enumerate(zip(slot_map.shard_of, out.shard_of, strict=True)) if a != b))
+
+
 def store(spark: SparkSession, slot_map: SlotMap, path: str, n_slots: int = N_SLOTS, salts: int = SALTS) -> str:
     """Writes one version of the map as a table (unit, slot, salt, n_shards, shard) below ``path``; a version is never changed later."""
     rows = spark.range(1).select(F.posexplode(_ints(slot_map.shard_of)).alias("unit", "shard"))
@@ -131,8 +162,7 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     most_bytes, most_rows = (sum(of) / (hot_parts * n_shards) for of in (load_of, count))
     hot = [s for s in range(n_slots) if count[s] > 1 and (load_of[s] > most_bytes or count[s] > most_rows)]  # fewer than 2 * hot_parts * n_shards
     stored = load(spark, map_path) if map_path else None
-    first = stored if stored and stored.n_shards == n_shards else replace(initial_map(n_shards, n_slots), version=stored.version if stored else 1)
-    first = widen(first, hot, salts)
+    first = widen(stored or initial_map(n_shards, n_slots), hot, salts)
     hot = first.hot
     if hot:
         load_of += [0] * (len(hot) * salts)
@@ -142,7 +172,7 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
             load_of[at[r.vslot] + r.salt], count[at[r.vslot] + r.salt] = r.b, r.n
         for s in hot:
             load_of[s] = count[s] = 0
-    slot_map = rebalance(first, load_of)
+    slot_map = rebalance(first, load_of) if first.n_shards == n_shards else resize(first, n_shards, load_of)
     path = map_path or scratch_dir(spark)
     if not stored:
         store(spark, initial_map(n_shards, n_slots), path, n_slots, salts)

@@ -98,8 +98,32 @@ def test_slot_maps_are_edited_from_run_to_run(spark, tmp_path):
     assert two.version == 3 and sum(a != b for a, b in zip(one.shard_of, two.shard_of, strict=False)) < len(one.shard_of) / 2
     sums = np.bincount([r.shard for r in grown], [r["size"] for r in grown])
     assert sums.max() - sums.min() < 0.02 * sums.mean()
-    nine = sharding.shard(rows, 9, map_path=path).toPandas()
-    assert sharding.load(spark, path).n_shards == 9 and set(nine.shard) == set(range(9))
+    eight = sharding.load(spark, path)
+    nine = sharding.shard(more, 9, map_path=path).toPandas()
+    grown = sharding.load(spark, path)
+    assert grown.n_shards == 9 and set(nine.shard) == set(range(9)) and grown.version == eight.version + 1
+    changed = [u for u, (a, b) in enumerate(zip(eight.shard_of, grown.shard_of, strict=True)) if a != b]
+    assert len(changed) < 0.15 * len(eight.shard_of) and all(grown.shard_of[u] == 8 for u in changed)
+    back = sharding.shard(more, 8, map_path=path).toPandas()
+    shrunk = sharding.load(spark, path)
+    assert {grown.shard_of[u] for u, (a, b) in enumerate(zip(grown.shard_of, shrunk.shard_of, strict=True)) if a != b} == {8} and max(shrunk.shard_of) == 7
+    for out in (nine, back):
+        sums = out.groupby("shard")["size"].sum()
+        assert sums.max() - sums.min() < 0.02 * sums.mean() and all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 9, 16])
+def test_maps_of_another_number_of_shards(n):
+    rng = random.Random(n)
+    load = [rng.choice([0, 5, 50, 400]) for _ in range(4096)]
+    eight = sharding.rebalance(sharding.initial_map(8), load)
+    out = sharding.resize(eight, n, load)
+    total = [sum(w for w, s in zip(load, out.shard_of, strict=True) if s == k) for k in range(n)]
+    assert out.version == eight.version + 1 and set(out.shard_of) == set(range(n)) and max(total) - min(total) <= 0.02 * sum(total) / n
+    if n > 8:
+        assert all(out.shard_of[u] >= 8 for u in out.moved) and len(out.moved) <= 1.2 * len(load) * (n - 8) / n
+    else:
+        assert all(eight.shard_of[u] >= n for u in out.moved)
 
 
 def test_empty_texts_under_one_id_are_spread(spark):
