@@ -64,10 +64,6 @@ def any_of(text: Column, patterns: Sequence[str], flags: str = FLAGS) -> Column:
     return reduce(lambda a, b: a | b, [matches(text, p, flags) for p in patterns])
 
 
-def all_of(text: Column, patterns: Sequence[str], flags: str = FLAGS) -> Column:
-    return reduce(lambda a, b: a & b, [matches(text, p, flags) for p in patterns])
-
-
 def hits(text: Column, patterns: Sequence[str], flags: str = FLAGS) -> Column:
     """How many of the patterns match."""
     return reduce(lambda a, b: a + b, [matches(text, p, flags).cast("int") for p in patterns])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import any_of, hits, matches
+from folio.functions.text import BLANKS, any_of, hits, matches
 
 USABLE_CHARS, SCANNED_CHARS = 30, 50
 #: The footer that digital dossiers print on every page (fixed value).
@@ -26,12 +26,12 @@ ANTI_ANCHORS = ("EDITAL", r"TERMO\s+DE\s+REFER[ÊE]NCIA", r"ATA\s+DE\s+REGISTRO\
 
 def usable(text: Column, least: int = USABLE_CHARS, footer: str = FOOTER) -> Column:
     """Enough text, and not the footer alone."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     return (F.length(t) > least) & ~F.regexp_like(t, F.lit(footer))
 
 
 def scanned(text: Column, most: int = SCANNED_CHARS) -> Column:
-    return F.length(F.trim(F.coalesce(text, F.lit("")))) < most
+    return F.length(F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))) < most
 
 
 def at_least(text: Column, patterns: Sequence[str], k: int, flags: str = "(?dU)") -> Column:

@@ -51,8 +51,9 @@ def monthly(rows: DataFrame, date_col: str, result_col: str, results: dict[str,
     return recent.groupBy(F.date_format(date_col, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(result_col) == v).alias(k) for k, v in results.items()))
 
 
-def total(rows: DataFrame, column: str, name: str = "total") -> DataFrame:
-    return rows.agg(F.coalesce(F.sum(column), F.lit(0)).alias(name))
+def total(rows: DataFrame, column: str, name: str = "total", by: Sequence[str] = ()) -> DataFrame:
+    """The sum of a column, 0 if there is nothing to add; for all rows, or by some columns."""
+    return rows.groupBy(*by).agg(F.coalesce(F.sum(column), F.lit(0)).alias(name))
 
 
 def completeness(rows: DataFrame, columns: Sequence[str], **extra: Column) -> DataFrame:

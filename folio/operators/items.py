@@ -39,18 +39,32 @@ def kind_of(cell: Column, kinds: dict[str, str]) -> Column:
     return out
 
 
-def column_map(cells: Column, kinds: dict[str, str] | None = None) -> Column:
-    """Map of column name to 1-based index, the first cell of each kind, from a header row."""
-    named = F.transform(cells, lambda c: kind_of(F.upper(clean_cell(c)), kinds or HEADER_CELLS))
+def header_kinds(cells: Column, kinds: dict[str, str] | None = None) -> Column:
+    """The column name of each header cell, or null."""
+    return F.transform(cells, lambda c: kind_of(F.upper(clean_cell(c)), kinds or HEADER_CELLS))
+
+
+def cell_kinds(cells: Column) -> Column:
+    """The kind of each data cell by its shape, or null."""
+    return F.transform(cells, lambda c: kind_of(clean_cell(c), CELL_SHAPES))
+
+
+def column_map(named: Column) -> Column:
+    """Map of column name to 1-based index, the first cell of each kind, from the kinds of a header's cells."""
     names = F.array_distinct(F.array_compact(named))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.array_position(named, n).cast("int")))
 
 
-def shape_map(cells: Column) -> Column:
-    """Column map guessed from a data row: prices by their sign (first unit, then total), codes, units and texts by shape, the first small number is the item, the next the quantity."""
-    named = F.transform(cells, lambda c: kind_of(clean_cell(c), CELL_SHAPES))
+#: Which cell of which kind is which column: prices by order (first unit, then total), the first small number is the item, the next the quantity.
+SHAPED = (("item", "number", 1), ("qty", "number", 2), ("code", "code", 1), ("nd_si", "nd_si", 1), ("unit", "unit", 1), ("description", "text", 1), ("unit_price", "price", 1), ("total", "price", 2))
+#: A table without header needs so many columns to be told by shape.
+LEAST_COLUMNS = 3
+
+
+def shape_map(named: Column) -> Column:
+    """Column map guessed from the kinds of a data row's cells; null if it has fewer than ``LEAST_COLUMNS``."""
     at = lambda kind, nth: F.try_element_at(F.filter(F.transform(named, lambda n, i: F.when(n == kind, i + 1)), lambda i: i.isNotNull()), F.lit(nth)).cast("int")
-    pairs = F.filter(F.array(*(F.struct(F.lit(n).alias("k"), at(kind, nth).alias("v")) for n, kind, nth in (("item", "number", 1), ("qty", "number", 2), ("code", "code", 1), ("nd_si", "nd_si", 1), ("unit", "unit", 1), ("description", "text", 1), ("unit_price", "price", 1), ("total", "price", 2)))), lambda p: p["v"].isNotNull())
+    pairs = F.filter(F.array(*(F.struct(F.lit(n).alias("k"), at(kind, nth).alias("v")) for n, kind, nth in SHAPED)), lambda p: p["v"].isNotNull())
     return F.map_from_entries(pairs)
 
 
@@ -82,7 +96,10 @@ def rows_to_items(page_rows: DataFrame, keys: tuple[str, ...] = ("proc_id", "pag
     w = table.orderBy(order)
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = page_rows.withColumns({"_head": is_header(F.col("cells")), "_shape": usable_shape(F.col("cells"))})
-    rows = rows.withColumns({"_named": F.when(F.col("_head"), column_map(F.col("cells"))), "_formed": F.when(F.col("_shape"), shape_map(F.col("cells")))})
+    # each cell is told once; the maps are made of names then
+    rows = rows.withColumns({"_names": F.when(F.col("_head"), header_kinds(F.col("cells"))), "_kinds": F.when(F.col("_shape"), cell_kinds(F.col("cells")))})
+    rows = rows.withColumns({"_named": column_map(F.col("_names")), "_formed": shape_map(F.col("_kinds"))}).drop("_names", "_kinds")
+    rows = rows.withColumn("_formed", F.when(F.size("_formed") >= LEAST_COLUMNS, F.col("_formed")))
     if len(keys) > 1:  # the one shuffle, by the first key, serves the windows over single tables, too
         before = Window.partitionBy(keys[0]).orderBy(*keys[1:], order).rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("_earlier", F.last("_named", ignorenulls=True).over(before))
@@ -113,6 +130,7 @@ def rows_to_items(page_rows: DataFrame, keys: tuple[str, ...] = ("proc_id", "pag
     return rows.groupBy(*keys, "_group").agg(F.min(F.when(F.col("_is"), F.col(order))).alias(order), *(head(n) for n in ("item_no", "code", "unit", "qty", "nd_si", "unit_price", "total")), F.nullif(F.array_join(parts, " "), F.lit("")).alias("description")).drop("_group")
 
 
+#: Item numbers, catalogue codes, units and budget codes as they are written (fixed values).
 ITEM_START, CATALOGUE, UNITS = r"\b\d{3,5}\s*[-–]\s+[A-Z]", r"\b([134]\d{4,5})\b", r"KG|UN|UND|L|M2|M3|CX|PCT|LT|HR|SV|MÊS|M"
 _CODES = (r"\b(33\.90\.\d{2}\.\d{2})\b", r"\b(33\.90\.\d{2}/\d{2})\b", r"\b(3390\d{2}/\d{2})\b", r"\b(3390\d{4})\b", r"\b(3390\d{2})(?!\d)", r"\b(\d{2}/\d{2})\b(?!\d)", r"\b(\d{2}\.\d{2})\b")
 
@@ -152,6 +170,14 @@ def texts_to_items(texts: DataFrame, keys: tuple[str, ...] = ("proc_id", "page_n
     return out.filter(F.coalesce(F.col("code"), F.col("description"), F.col("total").cast("string")).isNotNull())
 
 
+def declared_totals(page_rows: DataFrame, key: str = "proc_id") -> DataFrame:
+    """(key, declared): the sum of the amounts that TOTAL rows state, the last amount of each."""
+    text = F.upper(F.ltrim(F.array_join(F.array_compact("cells"), " ")))
+    amounts = F.array_compact(F.transform("cells", lambda c: F.when(F.contains(F.coalesce(c, F.lit("")), F.lit("R$")), S.money(c))))
+    rows = page_rows.filter(text.startswith("TOTAL")).select(key, F.try_element_at(amounts, F.lit(-1)).alias("amount"))
+    return rows.groupBy(key).agg(F.sum("amount").alias("declared"))
+
+
 def first_item(items: DataFrame, key: str = "proc_id", order: str = "item_no") -> DataFrame:
     """The first item with a quantity per dossier, with its sub-element: the last one or two digits after a slash or dot, no leading zero."""
     at = F.when(F.col("qty").isNotNull(), F.col(order))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import scalars as S
+from folio.functions.text import contains_count
 from folio.operators.reconcile import dimension
 
 
@@ -58,3 +60,47 @@ def registered_items(items: DataFrame, registered: DataFrame, keys: Sequence[str
     apart = F.abs(F.col(price) - F.col("registered_price")) > F.lit(tolerance).cast("decimal(4,2)")
     status = F.when(F.col("_there").isNull(), "absent").when(apart, "price").when(F.col(qty) > F.col("registered_qty"), "quantity").otherwise("ok")
     return rows.withColumn("status", status).drop("_there")
+
+
+#: Documents that every dossier needs, and those that its type adds: (type, label, shown) (fixed values).
+REQUIRED = (
+    *((kind, label, shown) for kind in ("Licitação", "Contrato", "") for label, shown in (("cover", "Capa"), ("opening", "Termo de Abertura"), ("requisition", "Requisição"), ("sicaf", "SICAF"), ("cadin", "CADIN"), ("consolidated", "Consulta Consolidada"))),
+    ("Licitação", "bid_notice", "Edital/página do pregão"), ("Contrato", "contract", "Contrato"),
+)
+#: Words of a rejection and of a correction in dispatches (fixed values).
+REJECTS = ("reprovo", "reprovação", "reprovada", "divergência", "impedimento", "vencida", "incorreta", "restituir")
+CORRECTS = ("aprovo", "aprovação", "corrigida", "sanada", "retificada", "deve avançar")
+DISPATCHES = 3
+
+
+def specification_findings(dossiers: DataFrame, labels: DataFrame, dispatches: DataFrame, sums: DataFrame, spark: SparkSession, registered: DataFrame | None = None, items: DataFrame | None = None, key: str = "proc_id") -> DataFrame:
+    """What the specification asks of a dossier beyond its documents' contents: required documents, three dispatches, a rejection that was
+    corrected, the declared sum and, with ``registered(bid, code, unit_price, qty)``, prices and quantities of the bid.
+
+    ``dossiers(key, type, bid)``, ``dispatches(key, page_no, text)``, ``sums(key, total, declared)``; each finding is a caveat, and so none
+    where all is well."""
+    made = lambda rows, seq, check, text: rows.select(key, F.lit("specification").alias("family"), F.lit(seq).alias("seq"), F.lit(check).alias("check"), text.alias("description"), F.lit("ressalva").alias("severity"))
+    required = spark.createDataFrame(REQUIRED, "type string, label string, shown string")
+    typed = dossiers.select(key, F.when(F.col("type").isin("Licitação", "Contrato"), F.col("type")).otherwise("").alias("type"))
+    missing = missing_labels(typed, labels, required).join(F.broadcast(required.select("label", "shown").distinct()), "label")  # a fixed list
+    low = F.lower("text")
+    says = lambda words: contains_count(low, words) > 0
+    turned = rejected_then_corrected(dispatches, key, "page_no", says(REJECTS), says(CORRECTS)).filter("rejected")
+    said = F.when(F.col("corrected"), "Despacho de reprovação com correção posterior — verificar").otherwise("Despacho de reprovação sem correção posterior")
+    few = dossiers.select(key).join(dispatches.groupBy(key).agg(F.count(F.lit(1)).alias("n")).hint("shuffle_merge"), key, "left").filter(F.coalesce("n", F.lit(0)) < DISPATCHES)
+    apart = sums.filter(declared_status(F.col("total"), F.col("declared")) == "ressalva")
+    found = [
+        made(missing, 0, "Peças obrigatórias", F.concat(F.lit("Peça obrigatória ausente: "), "shown")),
+        made(few, 1, "Despachos obrigatórios", F.concat(F.lit("Despachos encontrados: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(f" de {DISPATCHES}"))),
+        made(turned, 2, "Reprovação anterior", said),
+        made(apart, 3, "Soma dos itens", F.concat(F.lit("Soma dos itens "), S.format_brl(F.col("total")), F.lit(" ≠ total declarado "), S.format_brl(F.col("declared")))),
+    ]
+    if registered is not None and items is not None:
+        sold = items.join(dossiers.select(key, "bid").hint("shuffle_merge"), key).filter(F.col("bid").isNotNull() & F.col("code").isNotNull())
+        bad = registered_items(sold, registered, ["bid", "code"]).filter(F.col("status") != "ok")
+        why = F.element_at(F.create_map(*map(F.lit, ("absent", "não consta do pregão", "price", "preço difere do registrado", "quantity", "quantidade acima da registrada"))), F.col("status"))
+        found.append(made(bad, 4, "Itens do pregão", F.concat(F.lit("Item "), F.coalesce(F.col("item_no").cast("string"), F.lit("?")), F.lit(": "), why)))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

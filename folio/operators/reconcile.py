@@ -18,10 +18,10 @@ def first_filled(column: str, order: str) -> Column:
 
 
 def merge_records(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
-    """One record per key with the first non-empty value of each column; rows with a null in the last key stay as they are."""
-    known = rows.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(*(first_filled(c, order).alias(c) for c in columns))
-    loose = rows.filter(F.col(keys[-1]).isNull()).select(*keys, *columns)
-    return known.unionByName(loose)
+    """One record per key with the first non-empty value of each column; rows with a null in the last key stay as they are. One pass: these
+    rows are groups of their own."""
+    own = F.when(F.col(keys[-1]).isNull(), F.monotonically_increasing_id())
+    return rows.withColumn("_own", own).groupBy(*keys, "_own").agg(*(first_filled(c, order).alias(c) for c in columns)).drop("_own")
 
 
 def fill(left: Column, right: Column) -> Column:
@@ -47,15 +47,43 @@ def with_fallback(rows: DataFrame, dim: DataFrame, exact: Sequence[str], generic
     return out.withColumn(name, F.coalesce("_exact", "_generic")).drop("_exact", "_generic")
 
 
+#: Up to so many aliases each distinct name is held against all of them; more are found by their grams.
+FEW_ALIASES = 256
+
+
+def _contained(inner: DataFrame, outer: DataFrame, size: int = 3) -> DataFrame:
+    """(inner, outer): pairs of distinct texts of which one contains the other.
+
+    A text lies in another only if each of its grams does. So every inner text is looked up by one gram, that which the fewest outer
+    texts have, and what meets is tested; shorter texts are their own gram. Tables of rows (inner) and (outer)."""
+    gram = lambda t, n: F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    short = F.least(F.char_length("inner"), F.lit(size))
+    sizes = range(1, size + 1)
+    own = inner.select("inner", F.explode(F.coalesce(*(F.when(short == n, gram(F.col("inner"), n)) for n in sizes))).alias("gram"))
+    held = outer.select("outer", F.explode(F.flatten(F.array(*(gram(F.col("outer"), n) for n in sizes)))).alias("gram"))
+    common = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = own.join(common.hint("shuffle_hash"), "gram").groupBy("inner").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rare.join(held.hint("shuffle_hash"), "gram").filter(F.contains("outer", F.col("inner"))).select("inner", "outer")
+
+
 def alias_lookup(names: DataFrame, name: str, aliases: DataFrame, default: Column, out: str = "acronym", exact_first: bool = False) -> DataFrame:
     """The acronym of the first alias (by priority) contained in a name, or containing it; else ``default``.
 
-    ``aliases(priority, alias, acronym)`` is a dimension of under a hundred rows; each distinct name meets it once."""
+    ``aliases(priority, alias, acronym)`` is a dimension; it is counted. Each distinct name meets a few aliases one by one; many are
+    joined by their grams, both ways, so that a dimension that has grown costs no nested loop."""
     up = F.upper(F.trim(F.col(name)))
     distinct = names.select(F.col(name).alias("_name"), up.alias("_up")).filter((F.col("_up") != "")).distinct()
-    fits = F.contains(F.col("_up"), F.upper("alias")) | F.contains(F.upper("alias"), F.col("_up"))
-    rank = F.struct(F.when(F.col("_up") == F.upper("alias"), 0).otherwise(1 if exact_first else 0), F.col("priority"))
-    found = distinct.join(F.broadcast(aliases), fits).groupBy("_name").agg(F.min_by("acronym", rank).alias("_acronym"))
+    known = aliases.select("priority", F.upper("alias").alias("_alias"), "acronym").filter(F.col("_alias") != "")
+    if known.limit(FEW_ALIASES + 1).count() <= FEW_ALIASES:
+        met = distinct.join(F.broadcast(known), F.contains(F.col("_up"), F.col("_alias")) | F.contains(F.col("_alias"), F.col("_up")))  # FEW_ALIASES rows at most
+    else:
+        texts, keys = distinct.select("_up").distinct(), known.select("_alias").distinct()
+        within = _contained(keys.select(F.col("_alias").alias("inner")), texts.select(F.col("_up").alias("outer"))).select(F.col("outer").alias("_up"), F.col("inner").alias("_alias"))
+        around = _contained(texts.select(F.col("_up").alias("inner")), keys.select(F.col("_alias").alias("outer"))).select(F.col("inner").alias("_up"), F.col("outer").alias("_alias"))
+        pairs = within.unionByName(around)
+        met = distinct.join(pairs.hint("shuffle_hash"), "_up").join(known.hint("shuffle_hash"), "_alias")
+    rank = F.struct(F.when(F.col("_up") == F.col("_alias"), 0).otherwise(1 if exact_first else 0), F.col("priority"))
+    found = met.groupBy("_name").agg(F.min_by("acronym", rank).alias("_acronym")).hint("shuffle_merge")
     return names.join(found, F.col(name) == F.col("_name"), "left").withColumn(out, F.coalesce("_acronym", default)).drop("_name", "_acronym")
 
 

@@ -56,7 +56,7 @@ def compare_templates(rows: DataFrame, key: str, ours: str, theirs: str, compare
     numbers that only their text lists come last, sorted."""
     compared = compared or COMPARED
 
-    def differs(t: Column) -> Column:
+    def differs(t: dict[str, Column]) -> Column:
         out = []
         for k, name in compared.items():
             x, y = t["a"][k], t["b"][k]
@@ -68,10 +68,10 @@ def compare_templates(rows: DataFrame, key: str, ours: str, theirs: str, compare
         return F.array_compact(F.array(*out))
 
     extra = F.array_sort(F.array_except(find_all(F.col(theirs), numbers, flags="(?d)"), find_all(F.col(ours), numbers, flags="(?d)")))
-    tokens = F.struct(S.template_tokens(F.col(ours), fields).alias("a"), S.template_tokens(F.col(theirs), fields).alias("b"), extra.alias("extra"))
     both = present(F.col(ours)).isNotNull() & present(F.col(theirs)).isNotNull()
-    # the tokens of both texts are read once, however often they are compared and shown; no filter, as it would work out the texts once more
-    return rows.select(key, F.explode(F.when(both, once(tokens, differs))).alias("d")).select(key, "d.*")
+    # the tokens of both texts are columns of a step of their own, read once however often they are compared and shown
+    step = rows.select(key, both.alias("_both"), S.template_tokens(F.col(ours), fields).alias("a"), S.template_tokens(F.col(theirs), fields).alias("b"), extra.alias("extra"))
+    return step.select(key, F.explode(F.when(F.col("_both"), differs({n: F.col(n) for n in ("a", "b", "extra")}))).alias("d")).select(key, "d.*")
 
 
 def sentence(text: Column) -> Column:

@@ -38,7 +38,17 @@ def stacked(rows: DataFrame, keys: Sequence[str], findings: Sequence[Column], fa
     return out if family is None else out.withColumn("family", F.lit(family))
 
 
-def tax_id_findings(rows: DataFrame, key: str, base: str, others: dict[str, str]) -> DataFrame:
+def stacked_families(rows: DataFrame, keys: Sequence[str], families: dict[str, Sequence[Column]]) -> DataFrame:
+    """As ``stacked`` for several families at once: each numbers its own findings; the rows are read once."""
+
+    def numbered(family: str, found: Sequence[Column]) -> Column:
+        return F.transform(F.array_compact(F.array(*found)), lambda f, i: F.struct(F.lit(family).alias("family"), i.alias("seq"), f["check"].alias("check"), f["description"].alias("description"), f["severity"].alias("severity")))
+
+    made = [numbered(family, found) for family, found in families.items()]
+    return rows.select(*keys, F.explode(F.flatten(F.array(*made))).alias("f")).select(*keys, "f.seq", "f.check", "f.description", "f.severity", "f.family")
+
+
+def tax_id_checks(base: str, others: dict[str, str]) -> list[Column]:
     """The requisition's tax id against those of the other documents (label -> column); documents without one are ignored."""
     name = "CNPJ cruzado entre peças"
     own = present(F.col(base))
@@ -48,22 +58,34 @@ def tax_id_findings(rows: DataFrame, key: str, base: str, others: dict[str, str]
     any_differs = F.exists(F.array(*(F.coalesce(d, F.lit(False)) for d in differ.values())), lambda x: x)
     listed = F.array_join(F.array_compact(F.array(*(F.when(c.isNotNull(), F.lit(label)) for label, c in have.items()))), ", ")
     nothing = F.coalesce(*have.values()).isNull()
-    return stacked(rows, [key], [
+    return [
         F.when(own.isNull(), finding(name, "CNPJ não extraído da requisição — verificar manualmente", CAVEAT)),
         F.when(own.isNotNull() & nothing, finding(name, "Nenhuma certidão com CNPJ para comparar", OK)),
         *blocks,
         F.when(own.isNotNull() & ~nothing & ~any_differs, finding(name, F.concat(F.lit("CNPJ consistente em todas as peças ("), listed, F.lit(")")), OK)),
-    ], "tax_id")
+    ]
 
 
-def name_findings(rows: DataFrame, key: str, name: str, other_name: str, tax_id: str, other_tax_id: str) -> DataFrame:
+def name_checks(name: str, other_name: str, tax_id: str, other_tax_id: str) -> list[Column]:
     """Equal names are fine; different ones with equal tax ids a caveat, else a block; a missing name gives no row."""
     check = "Razão Social (Req vs SICAF)"
     a, b = present(F.col(name)), present(F.col(other_name))
     same, same_id = F.upper(a) == F.upper(b), F.coalesce(S.tax_id(F.col(tax_id)) == S.tax_id(F.col(other_tax_id)), F.lit(False))
     both = F.format_string('Razão Social divergente: Requisição diz "%s", SICAF diz "%s" (CNPJ confere: %s)', a, b, F.col(other_tax_id))
-    f = F.when(same, finding(check, F.concat(F.lit("Razão Social consistente: "), b), OK)).when(~same & same_id, finding(check, both, CAVEAT)).when(~same, finding(check, F.format_string('Razão Social divergente e CNPJ não confere: Req: "%s" / SICAF: "%s"', a, b), BLOCK))
-    return stacked(rows, [key], [f], "name")
+    return [F.when(same, finding(check, F.concat(F.lit("Razão Social consistente: "), b), OK)).when(~same & same_id, finding(check, both, CAVEAT)).when(~same, finding(check, F.format_string('Razão Social divergente e CNPJ não confere: Req: "%s" / SICAF: "%s"', a, b), BLOCK))]
+
+
+def tax_id_findings(rows: DataFrame, key: str, base: str, others: dict[str, str]) -> DataFrame:
+    return stacked(rows, [key], tax_id_checks(base, others), "tax_id")
+
+
+def name_findings(rows: DataFrame, key: str, name: str, other_name: str, tax_id: str, other_tax_id: str) -> DataFrame:
+    return stacked(rows, [key], name_checks(name, other_name, tax_id, other_tax_id), "name")
+
+
+def identity_findings(rows: DataFrame, key: str, base: str, others: dict[str, str], name: str, other_name: str, other_tax_id: str) -> DataFrame:
+    """Tax ids and company names, from one reading of the rows."""
+    return stacked_families(rows, [key], {"tax_id": tax_id_checks(base, others), "name": name_checks(name, other_name, base, other_tax_id)})
 
 
 def arithmetic_status(qty: Column, price: Column, total: Column, tolerance: float = 0.02) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import scalars as S
+
 
 def joined_text(rows: DataFrame, keys: Sequence[str], order: str, text: str = "text", blank: str = "\n\n", condition: Column | None = None, name: str = "text") -> DataFrame:
     """The non-empty texts of each group in order. A group is one dossier's pages of one label, a few hundred at most."""
@@ -56,3 +58,17 @@ def filled_ahead(rows: DataFrame, key: str, order: Sequence[str], column: str, a
         stopped = stopped | F.coalesce(F.lead("_stop", k).over(w), F.lit(False))
         out = F.coalesce(out, F.when(~stopped, F.lead(column, k).over(w)))
     return marked.withColumn(name or column, out).drop("_stop")
+
+
+def with_grid_text(pages: DataFrame, page_rows: DataFrame, label: str = "credit_note", enough: int = 100) -> DataFrame:
+    """Labelled pages of one kind whose own text is short get the text of their grids, put together row by row, if that is longer.
+
+    ``pages(proc_id, page_no, label, text)`` and ``page_rows(proc_id, page_no, table_no, row_no, cells)``; the rows of one page come together."""
+    keys = ["proc_id", "page_no"]
+    short = (F.col("label") == label) & (F.length(F.trim(F.coalesce("text", F.lit("")))) <= enough)
+    bare = pages.filter(short)
+    grids = page_rows.join(bare.select(*keys).distinct().hint("shuffle_hash"), keys, "left_semi")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("table_no", "row_no", "cells"))), lambda r: r["cells"])
+    grids = grids.groupBy(*keys).agg(rows.alias("_rows")).hint("shuffle_hash")
+    filled = bare.join(grids, keys, "left").withColumn("text", S.rebuilt_text(F.col("text"), F.col("_rows"), enough))
+    return pages.filter(~short).unionByName(filled.drop("_rows"))

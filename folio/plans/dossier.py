@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
 from folio.functions.text import find
-from folio.operators import classify, fields, items, quality, reconcile, registry, render, rules, texts
+from folio.operators import classify, fields, history, items, quality, reconcile, registry, render, rules, texts
 from folio.sources import analyses, keyed, store, tables
 from folio.streaming import incremental
 
@@ -28,7 +28,7 @@ KEY = "proc_id"
 
 @dataclass
 class Dossiers:
-    """Every table of a run, below ``folder``; only ``dispatches`` and ``rendered`` are worked out when they are read."""
+    """Every table of a run, below ``folder``; only ``dispatches``, ``pieces`` and ``rendered`` are worked out when they are read."""
 
     labels: DataFrame
     texts: DataFrame
@@ -40,6 +40,8 @@ class Dossiers:
     consolidated: DataFrame
     contracts: DataFrame
     dispatches: DataFrame
+    pieces: DataFrame
+    note_lines: DataFrame
     certificates: DataFrame
     findings: DataFrame
     decisions: DataFrame
@@ -57,25 +59,28 @@ def _of(label_texts: DataFrame, label: str, columns) -> DataFrame:
 
 def _requisitions(label_texts: DataFrame) -> DataFrame:
     """The fields of a requisition; supplier and tax id also from the text around the first tax id, the instrument also by its context."""
-    also = {"_beside": fields.supplier_near_tax_id(F.col("text")), "named_instrument": fields.instrument(F.col("text"))["shown"]}
+    also = {"observation": fields.observation(F.col("text")), "_beside": fields.supplier_near_tax_id(F.col("text")), "named_instrument": fields.instrument(F.col("text"))["shown"]}
     out = fields.requisitions(label_texts.filter(F.col("label") == "requisition"), KEY, also=also)
     return out.withColumns({n: F.coalesce(n, F.col("_beside")[n]) for n in ("supplier", "tax_id")}).drop("_beside")
 
 
-def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Column, ocr_texts: DataFrame | None = None, names: DataFrame | None = None, elements: DataFrame | None = None, with_contract: bool = False, with_notes: bool = True) -> Dossiers:
-    """The whole run. ``with_contract`` lets contract checks into the decision; ``with_notes`` false leaves out the credit notes."""
+def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Column, ocr_texts: DataFrame | None = None, names: DataFrame | None = None, elements: DataFrame | None = None, with_contract: bool = False, with_notes: bool = True, with_specification: bool = False, registered: DataFrame | None = None, gated: bool = False) -> Dossiers:
+    """The whole run. ``with_contract`` lets contract checks into the decision, ``with_specification`` those that the specification asks for
+    beside (with ``registered`` also against the items of the bid); ``with_notes`` false leaves out the credit notes. ``gated`` passes over
+    item tables behind pages of other kinds of text."""
     folder = store.scratch(spark)
     count = itertools.count()
 
     def _kept(df: DataFrame) -> DataFrame:
         return store.written(df, f"{folder}/{next(count)}")
 
-    labelled = store.written(classify.classify_pages(pages, ("text", "source")), f"{folder}/labelled")
+    labelled = store.written(texts.with_grid_text(classify.classify_pages(pages, ("text", "source")), page_rows), f"{folder}/labelled")
     labels = labelled.select(KEY, "page_no", "label")
     label_texts = store.written(texts.joined_text(labelled, [KEY, "label"], "page_no"), f"{folder}/texts")
     everyone = _kept(labels.select(KEY).distinct())
 
     cover = _of(label_texts, "cover", fields.cover)
+    pieces = fields.pieces(label_texts.filter(F.col("label") == "cover"), KEY, active=True)
     requisition = _kept(_requisitions(label_texts).drop("more_nc"))
     sicaf, cadin = _kept(_of(label_texts, "sicaf", fields.sicaf)), _kept(_of(label_texts, "cadin", fields.cadin))
     consolidated = _kept(_of(label_texts, "consolidated", fields.consolidated))
@@ -89,9 +94,14 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     ident = ident.join(named, KEY, "left").withColumn("instrument", F.coalesce("instrument", "named_instrument")).drop("named_instrument")
     ident = ident.withColumn("number", F.coalesce("number", fields.requisition_number(F.col("subject"))["raw"]))
     ident = reconcile.complete_supplier(ident, sicaf)
+    read = fields.supplier_by_page(labelled.filter((F.col("source") == "ocr") & (F.col("label") == "requisition")))
+    ident = reconcile.complete_supplier(ident, read.withColumnRenamed("supplier", "name"))
     ident = _kept(ident.withColumn("unit_name", F.coalesce("unit_name", reconcile.unit_from_cover(F.col("origin"), F.col("interested")))))
 
     table_pages = labels.filter(F.col("label") == "requisition").select(KEY, "page_no")
+    if gated:
+        gate = classify.running_gate(pages.select(KEY, "page_no", "text"), KEY, ["page_no"], "text", classify.ANTI_ANCHORS)
+        table_pages = table_pages.join(gate.filter("open").select(KEY, "page_no"), [KEY, "page_no"], "left_semi")
     found = items.rows_to_items(page_rows.join(table_pages, [KEY, "page_no"], "left_semi"))
     if ocr_texts is not None:
         read = items.texts_to_items(ocr_texts.join(table_pages, [KEY, "page_no"], "left_semi")).join(found.select(KEY).distinct(), KEY, "left_anti")
@@ -99,12 +109,13 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     found = found.filter(classify.real_item(F.col("description"), F.col("total"), F.col("code")))
     found = _kept(reconcile.fill_item_codes(found, ident))
 
-    notes = fields.credit_notes(label_texts.filter(F.col("label") == "credit_note"))
+    notes, note_lines = fields.credit_notes_and_lines(label_texts.filter(F.col("label") == "credit_note"))
+    note_lines = _kept(note_lines)
     mirrors = labelled.filter(F.col("label").isin("unclassified", "credit_note"))
     notes = reconcile.complete_notes_from_mirror(notes, mirrors)
     notes = reconcile.complete_notes(notes, ident, as_of)
     terminal = F.col("format") == "terminal"
-    lines = fields.event_lines(label_texts.filter(F.col("label") == "credit_note")).withColumnRenamed("value", "balance")
+    lines = note_lines.drop("number").withColumnRenamed("value", "balance")
     fitted = reconcile.matching_line(notes.filter(terminal), lines, ident, [KEY], "nd", "line_no", ["nd", "esf", "ptres", "fonte", "ugr", "pi", "balance"])
     notes = _kept(fitted.unionByName(notes.filter(~terminal), allowMissingColumns=True))
 
@@ -131,8 +142,7 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     ids = ident.select(KEY, "tax_id", "supplier").join(sicaf.select(KEY, F.col("tax_id").alias("sicaf_id"), F.col("name").alias("sicaf_name")), KEY, "left")
     ids = ids.join(cadin.select(KEY, F.col("tax_id").alias("cadin_id")), KEY, "left").join(consolidated.select(KEY, F.col("tax_id").alias("consolidated_id")), KEY, "left")
     found_all = [
-        rules.tax_id_findings(ids, KEY, "tax_id", {"SICAF": "sicaf_id", "CADIN": "cadin_id", "Consulta Consolidada": "consolidated_id"}),
-        rules.name_findings(ids, KEY, "supplier", "sicaf_name", "tax_id", "sicaf_id"),
+        rules.identity_findings(ids, KEY, "tax_id", {"SICAF": "sicaf_id", "CADIN": "cadin_id", "Consulta Consolidada": "consolidated_id"}, "supplier", "sicaf_name", "sicaf_id"),
         rules.item_findings(found, everyone),
         rules.certificate_findings(certificates),
         quality.number_findings(dispatches.select(KEY, "nup"), ident),
@@ -144,12 +154,16 @@ def run(spark: SparkSession, pages: DataFrame, page_rows: DataFrame, as_of: Colu
     if with_contract:
         joined = contracts.join(ids.select(KEY, "tax_id", F.col("sicaf_id").alias("sicaf_tax_id")), KEY).join(ident.select(KEY, "contract"), KEY)
         found_all.append(rules.contract_findings(joined, KEY, as_of))
+    if with_specification:
+        sums = found.groupBy(KEY).agg(F.sum("total").alias("total")).join(items.declared_totals(page_rows).hint("shuffle_merge"), KEY)
+        sent = labelled.filter(F.col("label") == "dispatch").select(KEY, "page_no", "text")
+        found_all.append(quality.specification_findings(ident, labels, sent, sums, spark, registered, found))
     findings = found_all[0]
     for f in found_all[1:]:
         findings = findings.unionByName(f, allowMissingColumns=True)
     findings = _kept(findings)
     decisions = _kept(rules.decide(findings, KEY, partial=not with_notes))
-    return Dossiers(labels, label_texts, ident, found, shown, sicaf, cadin, consolidated, contracts, dispatches, certificates, findings, decisions, rendered(spark, ident, shown, decisions), folder)
+    return Dossiers(labels, label_texts, ident, found, shown, sicaf, cadin, consolidated, contracts, history.dispatch_order(dispatches), pieces, note_lines, certificates, findings, decisions, rendered(spark, ident, shown, decisions), folder)
 
 
 def rendered(spark: SparkSession, ident: DataFrame, notes: DataFrame, decisions: DataFrame, for_rejections: bool = False) -> DataFrame:

@@ -251,3 +251,70 @@ def note_gaps(spark, d):
     ident = o.select(F.col(KEY).alias("proc_id"), F.lit("339030").alias("nd"), none.alias("ptres"), none.alias("fonte"), F.lit("160073").alias("ugr"), none.alias("pi"))
     out = reconcile.complete_notes(reconcile.complete_notes_from_mirror(notes, copies), ident, as_of())
     return out.select(F.col("proc_id").alias(KEY), "nd", "ugr", "fonte", _s("due").alias("due"), "days_left", F.col("balance").cast("double").alias("balance"))
+
+
+#: Pages of every kind, as they are written, and the label that each gets.
+PAGE_FORMS = (
+    ("TERMO DE ABERTURA\nAutuo o presente processo", "opening"), ("EDITAL do certame, pregoeiro e equipe de apoio", "bid_notice"), ("continuação R$ 10,00 301234 TOTAL", "requisition"), ("Req nº {k}-Almox\nTipo de Empenho: Global", "requisition"),
+    ("NOTA DE CRÉDITO {nc}", "credit_note"), ("2026NC000001 UG EMITENTE 160073", "credit_note"), ("TERMO DE CONTRATO {k}", "contract"), ("CLÁUSULA PRIMEIRA\nVIGÊNCIA de 12 meses", "contract"), ("DADOS DO FORNECEDOR\nSituação do Fornecedor: ok", "sicaf"),
+    ("CADIN\nCréditos não quitados", "cadin"), ("Consulta Consolidada de Pessoa Jurídica\nResultado", "consolidated"), ("Check List do contrato", "checklist"), ("DESPACHO Nº {k}\nAPROVO", "dispatch"), ("Despacho nº {k}\nciente", "dispatch"), ("CHECK LIST das peças", "cover"), ("página {k} sem mais", "unclassified"),
+    ("DADOS DO FORNECEDOR\nCADASTRAMENTO UNIFICADO DE FORNECEDORES\nNota de Crédito", "credit_note,sicaf"),
+)
+
+
+def _formed_pages(spark, d, proc):
+    """A page for each order, in one of the forms."""
+    texts = F.array(*(F.lit(t) for t, _ in PAGE_FORMS))
+    text = F.replace(F.replace(F.element_at(texts, (F.col("k") % len(PAGE_FORMS) + 1).cast("int")), F.lit("{k}"), _s("k")), F.lit("{nc}"), F.col("nc"))
+    return _orders(spark, d).select(F.col(proc).alias("proc_id"), F.col("k").alias("page_no"), text.alias("text"))
+
+
+_COUNTED = ("opening", "dispatch", "credit_note", "requisition")
+
+
+@R.add("label_totals", f"""WITH {_ORDERS}, f AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{label}')" for i, (_, labels) in enumerate(PAGE_FORMS) for label in labels.split(",")) + f""") t(form, label))
+SELECT o_custkey, {", ".join(f"count(*) FILTER (label = '{n}') AS {n}" for n in _COUNTED)} FROM o JOIN f ON form = k % {len(PAGE_FORMS)} GROUP BY 1""")
+def label_totals(spark, d):
+    return classify.label_counts(classify.classify_pages(_formed_pages(spark, d, "o_custkey")), _COUNTED).withColumnRenamed("proc_id", "o_custkey")
+
+
+@R.add("page_kinds", f"""WITH {_ORDERS}, f AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{label}')" for i, (_, label) in enumerate(PAGE_FORMS)) + f""") t(form, labels)) SELECT o_orderkey, labels FROM o JOIN f ON form = k % {len(PAGE_FORMS)}""")
+def page_kinds(spark, d):
+    labels = classify.classify_pages(_formed_pages(spark, d, KEY)).groupBy("proc_id").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
+    return labels.withColumnRenamed("proc_id", KEY)
+
+
+@R.add("machine_items", """
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, CASE WHEN n > 1 THEN 'numbers' ELSE 'single' END AS strategy, CAST(CASE WHEN n > 1 THEN 100 + pos ELSE 1 END AS INTEGER) AS item_no, CAST(300000 + l_partkey % 90000 AS VARCHAR) AS code, upper(p_name) || ' ' || CAST(l_quantity AS INTEGER) || ' KG' AS description, 'KG' AS unit, l_quantity AS qty,
+  '30.' || lpad(CAST(l_partkey % 9 + 1 AS VARCHAR), 2, '0') AS nd_si, CAST(least(CAST(round(p_retailprice, 2) AS DECIMAL(18, 2)), CAST(round(l_extendedprice, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS unit_price, CAST(greatest(CAST(round(p_retailprice, 2) AS DECIMAL(18, 2)), CAST(round(l_extendedprice, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM l""")
+def machine_items(spark, d):
+    """Machine-read item texts, a text for each order: item number, code, description, quantity, budget code, two amounts."""
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
+    l = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("pos", pos)
+    line = _cat(_s(F.col("pos") + 100), " - X ", _s(300_000 + F.col("l_partkey") % 90_000), " ", F.upper("p_name"), " ", _s(F.col("l_quantity").cast("int")), " KG 30/", _pad(F.col("l_partkey") % 9 + 1, 2), " ", S.format_brl(decimal("p_retailprice")), " ", S.format_brl(decimal("l_extendedprice")))
+    texts = l.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))  # the lines of an order
+    out = items.texts_to_items(texts, ("l_orderkey",))
+    return out.select("l_orderkey", "strategy", "item_no", "code", "description", "unit", *(F.col(c).cast("double").alias(c) for c in ("qty", "unit_price", "total")), "nd_si")
+
+
+_BRIEF = ("Nome da Empresa: {n} CNPJ: {t}", "{t} - {n}\n", "{n} - CNPJ: {t}", "contratar da empresa {n}, CNPJ\n{t}", "Empresa : {n}\nfim {t}", "{n} {t}")
+
+
+@R.add("brief_look_ups", f"""WITH {_ORDERS} SELECT o_orderkey, tax AS tax_id, c_name AS supplier, CASE k % 4 WHEN 0 THEN 'PE ' || (1000 + k % 9000) || '/2025' WHEN 1 THEN 'Contrato ' || (k % 900 + 1) || '/2024' WHEN 2 THEN 'Dispensa ' || (k % 900 + 1) || '/2024' END AS instrument,
+  CASE WHEN k % 3 = 0 THEN 'S' || lpad(CAST(k % 900 AS VARCHAR), 3, '0') || '/2026' ELSE lpad(CAST(k % 900 AS VARCHAR), 2, '0') END AS requisition, CASE WHEN k % 3 = 0 THEN '2026' END AS year, ['Global', 'Ordinário', 'Estimativo'][k % 3 + 1] AS commitment, 'obs ' || k AS observation,
+  CASE WHEN k % 4 = 1 THEN 'Contrato' WHEN k % 4 = 0 THEN 'Licitação' WHEN k % 3 = 1 THEN 'Licitação' ELSE 'Contrato' END AS type, CASE WHEN k % 2 = 0 THEN '9º B Sup' WHEN k % 5 > 0 THEN '18º B Trnp' END AS unit, '30.' || lpad(CAST(k % 9 + 1 AS VARCHAR), 2, '0') AS cell, 'LÂMPADA ' || c_mktsegment AS clean, CASE WHEN k % 2 = 0 THEN 'FGTS' ELSE 'Receita Federal' END AS certificate, k || ' 0 1' AS repaired FROM o""")
+def brief_look_ups(spark, d):
+    """Look-ups in short texts: supplier in six forms, instrument, requisition number, commitment, observation, dossier type, unit of a cover."""
+    k = F.col("k")
+    rows = _orders(spark, d).withColumn("near", F.replace(F.replace(F.element_at(F.array(*map(F.lit, _BRIEF)), (k % 6 + 1).cast("int")), F.lit("{n}"), F.col("c_name")), F.lit("{t}"), F.col("tax")))
+    instrument = F.when(k % 4 == 0, _cat("por meio do PE ", _s(1000 + k % 9000), "/2025 e Contrato 9/2020")).when(k % 4 == 1, _cat("por meio do Contrato ", _s(k % 900 + 1), "/2024, PE 90004/2025")).when(k % 4 == 2, _cat("Dispensa de Licitação nº ", _s(k % 900 + 1), "/2024")).otherwise("nada")
+    number = F.when(k % 3 == 0, _cat("ASSUNTO: Req n° S", _pad(k % 900, 3), "/2026 – Pel")).otherwise(_cat("Requisição ", _pad(k % 900, 2), "-Almox"))
+    kind = F.element_at(F.array(*map(F.lit, ("Tipo de Empenho: GLOBAL", "( x ) Ordinário", "( X ) estimativo"))), (k % 3 + 1).cast("int"))
+    rows = rows.select(KEY, "k", "c_mktsegment", fields.supplier_near_tax_id(F.col("near")).alias("s"), fields.instrument(instrument).alias("i"), fields.requisition_number(number).alias("r"), fields.commitment_type(kind).alias("commitment"), fields.observation(_cat('Obs: "obs ', _s(k), '"')).alias("observation"))
+    none = F.lit(None).cast("string")
+    kind = fields.dossier_type(F.when(k % 4 == 1, "1/2024"), F.lit(False), F.lit(False), F.when(k % 4 == 0, "1/2025").otherwise(none), F.col("commitment"))
+    unit = reconcile.unit_from_cover(F.when(k % 2 == 0, "9º B Sup").otherwise(""), F.when(k % 5 > 0, "18º B Trnp").otherwise("Fulano"))
+    coded = reconcile.fill_item_codes(rows.select(F.col(KEY).alias("proc_id"), none.alias("nd_si")), rows.select(F.col(KEY).alias("proc_id"), _cat("33.90.30.", _pad(k % 9 + 1, 2)).alias("nd"))).select(F.col("proc_id").alias(KEY), F.col("nd_si").alias("cell"))
+    out = rows.select(KEY, "s.tax_id", "s.supplier", F.col("i.shown").alias("instrument"), F.col("r.raw").alias("requisition"), "r.year", "commitment", "observation", kind.alias("type"), unit.alias("unit"), S.clean_description(_cat("| LÂMPADA ", F.col("c_mktsegment"), " <R$ 1,00")).alias("clean"), S.certificate_name(F.when(k % 2 == 0, " fgts").otherwise("receita_federal")).alias("certificate"), S.repair_ocr(_cat(_s(k), " O l"), "number").alias("repaired"))
+    return out.join(coded.hint("shuffle_merge"), KEY)

@@ -13,6 +13,7 @@ from folio.streaming import incremental
 
 R = Registry()
 MONEY = "decimal(18,2)"
+CODE_COLUMNS = ("category", "grp", "modality", "element", "sub", "name", "row_no")
 BRL = "translate(format('{{:,.2f}}', {0}), ',.', '.,')"
 
 
@@ -59,7 +60,7 @@ def expiry_status(spark, d):
 WITH c AS (SELECT p_partkey, lpad(CAST(30 + p_partkey % 23 AS VARCHAR), 2, '0') AS e, lpad(CAST(p_partkey % 7 AS VARCHAR), 2, '0') AS s, CAST(p_partkey % 5 AS INTEGER) AS style FROM part)
 SELECT p_partkey, CASE WHEN style = 4 THEN e WHEN s = '00' THEN NULL ELSE e || '.' || s END AS code, CASE WHEN style = 4 THEN '3390' || e ELSE e || '.' || s END AS loose, CASE style WHEN 0 THEN CAST(s AS INTEGER) ELSE CAST(e AS INTEGER) END AS element, CASE WHEN style IN (1, 2, 3) THEN CAST(s AS INTEGER) END AS sub,
   CASE CASE style WHEN 0 THEN CAST(s AS INTEGER) ELSE CAST(e AS INTEGER) END WHEN 30 THEN 'material' WHEN 32 THEN 'material' WHEN 33 THEN 'passagem' WHEN 35 THEN 'servico' WHEN 36 THEN 'servico_pf' WHEN 37 THEN 'servico' WHEN 39 THEN 'servico_pj' WHEN 40 THEN 'servico' WHEN 47 THEN 'tributo' WHEN 51 THEN 'permanente' WHEN 52 THEN 'permanente' ELSE 'outro' END AS kind,
-  lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '/2024' AS contract, '90' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '/2025' AS bid, 'C' || p_partkey AS tax_id FROM c""")
+  lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '/2024' AS contract, '90' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '/2025' AS bid, 'C' || p_partkey AS tax_id, CASE WHEN p_partkey % 2 = 0 THEN 'regular' ELSE 'outro' END AS origin FROM c""")
 def code_normalise(spark, d):
     e, s = F.lpad((30 + F.col("p_partkey") % 23).cast("string"), 2, "0"), F.lpad((F.col("p_partkey") % 7).cast("string"), 2, "0")
     style = (F.col("p_partkey") % 5).cast("int")
@@ -68,7 +69,7 @@ def code_normalise(spark, d):
     rows = table(spark, d, "part").select("p_partkey", style.alias("style"), F.element_at(F.array(*forms), style + 1).alias("raw"), F.concat(short, F.lit("/2024")).alias("contract"), F.concat(F.when(F.length(short) == 3, F.concat(F.lit("9"), short)).otherwise(short), F.lit("/2025")).alias("bid"), F.concat(F.lit("C."), F.col("p_partkey").cast("string"), F.lit("-")).alias("tax"))
     raw = F.col("raw")
     parsed = S.element_sub(raw)  # of four dotted groups the last is taken for the element
-    return rows.select("p_partkey", S.element_item(raw).alias("code"), S.element_item_loose(raw).alias("loose"), F.coalesce(parsed["element"], S.element_of(raw)).alias("element"), parsed["sub"].alias("sub"), S.element_kind(parsed["element"]).alias("kind"), S.contract_number(F.col("contract")).alias("contract"), S.bid_number(F.col("bid")).alias("bid"), S.tax_id(F.col("tax")).alias("tax_id"))
+    return rows.select("p_partkey", S.element_item(raw).alias("code"), S.element_item_loose(raw).alias("loose"), F.coalesce(parsed["element"], S.element_of(raw)).alias("element"), parsed["sub"].alias("sub"), S.element_kind(parsed["element"]).alias("kind"), S.contract_number(F.col("contract")).alias("contract"), S.bid_number(F.col("bid")).alias("bid"), S.tax_id(F.col("tax")).alias("tax_id"), S.bid_display(F.when(F.col("p_partkey") % 2 == 0, S.bid_number(F.col("bid"))).otherwise(F.col("contract"))).alias("origin"))
 
 
 KINDS = {"metal": ["bolt", "ring", "gear", "plate"], "tool": ["widget", "gizmo", "gear", "small"], "heavy": ["large", "old", "PROMO".lower()]}
@@ -124,10 +125,11 @@ def alias_lookup(spark, d):
     return reconcile.alias_lookup(part, "p_name", tables.aliases(spark, ALIASES), F.substring(F.upper("p_name"), 1, 8)).select("p_partkey", "acronym")
 
 
-def _identity(spark, d):
+def _identity(spark, d, lines=None):
     """Orders with the nation of their customer and those of their lines' first and last supplier, as ids to compare."""
     nation = lambda c: F.concat(F.lit("N."), F.col(c).cast("string"))
-    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = table(spark, d, "lineitem") if lines is None else lines
+    lines = lines.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     sides = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("s_nationkey").alias("lo"), F.max("s_nationkey").alias("hi"))
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(sides, "o_orderkey", "left")
     own = F.when(F.col("o_orderstatus") != "P", nation("c_nationkey"))
@@ -150,15 +152,13 @@ identity_findings AS (
 """
 
 
-def _identity_findings(spark, d):
-    rows = _identity(spark, d)
-    ids = rules.tax_id_findings(rows, "o_orderkey", "own", {"LO": "lo", "HI": "hi"})
-    return ids.unionByName(rules.name_findings(rows, "o_orderkey", "name", "other_name", "own", "lo"))
+def _identity_findings(rows):
+    return rules.identity_findings(rows, "o_orderkey", "own", {"LO": "lo", "HI": "hi"}, "name", "other_name", "lo")
 
 
 @R.add("identity_check", f"WITH {_IDENTITY} SELECT o_orderkey, family, severity, description FROM identity_findings")
 def identity_check(spark, d):
-    return _identity_findings(spark, d).select("o_orderkey", "family", "severity", "description")
+    return _identity_findings(_identity(spark, d)).select("o_orderkey", "family", "severity", "description")
 
 
 @R.add("fill_gaps", """
@@ -263,10 +263,10 @@ i AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <> 6 TH
 st AS (SELECT *, CASE WHEN q IS NULL THEN 'ressalva' WHEN abs(round(q * p, 2) - t) > 0.02 THEN 'ressalva' ELSE 'conforme' END AS status FROM i)"""
 
 
-def _calc(spark, d):
+def _calc(spark, d, *more):
     total = F.when(F.col("l_partkey") % 2 == 0, F.col("l_quantity") * F.col("p_retailprice")).otherwise(F.col("l_extendedprice"))
     return table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_orderkey", F.col("l_linenumber").alias("item_no"), "l_partkey", F.when(F.col("l_linenumber") != 6, F.col("l_quantity").cast("decimal(18,4)")).alias("qty"), F.round("p_retailprice", 2).cast("decimal(18,4)").alias("unit_price"), F.round(total, 2).cast(MONEY).alias("total"))
+        "l_orderkey", *more, F.col("l_linenumber").alias("item_no"), "l_partkey", F.when(F.col("l_linenumber") != 6, F.col("l_quantity").cast("decimal(18,4)")).alias("qty"), F.round("p_retailprice", 2).cast("decimal(18,4)").alias("unit_price"), F.round(total, 2).cast(MONEY).alias("total"))
 
 
 @R.add("calc_check", f"""
@@ -286,9 +286,11 @@ f AS (SELECT o_orderkey, family, severity FROM identity_findings UNION ALL SELEC
 
 
 def _findings(spark, d):
+    """Identity and arithmetic findings; the lines are read and checked once, written, and grouped from there."""
     orders = table(spark, d, "orders").select("o_orderkey")
-    found = rules.item_findings(_calc(spark, d).withColumnRenamed("l_orderkey", "o_orderkey"), orders, "o_orderkey").withColumn("seq", F.lit(0))
-    return _identity_findings(spark, d).unionByName(found)
+    lines = store.written(_calc(spark, d, "l_suppkey"), store.scratch(spark))
+    found = rules.item_findings(lines.withColumnRenamed("l_orderkey", "o_orderkey"), orders, "o_orderkey").withColumn("seq", F.lit(0))
+    return _identity_findings(_identity(spark, d, lines)).unionByName(found)
 
 
 @R.add("decision", _DECISION + """
@@ -347,7 +349,7 @@ x AS (SELECT o_orderkey, family, severity, CASE WHEN description LIKE '%CNPJ div
     WHEN description LIKE 'Razão Social divergente: %' THEN 'a razão social na requisição ("' || regexp_extract(description, 'diz "([^"]*)", SICAF', 1) || '") diverge da razão social no SICAF ("' || regexp_extract(description, 'SICAF diz "([^"]*)"', 1) || '").' ELSE 'a razão social diverge entre a requisição e o SICAF.' END AS said FROM w WHERE bad = 1)
 SELECT o_orderkey, coalesce('Informo que ' || string_agg(said, ' Adicionalmente, ' ORDER BY family, seq, said), '') AS text FROM (SELECT DISTINCT o_orderkey FROM identity_findings) LEFT JOIN x USING (o_orderkey) GROUP BY 1""")
 def dispatch_text(spark, d):
-    found = _identity_findings(spark, d)
+    found = _identity_findings(_identity(spark, d))
     out = rules.decide(found, "o_orderkey")
     return out.select("o_orderkey", render.dispatch_text(F.col("type"), F.col("caveats")).alias("text"))
 
@@ -372,7 +374,8 @@ def history_stats(spark, d):
 @R.add("history_totals", "SELECT o_orderstatus, count(*) AS n, CAST(coalesce(sum(CAST(round(o_totalprice, 2) AS DECIMAL(18, 2))), 0) AS DOUBLE) AS total FROM orders GROUP BY 1")
 def history_totals(spark, d):
     rows = table(spark, d, "orders").withColumn("v", decimal("o_totalprice"))
-    return history.counts_by(rows, "o_orderstatus").join(rows.groupBy("o_orderstatus").agg(F.coalesce(F.sum("v"), F.lit(0)).cast("double").alias("total")), "o_orderstatus")
+    sums = history.total(rows, "v", by=["o_orderstatus"]).withColumn("total", F.col("total").cast("double"))
+    return history.counts_by(rows, "o_orderstatus").join(sums, "o_orderstatus")
 
 
 @R.add("registry_bids", """
@@ -488,6 +491,25 @@ def dims_load(spark, d):
     return dim.join(F.broadcast(table(spark, d, "region")), F.col("element") == F.col("r_regionkey")).select("element", "sub", "name", F.col("r_name").alias("region"))
 
 
+@R.add("scans", """
+SELECT 'page' AS kind, c_custkey AS number, CASE WHEN length(c_name) + c_custkey % 20 > 30 THEN 'true' ELSE 'false' END AS shown FROM customer
+UNION ALL SELECT 'code', n_regionkey * 100 + n_nationkey % 3, arg_max(n_name, n_nationkey) FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 2 UNION ALL SELECT 'element', r_regionkey, r_name FROM region""")
+def scans(spark, d):
+    """Pages from Parquet, budget codes and elements from CSV, a report to JSON; each written from the given tables and read back."""
+    path = store.scratch(spark)
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    text = F.concat(F.lit(" \n"), F.col("c_name"), F.repeat(F.lit("x"), (F.col("c_custkey") % 20).cast("int")), F.lit(" "))
+    c.select(F.col("c_custkey").cast("string").alias("proc_id"), F.lit(1).alias("page_no"), text.alias("text"), F.lit(None).cast("string").alias("source")).write.parquet(f"{path}/pages")
+    n.select(F.lit(3).alias("category"), F.lit(3).alias("grp"), (90 + F.col("n_nationkey") % 2).alias("modality"), F.col("n_regionkey").alias("element"), F.nullif(F.col("n_nationkey") % 3, F.lit(0)).alias("sub"), "n_name", F.col("n_nationkey").alias("row_no")).toDF(*CODE_COLUMNS).write.option("header", True).csv(f"{path}/codes")
+    table(spark, d, "region").select(F.col("r_regionkey").alias("element"), F.col("r_name").alias("name")).write.option("header", True).csv(f"{path}/elements")
+    pages = tables.pages(spark, f"{path}/pages").filter("source = 'text'")
+    codes, elements = tables.expense_codes(spark, f"{path}/codes"), tables.elements(spark, f"{path}/elements")
+    named = lambda rows, kind, number, shown: rows.select(F.lit(kind).alias("kind"), number.cast("long").alias("number"), shown.cast("string").alias("shown"))
+    out = named(pages, "page", F.col("proc_id"), F.col("usable")).unionByName(named(codes, "code", F.col("element") * 100 + F.col("sub"), F.col("name"))).unionByName(named(elements, "element", F.col("element"), F.col("name")))
+    store.export_json(out, f"{path}/report")
+    return spark.read.schema(out.schema).json(f"{path}/report")
+
+
 @R.add("nc_single_row", """
 SELECT l_orderkey AS o_orderkey, 'L' || l_linenumber AS number, l_extendedprice AS amount, false AS fallback FROM lineitem WHERE l_quantity > 45 UNION ALL
 SELECT o_orderkey, 'O', o_totalprice, true FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)""")

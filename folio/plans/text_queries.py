@@ -203,8 +203,8 @@ def ocr_items(spark, d):
 
 
 @R.add("grid_text", """
-WITH g AS (SELECT conv_id, string_agg(rtrim(role || ' ' || substr(text, 1, 20)), chr(10) ORDER BY turn, text) AS grid, min(CASE WHEN turn = 0 THEN trim(substr(text, 1, 150)) END) AS own FROM conversations GROUP BY conv_id)
+WITH g AS (SELECT conv_id, string_agg(rtrim(role || ' ' || text), chr(10) ORDER BY turn, text) AS grid, min(CASE WHEN turn = 0 THEN trim(text) END) AS own FROM conversations GROUP BY conv_id)
 SELECT conv_id, md5(CASE WHEN length(coalesce(own, '')) > 100 THEN own WHEN length(grid) > length(coalesce(own, '')) THEN grid ELSE coalesce(own, '') END) AS text_md5 FROM g""")
 def grid_text(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.trim(F.substring("text", 1, 150)))).alias("own"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda r: F.array(r["role"], F.lit(None).cast("string"), F.substring(r["text"], 1, 20))).alias("cells"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.trim("text"))).alias("own"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda r: F.array(r["role"], F.lit(None).cast("string"), r["text"])).alias("cells"))
     return rows.select("conv_id", F.md5(S.rebuilt_text(F.col("own"), F.col("cells"))).alias("text_md5"))

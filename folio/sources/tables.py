@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions.text import BLANKS
 from folio.sources import schemas
 
 
@@ -15,7 +16,7 @@ def pages(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = sc
     from folio.operators.classify import usable
 
     rows = spark.read.schema(schema).format(fmt).load(path)
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = F.trim(F.coalesce("text", F.lit("")), F.lit(BLANKS))
     return rows.select("proc_id", "page_no", text.alias("text"), F.coalesce("source", F.lit("text")).alias("source"), usable(text).alias("usable"))
 
 

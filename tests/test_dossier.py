@@ -346,3 +346,37 @@ def test_notes_without_a_number_stay(spark):
     df = spark.createDataFrame([("A", corpus.TERMINAL.replace("DOCUMENTO WEB : 2026NC000343\n", ""))], "proc_id string, text string")
     r = fields.credit_notes(df).first()
     assert r.number is None and r.siafi_no == "2026RO000273" and r.nd == "339030"
+
+
+def test_note_lines_bear_their_number(run):
+    got = [(r.number, r.line_no, r.nd, r.value) for r in run.note_lines.filter("proc_id = 'A'").orderBy("line_no").collect()]
+    assert [(n, nd, v) for n, _, nd, v in got] == [("2026NC000343", "339030", Decimal("2000.00")), ("2026NC000343", "339000", Decimal("500.00"))]
+
+
+def test_pieces_and_dispatches_of_a_run(run):
+    assert [(r.piece_no, r.name) for r in run.pieces.filter("proc_id = 'A'").orderBy("piece_no").collect()] == [(1, "Capa"), (2, "Requisição")]
+    assert [r.seq for r in run.dispatches.filter("proc_id = 'A'").collect()] == [1]
+
+
+def test_a_note_in_a_grid_is_read(spark):
+    """A page that has next to no text of its own, but a grid of characters."""
+    pages = spark.createDataFrame([("A", 1, "credit_note", "DEMONSTRA-DIARIO", "text"), ("A", 2, "credit_note", "x" * 101, "text"), ("A", 1, "sicaf", "DEMONSTRA-DIARIO", "text")], "proc_id string, page_no int, label string, text string, source string")
+    rows = spark.createDataFrame([("A", 1, 1, i, list(line)) for i, line in enumerate(corpus.TERMINAL.split("\n"))] + [("A", 2, 1, 0, ["y"] * 200)], schemas.PAGE_ROWS)
+    got = {(r.page_no, r.label): r.text for r in texts.with_grid_text(pages, rows).collect()}
+    assert got == {(1, "credit_note"): corpus.TERMINAL, (2, "credit_note"): "x" * 101, (1, "sicaf"): "DEMONSTRA-DIARIO"}
+
+
+def test_tables_of_two_columns_are_not_told_by_shape(spark):
+    rows = [("A", 1, 1, 0, ["1", "R$ 2,00 por unidade de material de limpeza"]), ("B", 1, 1, 0, ["1", "MATERIAL DE LIMPEZA PESADA", "R$ 2,00", "R$ 4,00"]), ("B", 1, 1, 1, ["TOTAL", None, None, "R$ 4,00"])]
+    df = spark.createDataFrame(rows, schemas.PAGE_ROWS)
+    assert [(r.proc_id, r.item_no, r.total) for r in items.rows_to_items(df).collect()] == [("B", 1, Decimal("4.00"))]
+    assert [(r.proc_id, r.declared) for r in items.declared_totals(df).collect()] == [("B", Decimal("4.00"))]
+
+
+def test_specification_and_gate_in_the_run(spark):
+    pages, rows = spark.createDataFrame(corpus.PAGES, schemas.PAGES), spark.createDataFrame(corpus.ROWS, schemas.PAGE_ROWS)
+    out = dossier.run(spark, pages, rows, F.lit(AS_OF).cast("date"), with_specification=True, gated=True)
+    said = {r.description for r in out.findings.filter("family = 'specification' and proc_id = 'A'").collect()}
+    assert "Peça obrigatória ausente: Termo de Abertura" in said and "Despachos encontrados: 1 de 3" in said and not any("CADIN" in x for x in said)
+    assert out.items.count() == 4  # no text before the tables closes the gate
+    out.release()

@@ -114,3 +114,52 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "decision" in e.queries()
+
+
+def brute(names, aliases, exact_first=False):
+    out = {}
+    for n in names:
+        up = (n or "").strip().upper()
+        fits = [((0 if up == a.upper() else 1) if exact_first else 0, p, c) for p, a, c in aliases if a and up and (a.upper() in up or up in a.upper())]
+        out[n] = min(fits)[2] if fits else None
+    return out
+
+
+def test_many_aliases_are_found_by_their_grams(spark, monkeypatch):
+    """Short and long names, names in aliases and aliases in names, special characters, ties by priority, an exact match first."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdeé .*") for _ in range(n))
+    aliases = [(i, word(rng.randint(1, 9)), f"c{i}") for i in range(700)] + [(900, "", "none"), (901, "zz", "two"), (902, "ZZ", "three"), (903, "quartel general do exército", "qge")]
+    names = sorted({word(rng.randint(1, 14)) for _ in range(400)} | {"zz", "QUARTEL GENERAL", "", " ", "x" * 50})
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "n string")
+    dim = spark.createDataFrame(aliases, "priority int, alias string, acronym string")
+    for few in (256, 10_000):
+        monkeypatch.setattr(reconcile, "FEW_ALIASES", few)
+        for exact in (False, True):
+            got = {r.n: r.acronym for r in reconcile.alias_lookup(df, "n", dim, F.lit(None).cast("string"), exact_first=exact).collect()}
+            assert got == brute([*names, None], aliases, exact)
+
+
+def test_a_hundred_thousand_aliases(spark):
+    dim = spark.range(100_000).select(F.col("id").cast("int").alias("priority"), F.concat(F.lit("batalhão "), F.md5(F.col("id").cast("string"))).alias("alias"), F.col("id").cast("string").alias("acronym"))
+    names = spark.range(200).select(F.concat(F.lit("do Batalhão "), F.md5((F.col("id") * 500).cast("string")), F.lit(" / MS")).alias("n"), F.col("id"))
+    out = reconcile.alias_lookup(names, "n", dim, F.lit(None).cast("string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r.id: r.acronym for r in out.select("id", "acronym").collect()} == {i: str(i * 500) for i in range(200)}
+
+
+def test_specification(spark):
+    dossiers = spark.createDataFrame([("A", "Licitação", "90001/2025"), ("B", None, None)], "proc_id string, type string, bid string")
+    labels = spark.createDataFrame([("A", x) for x in ("cover", "opening", "requisition", "sicaf", "cadin", "consolidated")] + [("B", "cover")], "proc_id string, label string")
+    sent = spark.createDataFrame([("A", 1, "REPROVO"), ("A", 2, "sanada a falha"), ("A", 3, "ciente"), ("B", 1, "a restituir")], "proc_id string, page_no int, text string")
+    sums = spark.createDataFrame([("A", 10.0, 10.0), ("B", 10.0, 12.0)], "proc_id string, total double, declared double").withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("total", "declared")})
+    registered = spark.createDataFrame([("90001/2025", "1", 5.0, 10.0), ("90001/2025", "2", 5.0, 10.0)], "bid string, code string, unit_price double, qty double")
+    sold = spark.createDataFrame([("A", 1, "1", 5.0, 9.0), ("A", 2, "2", 6.0, 9.0), ("A", 3, "3", 5.0, 9.0)], "proc_id string, item_no int, code string, unit_price double, qty double")
+    got = sorted((r.proc_id, r.seq, r.description) for r in quality.specification_findings(dossiers, labels, sent, sums, spark, registered, sold).collect())
+    assert got == [
+        ("A", 0, "Peça obrigatória ausente: Edital/página do pregão"), ("A", 2, "Despacho de reprovação com correção posterior — verificar"), ("A", 4, "Item 2: preço difere do registrado"), ("A", 4, "Item 3: não consta do pregão"),
+        *(("B", 0, f"Peça obrigatória ausente: {x}") for x in ("CADIN", "Consulta Consolidada", "Requisição", "SICAF", "Termo de Abertura")), ("B", 1, "Despachos encontrados: 1 de 3"), ("B", 2, "Despacho de reprovação sem correção posterior"), ("B", 3, "Soma dos itens R$ 10,00 ≠ total declarado R$ 12,00"),
+    ]
