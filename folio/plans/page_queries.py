@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
 from folio.operators import classify, fields, items, reconcile, rules
-from folio.plans.bindings import AS_OF, Registry, as_of, decimal, table
+from folio.plans.bindings import AS_OF, Registry, as_of, decimal, spread, table
 
 R = Registry()
 KEY = "o_orderkey"
@@ -26,9 +26,9 @@ def _cat(*parts):
 
 
 def _orders(spark, d):
-    """Orders with their customer and the codes that the pages name."""
+    """Orders with their customer and the codes that the pages name; the narrow rows are spread, as rendering and reading their texts is the work."""
     k, c = F.col(KEY), F.col("o_custkey")
-    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = spread(table(spark, d, "orders"), KEY).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     tax = _pad(c % 100_000_000, 8)
     return rows.withColumns({
         "k": k, "day": F.to_date("o_orderdate"), "nup": _cat("64136.", _pad(k % 1_000_000, 6), "/2026-", _pad(k % 97, 2)), "nc": _cat("2026NC", _pad(k % 1_000_000, 6)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folio.functions import scalars as S
 from folio.functions.text import first_rule, present, replace_all
 from folio.operators import classify, fields, history, items, quality, reconcile, registry, render, rules, texts
-from folio.plans.bindings import AS_OF, Registry, as_of, decimal, table
+from folio.plans.bindings import AS_OF, Registry, as_of, decimal, spread, table
 from folio.sources import analyses, keyed, store, tables
 from folio.streaming import incremental
 
@@ -306,7 +306,7 @@ def stage_status(spark, d):
 
 
 def _rendered(spark, d):
-    c = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    c = spread(table(spark, d, "orders"), "o_orderkey").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
     text = lambda n: F.col(n).cast("string")
     nc = F.concat(F.lit("2024NC"), F.lpad(text("o_orderkey"), 6, "0"))
