@@ -132,7 +132,17 @@ def rows_to_items(page_rows: DataFrame, keys: tuple[str, ...] = ("proc_id", "pag
 
 #: Item numbers, catalogue codes, units and budget codes as they are written (fixed values).
 ITEM_START, CATALOGUE, UNITS = r"\b\d{3,5}\s*[-–]\s+[A-Z]", r"\b([134]\d{4,5})\b", r"KG|UN|UND|L|M2|M3|CX|PCT|LT|HR|SV|MÊS|M"
-_CODES = (r"\b(33\.90\.\d{2}\.\d{2})\b", r"\b(33\.90\.\d{2}/\d{2})\b", r"\b(3390\d{2}/\d{2})\b", r"\b(3390\d{4})\b", r"\b(3390\d{2})(?!\d)", r"\b(\d{2}/\d{2})\b(?!\d)", r"\b(\d{2}\.\d{2})\b")
+_LONG_CODES = (r"\b(33\.90\.\d{2}\.\d{2})\b", r"\b(33\.90\.\d{2}/\d{2})\b", r"\b(3390\d{2}/\d{2})\b", r"\b(3390\d{4})\b")
+_SIX_CODE, _SHORT_CODES = r"\b(3390\d{2})(?!\d)", (r"\b(\d{2}/\d{2})\b(?!\d)", r"\b(\d{2}\.\d{2})\b")
+
+
+def _budget_code(s: Column) -> Column:
+    """The budget code of a segment. Six digits from 339000 on are shaped as a catalogue code, too: the segment's first number of that shape
+    is its catalogue code, and no budget code unless another one follows."""
+    numbers = find_distinct(s, CATALOGUE, flags="(?d)")
+    behind_code = F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0)))
+    six = F.coalesce(F.try_element_at(F.filter(behind_code, lambda n: F.regexp_like(n, F.lit(rf"\A{_SIX_CODE}"))), F.lit(1)), F.when(F.size(numbers) > 1, find(s, _SIX_CODE, flags="(?d)")))
+    return S.element_item(F.coalesce(cascade(s, *_LONG_CODES, flags="(?d)"), six, cascade(s, *_SHORT_CODES, flags="(?d)")))
 
 
 def text_segments(text: Column) -> Column:
@@ -165,7 +175,7 @@ def texts_to_items(texts: DataFrame, keys: tuple[str, ...] = ("proc_id", "page_n
     described = S.clean_description(F.regexp_replace(F.regexp_replace(F.coalesce(present(behind(s, rf"{CATALOGUE}\s*\|?\s*", "(?d)")), s), r"TOTAL.*\z", ""), r"\b\d{2}[/.]\d{2}\b", " "))
     out = rows.select(
         *keys, "strategy", number.alias("item_no"), code.alias("code"), described.alias("description"), F.upper(find(s, rf"\b({UNITS}|PAR|JG|GL)\b")).alias("unit"), S.quantity(find(s, rf"\b(\d{{1,6}})\s*(?:{UNITS})\b", flags="(?d)")).alias("qty"),
-        S.element_item(cascade(s, *_CODES, flags="(?d)")).alias("nd_si"), F.when(F.size(values) >= 2, F.try_element_at(values, F.lit(1))).alias("unit_price"), F.coalesce(total, F.when(F.size(values) > 0, F.try_element_at(values, F.lit(-1)))).alias("total"), F.lit("ocr").alias("source"),
+        _budget_code(s).alias("nd_si"), F.when(F.size(values) >= 2, F.try_element_at(values, F.lit(1))).alias("unit_price"), F.coalesce(total, F.when(F.size(values) > 0, F.try_element_at(values, F.lit(-1)))).alias("total"), F.lit("ocr").alias("source"),
     )
     return out.filter(F.coalesce(F.col("code"), F.col("description"), F.col("total").cast("string")).isNotNull())
 

@@ -170,6 +170,15 @@ def test_ocr_items(spark):
     assert got == [(101, "301234", Decimal("10"), Decimal("2.00"), Decimal("20.00"), "30.24", "numbers"), (102, "401234", Decimal("5"), Decimal("3.00"), Decimal("15.00"), None, "numbers")]
 
 
+def test_a_catalogue_code_is_no_budget_code(spark):
+    texts = {
+        "X 339030 TINTA 2 KG 30/07 R$ 2,00 R$ 4,00": ("339030", "30.07"), "X 339030 TINTA 2 KG R$ 2,00 R$ 4,00": ("339030", None), "X 301234 TINTA 2 KG 339039 R$ 2,00": ("301234", "39"),
+        "ND 339030 CATMAT 301234 TINTA": ("339030", "30"), "X 339012 TINTA 339039": ("339012", "39"), "X 301234 339030/24": ("301234", "30.24"), "X 339030 TINTA 33.90.30.24": ("339030", "30.24"),
+    }
+    df = spark.createDataFrame([(i, f"105 - {t}\n106 - Y 301111 PAPEL") for i, t in enumerate(texts)], "i int, text string")
+    assert [(r.code, r.nd_si) for r in items.texts_to_items(df, ("i",)).filter("item_no = 105").orderBy("i").collect()] == list(texts.values())
+
+
 def test_mirror_fills_gaps(spark):
     from folio.operators import reconcile
 
