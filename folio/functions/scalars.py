@@ -232,8 +232,7 @@ def repair_ocr(text: Column, context: str = "text") -> Column:
 def clean_description(text: Column, least: int = 3) -> Column:
     """Stray marks, amounts and long numbers go; null if fewer than ``least`` characters are left."""
     t = replace_all(text, ((r"[|]", " "), (r"[\"'\[\]<>]", " "), (r"\S*[ªº;%!@#&=]+\S*", " "), (r"R\$\s*[0-9.,]+", " "), (r",[0-9]{2}\b", " "), (r"\b[0-9]{3,}\b", " ")), "(?U)")
-    t = F.trim(F.regexp_replace(squeeze(t), r"[0-9.,\s]+\z", ""))
-    return F.when(F.length(t) >= least, t)
+    return once(F.trim(F.regexp_replace(squeeze(t), r"[0-9.,\s]+\z", "")), lambda d: F.when(F.length(d) >= least, d))
 
 
 def with_preposition(acronym: Column) -> Column:

@@ -21,14 +21,20 @@ def rx(pattern: str, flags: str = FLAGS) -> str:
     return flags + pattern
 
 
+def filled(text: Column) -> Column:
+    """Null for an empty string. The text is written down once in the expression: ``nullif`` repeats it wherever it stands in a branch or a
+    lambda, so that a nested search is worked out twice at each level."""
+    return F.get(F.array_remove(F.array(text), F.lit("")), F.lit(0))
+
+
 def find(text: Column, pattern: str, group: int = 1, flags: str = FLAGS) -> Column:
     """The trimmed group of the first match; null if there is none or it is empty."""
-    return F.nullif(F.trim(F.regexp_extract(text, rx(pattern, flags), group)), F.lit(""))
+    return filled(F.trim(F.regexp_extract(text, rx(pattern, flags), group)))
 
 
 def find_by(text: Column, pattern: Column, group: int = 1) -> Column:
     """As ``find``, with a pattern that is itself a column."""
-    return F.nullif(F.trim(F.call_function("regexp_extract", text, pattern, F.lit(group))), F.lit(""))
+    return filled(F.trim(F.call_function("regexp_extract", text, pattern, F.lit(group))))
 
 
 def cascade(text: Column, *patterns: str, group: int = 1, flags: str = FLAGS) -> Column:
@@ -95,7 +101,7 @@ def first_rule(rules: Sequence[tuple[Column, Column]], otherwise: Column | None
 
 def present(column: Column) -> Column:
     """Null for an empty or blank string."""
-    return F.nullif(F.trim(column), F.lit(""))
+    return filled(F.trim(column))
 
 
 def segments(text: Column, marker: str) -> Column:
@@ -184,11 +190,11 @@ class Anchored:
 
     def code(self, pattern: str, group: int = 1) -> Column:
         """The group of the first match in the folded text: for digits and fixed words."""
-        return F.nullif(F.regexp_extract(self.fold, pattern, group), F.lit(""))
+        return filled(F.regexp_extract(self.fold, pattern, group))
 
     def behind(self, anchor: str) -> Column:
         """The text behind the first match of an anchor; null if there is none."""
-        return F.right(self.text, F.char_length(self._rest(anchor)))
+        return F.substring(self.text, F.char_length(self.text) - F.char_length(self._rest(anchor)) + 1, F.char_length(self.text))
 
     def line(self, anchor: str) -> Column:
         """What stands behind an anchor, from the first that is not blank to the end of its line."""
@@ -196,10 +202,10 @@ class Anchored:
 
     def between(self, begins: str, ends: str) -> Column:
         """What lies between two anchors, trimmed; null if either is missing or nothing does."""
-        rest = self._rest(begins)
-        parts = F.split(rest, ends, 2)
-        size = F.when(F.size(parts) == 2, F.char_length(F.try_element_at(parts, F.lit(1))))
-        return F.nullif(F.trim(F.substring(self.text, F.char_length(self.text) - F.char_length(rest) + 1, size), F.lit(BLANKS)), F.lit(""))
+        # struct(rest: its length, parts: the rest ahead of the end and behind it)
+        bounds = once(self._rest(begins), lambda r: F.struct(F.char_length(r).alias("rest"), F.split(r, ends, 2).alias("parts")))
+        cut = once(bounds, lambda b: F.when(F.size(b["parts"]) == 2, F.substring(self.text, F.char_length(self.text) - b["rest"] + 1, F.char_length(F.try_element_at(b["parts"], F.lit(1))))))
+        return filled(F.trim(cut, F.lit(BLANKS)))
 
 
 def first_line(text: Column) -> Column:
@@ -216,13 +222,13 @@ def lines_around(text: Column, key: Column, below: int) -> Column:
     """The line in which ``key`` first stands and up to ``below`` more, as far as an empty one; null if it stands nowhere.
 
     The key is found once and lines are cut off on both sides of it; no line is searched."""
-    at = F.instr(text, key)
-    behind = F.split(F.substring(text, at, F.length(text)), "\n", below + 2)
-    near = F.slice(behind, 1, F.least(F.size(behind), F.lit(below + 1)))
-    empty = F.array_position(near, "").cast("int")
-    near = F.when(empty > 1, F.slice(near, 1, F.greatest(empty - 1, F.lit(0)))).otherwise(near)
-    ahead = F.substring_index(F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0))), "\n", -1)
-    return F.when(at > 0, F.concat(ahead, F.array_join(near, "\n")))
+    def cut(at: Column) -> Column:
+        behind = F.slice(F.split(F.substring(text, at, F.length(text)), "\n", below + 2), 1, below + 1)
+        near = once(behind, lambda b: F.slice(b, 1, F.when(F.array_position(b, "") > 1, F.array_position(b, "").cast("int") - 1).otherwise(F.size(b))))
+        ahead = F.substring_index(F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0))), "\n", -1)
+        return F.when(at > 0, F.concat(ahead, F.array_join(near, "\n")))
+
+    return once(F.instr(text, key), cut)
 
 
 def behind_each(text: Column, key: Column) -> Column:

@@ -26,9 +26,10 @@ def _cat(*parts):
 
 
 def _orders(spark, d):
-    """Orders with their customer and the codes that the pages name; the narrow rows are spread, as rendering and reading their texts is the work."""
+    """Orders with their customer and the codes that the pages name; the narrow rows are spread behind the join, as rendering and reading
+    their texts is the work: a join by shuffle leaves few partitions of them."""
     k, c = F.col(KEY), F.col("o_custkey")
-    rows = spread(table(spark, d, "orders"), KEY).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = spread(table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")), KEY)
     tax = _pad(c % 100_000_000, 8)
     return rows.withColumns({
         "k": k, "day": F.to_date("o_orderdate"), "nup": _cat("64136.", _pad(k % 1_000_000, 6), "/2026-", _pad(k % 97, 2)), "nc": _cat("2026NC", _pad(k % 1_000_000, 6)),
@@ -111,8 +112,8 @@ def contract_fields(spark, d):
     text = _cat("TERMO DE CONTRATO\nCONTRATO DE PRESTAÇÃO DE SERVIÇOS Nº ", _pad(k % 1000, 3), "/2024, QUE FAZEM ENTRE SI\nCONTRATANTE: UNIÃO, POR INTERMÉDIO DO COMANDO ", _s("c_nationkey"), ", inscrita no CNPJ 00.394.452/0001-03\nCONTRATADA: ", F.upper("c_mktsegment"), " LTDA, inscrita no CNPJ ", F.col("tax"),
                 "\nUASG 160136\nCLÁUSULA PRIMEIRA - OBJETO\n1.1. Serviço de ", F.lower("c_mktsegment"), "\ne limpeza\n1.2. x\nCLÁUSULA SEGUNDA\no prazo de vigência vai de ", F.date_format("day", "dd/MM/yyyy"), "\naté ", F.date_format(F.date_add("day", 365), "dd/MM/yyyy"), "\nvalor total de R$ ", S.format_amount(decimal("o_totalprice")),
                 "\nassinado digitalmente\nFULANO ", _s("c_nationkey"), "\n", F.when(k % 2 == 0, "Documento assinado digitalmente\nw BELTRANA\n").otherwise(""))
-    columns = fields.contract_document(F.col("text"))
-    out = _read(_orders(spark, d).withColumn("text", text), columns, fields.real_contract(columns).alias("real"))
+    read = _read(_orders(spark, d).withColumn("text", text), fields.contract_document(F.col("text")))
+    out = read.withColumn("real", fields.real_contract({n: F.col(n) for n in read.columns if n != KEY}))  # over the fields as they are read
     return out.select(KEY, "contract_no", "unit_code", "contracting_name", "contracting_tax_id", "contracted", "contracted_tax_id", "object", "total", "valid_from", "valid_to", "signed", F.array_join("signers", "; ").alias("signers"), "real")
 
 

@@ -163,3 +163,31 @@ def test_specification(spark):
         ("A", 0, "Peça obrigatória ausente: Edital/página do pregão"), ("A", 2, "Despacho de reprovação com correção posterior — verificar"), ("A", 4, "Item 2: preço difere do registrado"), ("A", 4, "Item 3: não consta do pregão"),
         *(("B", 0, f"Peça obrigatória ausente: {x}") for x in ("CADIN", "Consulta Consolidada", "Requisição", "SICAF", "Termo de Abertura")), ("B", 1, "Despachos encontrados: 1 de 3"), ("B", 2, "Despacho de reprovação sem correção posterior"), ("B", 3, "Soma dos itens R$ 10,00 ≠ total declarado R$ 12,00"),
     ]
+
+
+def test_searches_are_written_down_once(spark):
+    """A pattern in a branch or a lambda is not repeated for its null test, at any depth."""
+    from folio.functions import scalars as S
+    from folio.functions import text as T
+    from folio.operators import fields
+
+    rows = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    plan = lambda c: rows.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    t = F.col("t")
+    assert plan(fields.supplier_near_tax_id(t)).count("destinada") == 1 and plan(fields.instrument(t)["shown"]).count("Contrato)") == 1
+    assert plan(fields.requisition_number(t)).count("Req\\s+") == 1 and plan(S.clean_description(t)).count("@#&=") == 1
+    assert plan(F.coalesce(F.col("t"), T.find(t, "a(b)c"))).count("a(b)c") <= 1 and plan(T.Anchored(t, t).behind("k:")).count("k:") == 1
+
+
+def test_filled_is_null_for_empty_texts_only(spark):
+    from folio.functions.text import filled
+
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, " "), (3, "x")], "i int, t string")
+    assert [r.f for r in rows.select("i", filled(F.col("t")).alias("f")).orderBy("i").collect()] == [None, None, " ", "x"]
+
+
+def test_page_rows_are_spread_behind_the_join(spark):
+    from folio.plans import page_queries
+
+    plan = page_queries._orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("RepartitionByExpression") < plan.index("Join Inner")
