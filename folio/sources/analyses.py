@@ -1,7 +1,7 @@
 """The stored history: analyses by month, a delete log, counts that are kept beside it, and trigram postings for search.
 
 Each batch is written to a folder of its own, by month and in order of time; a version names all folders (``versions``). Beside
-its rows a batch leaves two small tables: counts and sums by month and result, and the postings (gram, month, id) of the texts that
+its rows a batch leaves two small tables: counts and sums by month and result, and the postings (gram, month, hash of the id) of the texts that
 are searched. A delete writes the ids with their months, and the counts to take off; readers of a month leave out its deleted
 ids. ``fold`` rewrites only the months that have deletes and makes one table of the counts.
 
@@ -25,6 +25,8 @@ from folio.sources.versions import Versions
 
 SEARCHED = ("nup", "supplier", "unit_name", "instrument")
 _AMOUNT = "decimal(28,2)"
+#: Bloom filters of the ids that are as large as a file's ids need; else each takes a megabyte, a file for each month.
+_BLOOM = {"parquet.bloom.filter.enabled#analysis_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def grams(text: Column) -> Column:
@@ -32,6 +34,11 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
+def _row(analysis_id: Column) -> Column:
+    """What postings name a row by: four bytes for an id of 64. Two ids may share one; what is found is held against the text anyway."""
+    return F.hash(analysis_id)
+
+
 class Analyses:
     """A history below a path."""
 
@@ -47,7 +54,7 @@ class Analyses:
     def _postings(self, rows: DataFrame) -> DataFrame:
         texts = [grams(F.col(c).cast("string")) for c in self.searched if c in rows.columns]
         every = F.array_distinct(F.flatten(F.array_compact(F.array(*texts)))) if texts else F.array().cast("array<string>")
-        return rows.select("month", "analysis_id", F.explode(every).alias("gram"))
+        return rows.select("month", _row(F.col("analysis_id")).alias("row"), F.explode(every).alias("gram"))
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         """Stores a batch once, however often it comes."""
@@ -58,7 +65,7 @@ class Analyses:
         folder = v.folder()
         order = [F.desc("created"), "analysis_id"]
         fresh = rows.dropDuplicates(["analysis_id"]).hint("rebalance", "month").sortWithinPartitions("month", *order)
-        fresh.write.partitionBy("month").option("parquet.bloom.filter.enabled#analysis_id", "true").parquet(f"{v.path}/{folder}/rows")
+        fresh.write.partitionBy("month").options(**_BLOOM).parquet(f"{v.path}/{folder}/rows")
         made = v.parts_of(f"{folder}/rows", 1)
         pieces |= {f"batch={batch_id}": folder} | {f"rows/{m}/{batch_id}": f"{folder}/rows/{m}" for m in made}
         if made:
@@ -93,7 +100,7 @@ class Analyses:
         kept = {p: f for p, f in pieces.items() if not p.startswith("counts/") and (p.split("/")[0] not in ("rows", "deleted") or p.split("/")[1] not in months)}
         if months:
             own = self.read([m.split("=")[1] for m in months])
-            own.sortWithinPartitions("month", F.desc("created"), "analysis_id").write.partitionBy("month").option("parquet.bloom.filter.enabled#analysis_id", "true").parquet(f"{v.path}/{folder}/rows")
+            own.hint("rebalance", "month").sortWithinPartitions("month", F.desc("created"), "analysis_id").write.partitionBy("month").options(**_BLOOM).parquet(f"{v.path}/{folder}/rows")
             kept |= {f"rows/{m}/{name}": f"{folder}/rows/{m}" for m in v.parts_of(f"{folder}/rows", 1)}
         v.commit(kept | {f"counts/{name}": f"{folder}/counts"})
         return [m.split("=")[1] for m in months]
@@ -162,12 +169,14 @@ class Analyses:
             held = self.versions.read([f for p, f in sorted(self.versions.pieces().items()) if p.startswith("grams/")])
             if held is None:
                 return self.read()
-            found = held.filter(F.col("gram").isin(need)).groupBy("month", "analysis_id").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(need))
-            ids = found.select("analysis_id", F.col("month").cast("string").alias("month"))
+            if "analysis_id" in held.columns:  # postings of batches that were stored before rows were named shortly
+                held = held.withColumn("row", F.coalesce(*(["row"] if "row" in held.columns else []), _row(F.col("analysis_id"))))
+            found = held.filter(F.col("gram").isin(need)).groupBy("month", "row").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(need))
+            ids = found.select("row", F.col("month").cast("string").alias("month"))
             months = [r.month for r in ids.select("month").distinct().collect()]  # a row for each month
         rows = self.read(months)
         if rows is None:
             return None if months is None else self.read().limit(0)
         if ids is not None:
-            rows = rows.join(ids.select("analysis_id").hint("shuffle_hash"), "analysis_id", "left_semi")
+            rows = rows.withColumn("row", _row(F.col("analysis_id"))).join(ids.select("row").hint("shuffle_hash"), "row", "left_semi").drop("row")
         return history.search(rows, text, [c for c in self.searched if c in rows.columns], result_col=self.result, **more)

@@ -194,3 +194,30 @@ def test_pages_wait_until_their_dossier_is_whole(spark, tmp_path):
     assert send(3, ("D", 1, "d1", 5, day(4))) == [(3, [("B", 1, "b1")])]  # B never says how many it has: time is up
     assert send(4) == []
     assert os.path.exists(f"{tmp_path}/w/versions")
+
+
+def test_postings_name_rows_shortly_and_older_ones_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{i:064d}", f"2026-0{i % 3 + 1}-01", f"2026-0{i % 3 + 1}", "ok", f"Acme {i}") for i in range(30)], "analysis_id string, created string, month string, result string, supplier string")
+    kept = Analyses(spark, f"{tmp_path}/h", searched=("supplier",))
+    kept.append(rows.limit(20), 0)
+    held = [f for p, f in kept.versions.pieces().items() if p.startswith("grams/")]
+    assert dict(kept.versions.read(held).dtypes)["row"] == "int" and "analysis_id" not in kept.versions.read(held).columns
+    old = kept._postings(kept.read()).join(kept.read().select("analysis_id", F.hash("analysis_id").alias("row")), "row").drop("row")
+    assert old.count() > 0
+    old.write.parquet(f"{tmp_path}/h/data/older/grams")  # as a batch left them before
+    kept.versions.commit({p: ("data/older/grams" if p.startswith("grams/") else f) for p, f in kept.versions.pieces().items()})
+    kept.append(rows.exceptAll(rows.limit(20)), 1)
+    assert sorted(r.supplier for r in kept.search("ACME 1").collect()) == sorted(f"Acme {i}" for i in [1, *range(10, 20)])
+    assert [r.supplier for r in kept.search("acme 2_").orderBy("supplier").collect()] == [f"Acme {i}" for i in range(20, 30)]
+
+
+def test_a_fold_leaves_few_small_files(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 16).select(F.sha2(F.col("id").cast("string"), 256).alias("analysis_id"), F.lit("2026-01-01").alias("created"), F.format_string("2026-%02d", F.col("id") % 4 + 1).alias("month"), F.lit("ok").alias("result"), F.lit("Acme").alias("supplier"))
+    kept = Analyses(spark, f"{tmp_path}/h")
+    kept.append(rows, 0)
+    kept.delete(rows.filter("analysis_id < '1'").select("analysis_id"))
+    assert len(kept.fold()) == 4
+    files = [f for m in kept.versions.pieces().items() if m[0].startswith("rows/") for f in glob.glob(f"{tmp_path}/h/{m[1]}/*.parquet")]
+    assert len(files) == 4 and max(map(os.path.getsize, files)) < 300_000  # a filter of fixed size alone takes a megabyte
+    one = kept.read().first()
+    assert kept.lookup(one.analysis_id).count() == 1
