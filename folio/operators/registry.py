@@ -13,16 +13,20 @@ from folio.operators.render import code_and_name
 from folio.sources import keyed
 
 
-def merge_registry(rows: DataFrame, key: str, order: str, seen: str, first: list[str] = (), sets: dict[str, str] | None = None, flags: list[str] = (), distinct_by: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+def merge_registry(rows: DataFrame, key: str, order: str, seen: str, first: list[str] = (), sets: dict[str, str] | None = None, flags: list[str] = (), distinct_by: dict[str, tuple[str, str]] | None = None, sizes: dict[str, str] | None = None) -> DataFrame:
     """One row per key: first non-empty scalars in order, sorted distinct sets, raised flags, first and last use.
 
     ``distinct_by`` maps a name to (column of identity, shown column): of each identity the first shown value stays.
-    Sets are aggregated on (key, value) first, so that a hot key is combined in parts."""
+    Sets are aggregated on (key, value) first, so that a hot key is combined in parts; of ``sizes`` only the number of values is kept, as
+    ``n_`` and the name, so that no task holds the members."""
     scalars = rows.groupBy(key).agg(*(first_filled(c, order).alias(c) for c in first), *(F.max(F.coalesce(F.col(f).cast("boolean"), F.lit(False))).alias(f) for f in flags), F.min(seen).alias("first_use"), F.max(seen).alias("last_use"))
     out = scalars
     for name, column in (sets or {}).items():
         values = rows.filter(F.col(column).isNotNull()).groupBy(key, column).agg(F.lit(1).alias("_one"))
         out = out.join(values.groupBy(key).agg(F.array_sort(F.collect_list(column)).alias(name)), key, "left")
+    for name, column in (sizes or {}).items():
+        values = rows.filter(F.col(column).isNotNull()).groupBy(key, column).agg(F.lit(1).alias("_one"))
+        out = out.join(values.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{name}")), key, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
     for name, (identity, shown) in (distinct_by or {}).items():
         values = rows.filter(F.col(identity).isNotNull()).groupBy(key, F.col(identity).alias("_id")).agg(F.min_by(shown, order).alias("_shown"), F.min(order).alias("_at"))
         pairs = F.array_sort(F.collect_list(F.struct("_at", "_id", "_shown")))

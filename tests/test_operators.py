@@ -191,3 +191,9 @@ def test_page_rows_are_spread_behind_the_join(spark):
 
     plan = page_queries._orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert -1 < plan.index("RepartitionByExpression") < plan.index("Join Inner")
+
+
+def test_sizes_of_a_registry_hold_no_members(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 1, None), (None, 1, "z")], "k string, o int, v string")
+    out = registry.merge_registry(rows, "k", "o", "o", sizes={"vs": "v"})
+    assert {r.k: r.n_vs for r in out.collect() if r.k} == {"a": 2, "b": 0} and "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
