@@ -78,7 +78,7 @@ def hits(text: Column, patterns: Sequence[str], flags: str = FLAGS) -> Column:
 def contains_count(text: Column, words: Sequence[str]) -> Column:
     """How many of the words occur anywhere in the text (a plain substring test); the text is worked out once."""
     listed = F.array(*map(F.lit, words))
-    return once(text, lambda t: F.size(F.filter(listed, lambda w: F.coalesce(F.contains(t, w), F.lit(False)))))
+    return once(text, lambda t: F.size(F.filter(listed, lambda w: F.contains(t, w))))
 
 
 def squeeze(text: Column) -> Column:

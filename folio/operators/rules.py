@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
-from folio.functions.text import contains_count, present
+from folio.functions.text import contains_count, once, present
 from folio.operators.reconcile import dimension
 
 OK, CAVEAT, BLOCK = "conforme", "ressalva", "bloqueio"
@@ -142,14 +142,18 @@ def keyword_scores(text: Column, keywords: dict[str, list[str]] | None = None) -
 def keyword_kind(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
     """The list with strictly the most hits; null on a tie or without hits."""
     scores = keyword_scores(text, keywords)
-    out = None
-    for k, s in scores.items():
-        above = F.lit(True)
-        for other, o in scores.items():
-            if other != k:
-                above = above & (s > o)
-        out = F.when(above, k) if out is None else out.when(above, k)
-    return out
+
+    def highest(s: Column) -> Column:
+        out = None
+        for k in scores:
+            above = F.lit(True)
+            for other in scores:
+                if other != k:
+                    above = above & (s[k] > s[other])
+            out = F.when(above, k) if out is None else out.when(above, k)
+        return out
+
+    return once(F.struct(*(s.alias(k) for k, s in scores.items())), highest)
 
 
 def compatible(code_kind: Column, text_kind: Column) -> Column:
@@ -160,18 +164,23 @@ def compatible(code_kind: Column, text_kind: Column) -> Column:
 
 
 def code_findings(items: DataFrame, ident: DataFrame, names: DataFrame, elements: DataFrame, key: str = "proc_id") -> DataFrame:
-    """Items whose expenditure code does not fit their description; else one row that all fit. ``names(element, sub, name)`` and ``elements(element, name)`` are dimensions."""
-    rows = items.join(ident.select(key, F.col("nd").alias("_nd")), key, "left").withColumn("_code", S.element_sub(F.col("nd_si")))
-    rows = rows.withColumn("element", F.coalesce(F.col("_code.element"), S.element_of(F.col("_nd")))).withColumn("sub", F.col("_code.sub")).filter(F.col("element").isNotNull())
-    rows = rows.join(dimension(elements.select("element", F.col("name").alias("_element_name"))), "element", "left")
-    name = F.coalesce("_element_name", F.concat(F.lit("Elemento "), F.col("element").cast("string")))
+    """Items whose expenditure code does not fit their description; else one row that all fit. ``names(element, sub, name)`` and ``elements(element, name)`` are dimensions,
+    ``ident`` has a row for each dossier.
+
+    Only items without a code of their own meet the dossier's; the others are judged where they are read, and no description is shuffled for them."""
+    own = items.withColumn("element", S.element_sub(F.col("nd_si"))["element"])
+    rest = own.filter(F.col("element").isNull()).join(ident.select(key, F.col("nd").alias("_nd")), key, "left").withColumn("element", S.element_of(F.col("_nd"))).drop("_nd")
+    rows = own.unionByName(rest).filter(F.col("element").isNotNull())
     kind, said = S.element_kind(F.col("element")), keyword_kind(F.col("description"))
+    rows = rows.withColumn("_ok", once(F.struct(kind.alias("code"), said.alias("text")), lambda k: compatible(k["code"], k["text"])))
     shown = {"material": "MATERIAL", "servico": "SERVIÇO", "permanente": "EQUIPAMENTO PERMANENTE"}
     word = lambda c: F.when(c == "material", shown["material"]).when(c.startswith("servico"), shown["servico"]).otherwise(shown["permanente"])
     code_word = F.when((kind == "material") & (said == "permanente"), "MATERIAL DE CONSUMO").otherwise(word(kind))
-    rows = rows.withColumns({"_ok": compatible(kind, said), "_text": F.concat(F.lit("ND indica "), code_word, F.lit(" ("), name, F.lit("), mas descrição sugere "), word(said))})
+    unfit = rows.filter(~F.col("_ok")).join(dimension(elements.select("element", F.col("name").alias("_element_name"))), "element", "left")
+    name = F.coalesce("_element_name", F.concat(F.lit("Elemento "), F.col("element").cast("string")))
+    unfit = unfit.withColumn("_text", F.concat(F.lit("ND indica "), code_word, F.lit(" ("), name, F.lit("), mas descrição sugere "), word(said)))
     number = F.coalesce(F.col("item_no").cast("string"), F.lit("?"))
-    bad = rows.filter(~F.col("_ok")).select(key, F.concat(F.lit("ND/SI × Descrição (Item "), number, F.lit(")")).alias("check"), F.concat(F.lit("Item "), number, F.lit(": "), F.col("_text"), F.lit(" — verificar ND/SI")).alias("description"), F.lit(CAVEAT).alias("severity"))
+    bad = unfit.select(key, F.concat(F.lit("ND/SI × Descrição (Item "), number, F.lit(")")).alias("check"), F.concat(F.lit("Item "), number, F.lit(": "), F.col("_text"), F.lit(" — verificar ND/SI")).alias("description"), F.lit(CAVEAT).alias("severity"))
     good = rows.groupBy(key).agg(F.bool_and("_ok").alias("_ok")).filter("_ok").select(key, F.lit("ND/SI × Descrição dos itens").alias("check"), F.lit("ND/SI compatível com a descrição dos itens").alias("description"), F.lit(OK).alias("severity"))
     return bad.unionByName(good).withColumn("family", F.lit("codes"))
 

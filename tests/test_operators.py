@@ -197,3 +197,30 @@ def test_sizes_of_a_registry_hold_no_members(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 1, None), (None, 1, "z")], "k string, o int, v string")
     out = registry.merge_registry(rows, "k", "o", "o", sizes={"vs": "v"})
     assert {r.k: r.n_vs for r in out.collect() if r.k} == {"a": 2, "b": 0} and "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def shuffled(df):
+    """(names of its columns, its part of the plan) of each exchange, before adaptive execution changes the plan."""
+    def below(node):
+        found = [({node.output().apply(i).name() for i in range(node.output().size())}, node.toString())] if node.nodeName() == "Exchange" else []
+        return found + [x for i in range(node.children().size()) for x in below(node.children().apply(i))]
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return below(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+
+
+def test_coded_items_are_judged_where_they_are_read(spark):
+    """Items with a code of their own meet no other table; those without take the dossier's."""
+    items = spark.createDataFrame([("A", 1, "30.24", "veículo"), ("A", 2, "30.24", "tinta"), ("B", 1, None, "vigilância"), ("C", 1, None, "tinta"), ("D", 1, "52.12", None), ("E", 1, None, "tinta")], "proc_id string, item_no int, nd_si string, description string")
+    ident = spark.createDataFrame([("A", "339039"), ("B", "339030"), ("C", "33.90.30"), ("E", None)], "proc_id string, nd string")
+    names, elements = spark.createDataFrame([(30, 24, "x")], "element int, sub int, name string"), spark.createDataFrame([(30, "CONSUMO")], "element int, name string")
+    found = rules.code_findings(items, ident, names, elements)
+    got = sorted((r.proc_id, r.check, r.description, r.severity) for r in found.collect())
+    fits = ("ND/SI × Descrição dos itens", "ND/SI compatível com a descrição dos itens", "conforme")
+    assert got == [
+        ("A", "ND/SI × Descrição (Item 1)", "Item 1: ND indica MATERIAL DE CONSUMO (CONSUMO), mas descrição sugere EQUIPAMENTO PERMANENTE — verificar ND/SI", "ressalva"),
+        ("B", "ND/SI × Descrição (Item 1)", "Item 1: ND indica MATERIAL (CONSUMO), mas descrição sugere SERVIÇO — verificar ND/SI", "ressalva"), ("C", *fits), ("D", *fits),
+    ]
+    counted = found.groupBy("proc_id").agg(F.count_if(F.col("severity") != rules.OK))
+    with_texts = [plan for columns, plan in shuffled(counted) if columns & {"nd_si", "description"}]
+    assert len(with_texts) == 2 and all("isnull(" in plan for plan in with_texts)  # only items without a code are shuffled with their texts
