@@ -30,11 +30,12 @@ def _unpointed(plain: Column) -> Column:
 
 def money(text: Column) -> Column:
     """Like ``money_strict``, but the sign ``R$`` goes, and without a comma a lone dot is the decimal mark unless three digits follow."""
-    return _tolerant(F.regexp_replace(text, r"(?i)R\$", "")).try_cast("decimal(18,2)")
+    common = F.regexp_like(text, F.lit(r"\A(?:R\$ ?)?[0-9.]+,[0-9]+\z"))  # as most are written: one search, no lambda
+    return F.when(common, F.translate(text, ",R$. ", ".")).otherwise(_tolerant(F.regexp_replace(text, r"(?i)R\$", ""))).try_cast("decimal(18,2)")
 
 
 def quantity(text: Column) -> Column:
-    return _tolerant(text).try_cast("decimal(18,4)")
+    return F.when(F.regexp_like(text, F.lit(r"\A[0-9]+\z")), text).otherwise(_tolerant(text)).try_cast("decimal(18,4)")
 
 
 def format_amount(amount: Column, digits: int = 2) -> Column:
@@ -95,7 +96,8 @@ def expiry_label(days: Column) -> Column:
 
 def element_item(code: Column) -> Column:
     """``EE.SS`` or ``EE`` from an expenditure code in any of its written forms; null if there is no element, or sub-element 00."""
-    return once(F.regexp_replace(F.regexp_replace(code, r"\s+", ""), r"[^0-9./]", ""), lambda s: once(_element_forms(F.when(F.length(s) <= 15, s)), _element_of_forms))
+    any_form = once(F.regexp_replace(F.regexp_replace(code, r"\s+", ""), r"[^0-9./]", ""), lambda s: once(_element_forms(F.when(F.length(s) <= 15, s)), _element_of_forms))
+    return F.when(F.regexp_like(code, F.lit(r"\A[0-9]{2}\.[0-9]{2}\z")), F.when(~code.endswith(".00"), code)).otherwise(any_form)
 
 
 def _element_forms(s: Column) -> Column:

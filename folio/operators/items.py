@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
-from folio.functions.text import behind, cascade, find, find_all, find_distinct, matches, present, squeeze
+from folio.functions.text import behind, cascade, filled, find, find_all, find_distinct, matches, present, squeeze
 
 #: Column names by the header cell's text, tried in this order (fixed values).
 HEADER_CELLS = {
@@ -18,7 +18,7 @@ CELL_SHAPES = {"price": r"R\$", "code": r"\A[134]\d{4,5}\z", "nd_si": r"\A(\d{2}
 
 
 def clean_cell(cell: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), "\n", " "))
+    return F.trim(F.translate(F.coalesce(cell, F.lit("")), "\n", " "))
 
 
 def is_header(cells: Column) -> Column:
@@ -75,15 +75,24 @@ def usable_shape(cells: Column) -> Column:
 
 
 def continues_map(cells: Column, known: Column) -> Column:
-    """Whether a first row goes on under a known map: it reaches the item column, and its item cell is a small number, or some cell is an amount."""
-    at = F.try_element_at(known, F.lit("item"))
+    """Whether a first row goes on under known places: it reaches the item column, and its item cell is a small number, or some cell is an amount."""
+    at = F.get(known, F.lit(list(HEADER_CELLS).index("item")))
     item = clean_cell(F.try_element_at(cells, at))
     fits = matches(item, r"\A\d{1,3}\z", "(?d)") | F.exists(cells, lambda c: F.regexp_like(F.coalesce(c, F.lit("")), F.lit(r"R\$|\d+[,.]\d{2}")))
     return F.coalesce((F.size(cells) >= at) & fits, F.lit(False))
 
 
+def places(mapped: Column) -> Column:
+    """A column map as an array, in the order of ``HEADER_CELLS``: it goes with every row of a table, and eight numbers are short."""
+    return F.when(mapped.isNotNull(), F.array(*(F.try_element_at(mapped, F.lit(n)) for n in HEADER_CELLS)))
+
+
+def cell_at(cells: Column, at: Column) -> Column:
+    return filled(clean_cell(F.try_element_at(cells, at)))
+
+
 def cell(cells: Column, mapped: Column, name: str) -> Column:
-    return F.nullif(clean_cell(F.try_element_at(cells, F.try_element_at(mapped, F.lit(name)))), F.lit(""))
+    return cell_at(cells, F.try_element_at(mapped, F.lit(name)))
 
 
 def rows_to_items(page_rows: DataFrame, keys: tuple[str, ...] = ("proc_id", "page_no", "table_no"), order: str = "row_no") -> DataFrame:
@@ -92,26 +101,30 @@ def rows_to_items(page_rows: DataFrame, keys: tuple[str, ...] = ("proc_id", "pag
 
     TOTAL and OBS rows are no items; rows without an item number continue the description above; code, unit and
     quantity missing on an item are taken from the next two rows, up to the next item."""
-    table = Window.partitionBy(*keys)
-    w = table.orderBy(order)
-    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = page_rows.withColumns({"_head": is_header(F.col("cells")), "_shape": usable_shape(F.col("cells"))})
-    # each cell is told once; the maps are made of names then
-    rows = rows.withColumns({"_names": F.when(F.col("_head"), header_kinds(F.col("cells"))), "_kinds": F.when(F.col("_shape"), cell_kinds(F.col("cells")))})
-    rows = rows.withColumns({"_named": column_map(F.col("_names")), "_formed": shape_map(F.col("_kinds"))}).drop("_names", "_kinds")
-    rows = rows.withColumn("_formed", F.when(F.size("_formed") >= LEAST_COLUMNS, F.col("_formed")))
+    w = Window.partitionBy(*keys).orderBy(order)
+    up_to, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # each cell of a header is told once; its places are made of the names then
+    rows = page_rows.withColumn("_head", is_header(F.col("cells")))
+    rows = rows.withColumn("_names", F.when(F.col("_head"), header_kinds(F.col("cells"))))
+    rows = rows.withColumn("_named", F.when(F.col("_head"), places(column_map(F.col("_names"))))).drop("_names")
+    earlier = F.col("_named")
     if len(keys) > 1:  # the one shuffle, by the first key, serves the windows over single tables, too
         before = Window.partitionBy(keys[0]).orderBy(*keys[1:], order).rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("_earlier", F.last("_named", ignorenulls=True).over(before))
-    else:
-        rows = rows.withColumn("_earlier", F.col("_named"))
-    rows = rows.withColumns({
-        "_map": F.last("_named", ignorenulls=True).over(up_to), "_guess": F.first("_formed", ignorenulls=True).over(up_to), "_goes_on": F.first(continues_map(F.col("cells"), F.col("_earlier"))).over(up_to),
-        "_headed": F.max("_head").over(table), "_shaped": F.max("_shape").over(table),
-    })
+        earlier = F.last("_named", ignorenulls=True).over(before)
+    rows = rows.withColumn("_earlier", earlier)
+    # both frames have one order, so that rows go through one window
+    rows = rows.withColumns({"_map": F.last("_named", ignorenulls=True).over(up_to), "_row": F.row_number().over(w), "_headed": F.max("_head").over(whole)}).drop("_named")
+    # shapes are told only where no header stands, and whether a table goes on only at its first row
+    bare = ~F.col("_headed")
+    goes_on = F.when(bare & (F.col("_row") == 1), F.coalesce(continues_map(F.col("cells"), F.col("_earlier")), F.lit(False)))
+    rows = rows.filter(bare | ~F.col("_head")).withColumns({"_shape": F.when(bare, usable_shape(F.col("cells"))), "_goes_on": goes_on, "_earlier": F.when(bare, F.col("_earlier"))}).drop("_row")
+    rows = rows.withColumn("_kinds", F.when(F.col("_shape"), cell_kinds(F.col("cells"))))
+    rows = rows.withColumn("_formed", F.when(F.col("_shape"), shape_map(F.col("_kinds")))).drop("_kinds")
+    rows = rows.withColumn("_formed", F.when(F.size("_formed") >= LEAST_COLUMNS, places(F.col("_formed"))))
+    rows = rows.withColumns({"_guess": F.first("_formed", ignorenulls=True).over(up_to), "_goes_on": F.first("_goes_on", ignorenulls=True).over(whole), "_shaped": F.max("_shape").over(whole)})
     mapped = F.when(F.col("_headed"), F.col("_map")).when(F.col("_shaped"), F.col("_guess")).when(F.col("_goes_on"), F.col("_earlier"))
     rows = rows.withColumn("_m", mapped).filter(~F.col("_head") & F.col("_m").isNotNull())
-    rows = rows.select(*keys, order, *(cell(F.col("cells"), F.col("_m"), n).alias(f"_{n}") for n in HEADER_CELLS))
+    rows = rows.select(*keys, order, *(cell_at(F.col("cells"), F.get("_m", F.lit(i))).alias(f"_{n}") for i, n in enumerate(HEADER_CELLS)))
     text = F.col("_item")
     item = F.when(~matches(text, "TOTAL|[IÍ]TEM|OBS"), F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit(""))).try_cast("int")
     rows = rows.filter(~matches(F.coalesce(text, F.lit("")), r"\A(TOTAL|OBS)"))

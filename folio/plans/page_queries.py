@@ -163,7 +163,8 @@ SELECT l_orderkey, CAST(pos AS INTEGER) AS item_no, CASE WHEN pos % 3 < 2 THEN C
   CAST(CAST(round(p_retailprice, 2) AS DECIMAL(18, 2)) AS DOUBLE) AS unit_price, CAST(CAST(round(l_extendedprice, 2) AS DECIMAL(18, 2)) AS DOUBLE) AS total FROM l""")
 def item_rows(spark, d):
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
-    l = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("pos", pos)
+    l = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    l = l.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").withColumn("pos", pos)  # a given number is not joined to fewer: rows grow tenfold behind it
     none = F.lit(None).cast("string")
     code = _s(300_000 + F.col("l_partkey") % 90_000)
     here = F.when(F.col("pos") % 3 == 0, code)  # else it stands on the next row, if there is one before the next item
@@ -171,9 +172,11 @@ def item_rows(spark, d):
     below = F.array(none, F.when(F.col("pos") % 3 == 1, code), F.when(F.col("pos") % 2 == 0, F.col("p_brand")), none, none, none, none, none)
     head = F.array(*map(F.lit, ("ITEM", "CATMAT", "DESCRIÇÃO", "UND", "QTD", "ND/S.I.", "P. UNT", "P TOTAL")))
     foot = F.array(F.lit("TOTAL"), *[none] * 6, F.lit("R$ 1,00"))
-    rows = l.select("l_orderkey", F.explode(F.array(F.struct((F.col("pos") * 2).alias("row_no"), main.alias("cells")), F.struct((F.col("pos") * 2 + 1).alias("row_no"), below.alias("cells")))).alias("r")).select("l_orderkey", "r.*")
-    ends = l.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(F.struct(F.lit(0).alias("row_no"), head.alias("cells")), F.struct(F.lit(1_000_000).alias("row_no"), foot.alias("cells")))).alias("r")).select("l_orderkey", "r.*")
-    out = items.rows_to_items(rows.unionByName(ends), ("l_orderkey",))
+    row = lambda no, cells: F.struct(no.alias("row_no"), cells.alias("cells"))
+    own = F.array(row(F.col("pos") * 2, main), row(F.col("pos") * 2 + 1, below))
+    ends = F.when(F.col("pos") == 1, F.array(row(F.lit(0), head), row(F.lit(1_000_000), foot))).otherwise(F.array())  # the first line brings both ends of its table
+    rows = l.select("l_orderkey", F.explode(F.concat(own, ends)).alias("r")).select("l_orderkey", "r.*")
+    out = items.rows_to_items(rows, ("l_orderkey",))
     return out.select("l_orderkey", "item_no", "code", "description", "unit", *(F.col(c).cast("double").alias(c) for c in ("qty", "unit_price", "total")), "nd_si")
 
 

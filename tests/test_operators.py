@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folio.operators import history, quality, reconcile, registry, render, rules
+from folio.operators import history, items, quality, reconcile, registry, render, rules
 from folio.sources import keyed, tables
 from folio.streaming import incremental
 
@@ -224,3 +224,15 @@ def test_coded_items_are_judged_where_they_are_read(spark):
     counted = found.groupBy("proc_id").agg(F.count_if(F.col("severity") != rules.OK))
     with_texts = [plan for columns, plan in shuffled(counted) if columns & {"nd_si", "description"}]
     assert len(with_texts) == 2 and all("isnull(" in plan for plan in with_texts)  # only items without a code are shuffled with their texts
+
+
+def test_shapes_are_told_only_in_tables_without_header(spark):
+    """Whether a table has a header is known before a cell is held against the shapes."""
+    rows = spark.createDataFrame([("A", 0, ["ITEM", "DESCRIÇÃO", "QTD"]), ("A", 1, ["1", "Tinta", "2"]), ("B", 0, ["7", "Uma descrição bem longa", "R$ 2,00", "R$ 4,00"]), ("B", 1, ["8", "Outra descrição bem longa", "R$ 3,00", "R$ 3,00"])], "t string, row_no int, cells array<string>")
+    out = items.rows_to_items(rows, ("t",))
+    got = sorted((r.t, r.item_no, r.description, r.qty and float(r.qty), r.total and float(r.total)) for r in out.collect())
+    assert got == [("A", 1, "Tinta", 2.0, None), ("B", 7, "Uma descrição bem longa", None, 4.0), ("B", 8, "Outra descrição bem longa", None, 3.0)]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    lowest = max(i for i, line in enumerate(lines) if line.lstrip("+-: ").startswith("Window "))
+    shape = r"\A\d{1,5}\z"
+    assert any(shape in line for line in lines[:lowest]) and not any(shape in line for line in lines[lowest:])

@@ -80,3 +80,12 @@ def test_text_helpers(spark):
 def test_expiry(spark, days, status, label):
     row = spark.range(1).select(S.expiry_status(F.lit(days)).alias("s"), S.expiry_label(F.lit(days)).alias("l")).first()
     assert (row.s, row.l) == (status, label)
+
+
+def test_common_amounts_take_the_short_way_to_the_same_value(spark):
+    texts = ["R$ 1.234,56", "R$1,5", "1.234,56", "r$ 2,00", "R$  3,00", "1.234", "12.5", "1,2,3", ".,5", "", None, "R$ x", " 7,00 "]
+    got = [str(r[0]) if r[0] is not None else None for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(S.money(F.col("t"))).collect()]
+    assert got == ["1234.56", "1.50", "1234.56", "2.00", "3.00", "1234.00", "12.50", None, "0.50", None, None, None, "7.00"]
+    pairs = [("30.24", "30.24"), ("30.00", None), ("30/24", "30.24"), (" 30.24", "30.24"), ("339030", "30"), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pairs)], "i int, t string").orderBy("i").select(S.element_item(F.col("t"))).collect()] == [w for _, w in pairs]
+    assert [str(r[0]) for r in spark.createDataFrame([(0, "17"), (1, "1.234"), (2, "1,5")], "i int, t string").orderBy("i").select(S.quantity(F.col("t"))).collect()] == ["17.0000", "1234.0000", "1.5000"]
