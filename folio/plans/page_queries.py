@@ -147,10 +147,10 @@ b AS (SELECT l_orderkey, arg_min(nd, pos) AS nd, CAST(arg_min(balance, pos) AS D
 SELECT o_orderkey, CASE WHEN k % 6 > 0 THEN nc END AS number, 'terminal' AS format, '2026RO' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') AS siafi_no, '05FEV26' AS issue_date, '160502' AS issuer_code, 'DEPARTAMENTO ' || c_nationkey AS issuer_name, '160136' AS favoured_code, '30JUN26' AS deadline, nd, balance, total FROM o JOIN b ON l_orderkey = o_orderkey""")
 def terminal_note_fields(spark, d):
     k = F.col("k")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
     nd = F.when(F.col("l_returnflag") == "R", "339030").when(F.col("l_returnflag") == "A", "339039").otherwise("339000")
-    line = _cat(_pad(F.col("pos") % 1000, 3), " 301203       ", S.format_amount(decimal("l_extendedprice")), "\n     1  232180 1021000000 ", nd, " 167504 E3PCFSCDEGE")
-    lines = table(spark, d, "lineitem").withColumn("pos", pos).groupBy(F.col("l_orderkey").alias(KEY)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))  # the lines of an order
+    line = lambda x, i: _cat(_pad((i + 1) % 1000, 3), " 301203       ", x["amount"], "\n     1  232180 1021000000 ", x["nd"], " 167504 E3PCFSCDEGE")
+    row = F.struct("l_linenumber", "l_partkey", "l_extendedprice", nd.alias("nd"), S.format_amount(decimal("l_extendedprice")).alias("amount"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias(KEY)).agg(F.array_join(F.transform(F.sort_array(F.collect_list(row)), line), "\n").alias("lines"))  # the lines of an order
     head = _cat("DEMONSTRA-DIARIO\n", F.when(k % 6 > 0, _cat("DOCUMENTO WEB : ", F.col("nc"), "\n")).otherwise(""), "NUMERO : 2026RO", _pad(k % 1_000_000, 6), "\nDATA EMISSAO : 05FEV26\nUG/GESTAO EMITENTE : 160502 / 00001 - DEPARTAMENTO ", _s("c_nationkey"), " - GESTOR\nUG/GESTAO FAVORECIDA : 160136 / 00001 - 9 GRUPAMENTO\nOBSERVACAO\nEMPENHO ATE 30JUN26\nLANCADO POR X\n")
     rows = _orders(spark, d).join(lines.hint("shuffle_merge"), KEY).select(F.col(KEY).alias("proc_id"), _cat(head, F.col("lines")).alias("text"))
     out = fields.credit_notes(rows)

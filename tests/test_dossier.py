@@ -389,3 +389,17 @@ def test_specification_and_gate_in_the_run(spark):
     assert "Peça obrigatória ausente: Termo de Abertura" in said and "Despachos encontrados: 1 de 3" in said and not any("CADIN" in x for x in said)
     assert out.items.count() == 4  # no text before the tables closes the gate
     out.release()
+
+
+def test_lines_of_a_note_are_paired_inside_its_row(spark):
+    """No line of a note is shuffled; the first data line within three, not past an event line; an amount that is no number gives no line."""
+    event, data = "00{} 301203       {}", "     1  232180 1021000000 {} 167504 E3PCFSCDEGE"
+    text = "\n".join(["DOCUMENTO WEB : 2026NC000001", "9 UASG", event.format(1, "1.000,00"), data.format("339000"), event.format(2, "7,00"), event.format(3, "2,50"), "x", "", data.format("339030"), event.format(4, "9,00"), "x", "1 y", "", data.format("339039"),
+                      event.format(5, "4,00"), data.format("339000"), event.format(6, "1,234,567.89"), data.format("339030"), event.format(7, "3,00"), "\t" + data.format("339039").strip() + " \r"])
+    notes = spark.createDataFrame([("A", text), ("B", "DOCUMENTO WEB : 2026NC000002")], "proc_id string, text string")
+    assert [(r.line_no, r.nd, r.value) for r in fields.event_lines(notes).orderBy("line_no").collect()] == [(2, "339000", Decimal("1000.00")), (5, "339030", Decimal("2.50")), (14, "339000", Decimal("4.00")), (18, "339039", Decimal("3.00"))]
+    out = fields.credit_notes(notes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    got = {r.proc_id: (r.nd, r.pi, r.balance, r.total) for r in out.collect()}
+    assert got == {"A": ("339030", "E3PCFSCDEGE", Decimal("2.50"), Decimal("1005.50")), "B": (None, None, None, None)}
