@@ -71,8 +71,9 @@ def name_checks(name: str, other_name: str, tax_id: str, other_tax_id: str) -> l
     check = "Razão Social (Req vs SICAF)"
     a, b = present(F.col(name)), present(F.col(other_name))
     same, same_id = F.upper(a) == F.upper(b), F.coalesce(S.tax_id(F.col(tax_id)) == S.tax_id(F.col(other_tax_id)), F.lit(False))
-    both = F.format_string('Razão Social divergente: Requisição diz "%s", SICAF diz "%s" (CNPJ confere: %s)', a, b, F.col(other_tax_id))
-    return [F.when(same, finding(check, F.concat(F.lit("Razão Social consistente: "), b), OK)).when(~same & same_id, finding(check, both, CAVEAT)).when(~same, finding(check, F.format_string('Razão Social divergente e CNPJ não confere: Req: "%s" / SICAF: "%s"', a, b), BLOCK))]
+    both = F.concat(F.lit('Razão Social divergente: Requisição diz "'), a, F.lit('", SICAF diz "'), b, F.lit('" (CNPJ confere: '), F.col(other_tax_id), F.lit(")"))
+    neither = F.concat(F.lit('Razão Social divergente e CNPJ não confere: Req: "'), a, F.lit('" / SICAF: "'), b, F.lit('"'))
+    return [F.when(same, finding(check, F.concat(F.lit("Razão Social consistente: "), b), OK)).when(~same & same_id, finding(check, both, CAVEAT)).when(~same, finding(check, neither, BLOCK))]
 
 
 def tax_id_findings(rows: DataFrame, key: str, base: str, others: dict[str, str]) -> DataFrame:
@@ -105,7 +106,7 @@ def item_findings(items: DataFrame, dossiers: DataFrame, key: str = "proc_id") -
     checked = items.withColumn("_status", status)
     bad = checked.filter(F.col("_status") == CAVEAT).select(key, F.concat(F.lit("Verificação de cálculo (Item "), number, F.lit(")")).alias("check"), said.alias("description"), F.lit(CAVEAT).alias("severity"))
     counts = dossiers.select(key).join(checked.groupBy(key).agg(F.count("_status").alias("n"), F.count_if(F.col("_status") == CAVEAT).alias("bad")), key, "left")
-    rest = counts.filter(F.coalesce("bad", F.lit(0)) == 0).select(key, F.explode(F.array(F.when(F.coalesce("n", F.lit(0)) > 0, finding("Cálculos da requisição", "Cálculos da requisição corretos", OK)).otherwise(finding("Itens da requisição", "Itens não extraídos automaticamente — verificar PDF", CAVEAT)))).alias("f")).select(key, "f.*")
+    rest = counts.filter(F.coalesce("bad", F.lit(0)) == 0).select(key, F.when(F.coalesce("n", F.lit(0)) > 0, finding("Cálculos da requisição", "Cálculos da requisição corretos", OK)).otherwise(finding("Itens da requisição", "Itens não extraídos automaticamente — verificar PDF", CAVEAT)).alias("f")).select(key, "f.*")
     return bad.unionByName(rest).withColumn("family", F.lit("items"))
 
 
@@ -298,15 +299,24 @@ def contract_findings(rows: DataFrame, key: str, as_of: Column) -> DataFrame:
     return stacked(rows, [key], [number, own, other, signed, valid], "contract")
 
 
+def _kind(worst: Column) -> Column:
+    return F.when(worst == 2, "rejection").when(worst == 1, "caveat").otherwise("approval")
+
+
+def counted(findings: DataFrame, key: str = "proc_id") -> DataFrame:
+    """The type of ``decide`` and how many findings stand on each of its two sides; their texts are neither made nor shuffled for it."""
+    sev = rank(F.col("severity"))
+    return findings.groupBy(key).agg(_kind(F.max(sev)).alias("type"), F.count_if(sev > 0).alias("n_caveats"), F.count_if(sev == 0).alias("n_ok"))
+
+
 def decide(findings: DataFrame, key: str = "proc_id", partial: bool = False) -> DataFrame:
     """One decision per dossier: any block rejects, any caveat approves with caveats; the texts of both sides in order of family and number."""
     f = findings if "seq" in findings.columns else findings.withColumn("seq", F.lit(0))
     sev = rank(F.col("severity"))
     listed = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("family").alias("a"), F.coalesce("seq", F.lit(0)).alias("b"), S.without_marks(F.col("description")).alias("t"))))), lambda x: x["t"])
     rows = f.groupBy(key).agg(F.max(sev).alias("worst"), listed(sev > 0).alias("caveats"), listed(sev == 0).alias("ok"))
-    kind = F.when(F.col("worst") == 2, "rejection").when(F.col("worst") == 1, "caveat").otherwise("approval")
     title = F.when(F.col("worst") == 2, "REPROVAÇÃO").when(F.col("worst") == 1, "APROVAÇÃO COM RESSALVA").otherwise("APROVAÇÃO (PARCIAL — AGUARDANDO NC)" if partial else "APROVAÇÃO")
-    return rows.select(key, kind.alias("type"), title.alias("title"), "caveats", "ok")
+    return rows.select(key, _kind(F.col("worst")).alias("type"), title.alias("title"), "caveats", "ok")
 
 
 def stage_status(findings: DataFrame, key: str, family: str = "family") -> DataFrame:

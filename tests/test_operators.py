@@ -236,3 +236,21 @@ def test_shapes_are_told_only_in_tables_without_header(spark):
     lowest = max(i for i, line in enumerate(lines) if line.lstrip("+-: ").startswith("Window "))
     shape = r"\A\d{1,5}\z"
     assert any(shape in line for line in lines[:lowest]) and not any(shape in line for line in lines[lowest:])
+
+
+def test_findings_are_counted_without_their_texts(spark):
+    """Both sides of a decision have as many findings as ``decide`` lists, with or without texts; the query makes no text of an item for that."""
+    import __spark_entry__ as e
+
+    rows = [("a", "x", "1", "ressalva"), ("a", "x", "1", "ressalva"), ("a", "y", None, "conforme"), ("b", "x", "1", "conforme"), ("c", "x", None, "bloqueio"), ("c", "y", "2", None)]
+    found = spark.createDataFrame(rows, "k string, family string, description string, severity string")
+    listed = {r.k: (r.type, len(r.caveats), len(r.ok)) for r in rules.decide(found, "k").collect()}
+    assert {r.k: (r.type, r.n_caveats, r.n_ok) for r in rules.counted(found, "k").collect()} == listed == {"a": ("caveat", 2, 1), "b": ("approval", 0, 1), "c": ("rejection", 1, 1)}
+    plan = e.queries()["decision"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "format_number" not in plan
+
+
+def test_differing_names_are_quoted(spark):
+    rows = spark.createDataFrame([(1, "N.1", "N.1", "A", "B %s"), (2, "N.1", "N.2", "A", "B"), (3, "N.1", None, "A", "B"), (4, "N.1", "N.1", "A", None)], "k int, own string, lo string, name string, other string")
+    got = {r.k: (r.severity, r.description) for r in rules.name_findings(rows, "k", "name", "other", "own", "lo").collect()}
+    assert got == {1: ("ressalva", 'Razão Social divergente: Requisição diz "A", SICAF diz "B %s" (CNPJ confere: N.1)'), 2: ("bloqueio", 'Razão Social divergente e CNPJ não confere: Req: "A" / SICAF: "B"'), 3: ("bloqueio", 'Razão Social divergente e CNPJ não confere: Req: "A" / SICAF: "B"')}
