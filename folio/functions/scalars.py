@@ -97,7 +97,8 @@ def expiry_label(days: Column) -> Column:
 def element_item(code: Column) -> Column:
     """``EE.SS`` or ``EE`` from an expenditure code in any of its written forms; null if there is no element, or sub-element 00."""
     any_form = once(F.regexp_replace(F.regexp_replace(code, r"\s+", ""), r"[^0-9./]", ""), lambda s: once(_element_forms(F.when(F.length(s) <= 15, s)), _element_of_forms))
-    return F.when(F.regexp_like(code, F.lit(r"\A[0-9]{2}\.[0-9]{2}\z")), F.when(~code.endswith(".00"), code)).otherwise(any_form)
+    # as most are written: one search, no lambda
+    return F.when(F.regexp_like(code, F.lit(r"\A[0-9]{2}[./][0-9]{2}\z")), F.when(~code.endswith("00"), F.replace(code, F.lit("/"), F.lit(".")))).otherwise(any_form)
 
 
 def _element_forms(s: Column) -> Column:
@@ -233,8 +234,10 @@ def repair_ocr(text: Column, context: str = "text") -> Column:
 
 def clean_description(text: Column, least: int = 3) -> Column:
     """Stray marks, amounts and long numbers go; null if fewer than ``least`` characters are left."""
-    t = replace_all(text, ((r"[|]", " "), (r"[\"'\[\]<>]", " "), (r"\S*[ªº;%!@#&=]+\S*", " "), (r"R\$\s*[0-9.,]+", " "), (r",[0-9]{2}\b", " "), (r"\b[0-9]{3,}\b", " ")), "(?U)")
-    return once(F.trim(F.regexp_replace(squeeze(t), r"[0-9.,\s]+\z", "")), lambda d: F.when(F.length(d) >= least, d))
+    marks = ((r"[|]", " "), (r"[\"'\[\]<>]", " "), (r"\S*[ªº;%!@#&=]+\S*", " "))
+    unmarked = once(text, lambda t: F.when(F.regexp_like(t, F.lit(r"[|\"'\[\]<>=&#@!%;ºª]")), replace_all(t, marks, "(?U)")).otherwise(t))  # most hold none
+    t = replace_all(unmarked, ((r"R\$\s*[0-9.,]+", " "), (r",[0-9]{2}\b", " "), (r"\b[0-9]{3,}\b", " ")), "(?U)")
+    return once(F.rtrim(squeeze(t), F.lit("0123456789., ")), lambda d: F.when(F.length(d) >= least, d))
 
 
 def with_preposition(acronym: Column) -> Column:

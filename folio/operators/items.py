@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import scalars as S
-from folio.functions.text import behind, cascade, filled, find, find_all, find_distinct, matches, present, squeeze
+from folio.functions.text import cascade, filled, find, find_all, find_distinct, matches, once, squeeze
 
 #: Column names by the header cell's text, tried in this order (fixed values).
 HEADER_CELLS = {
@@ -143,52 +143,70 @@ def rows_to_items(page_rows: DataFrame, keys: tuple[str, ...] = ("proc_id", "pag
     return rows.groupBy(*keys, "_group").agg(F.min(F.when(F.col("_is"), F.col(order))).alias(order), *(head(n) for n in ("item_no", "code", "unit", "qty", "nd_si", "unit_price", "total")), F.nullif(F.array_join(parts, " "), F.lit("")).alias("description")).drop("_group")
 
 
-#: Item numbers, catalogue codes, units and budget codes as they are written (fixed values).
-ITEM_START, CATALOGUE, UNITS = r"\b\d{3,5}\s*[-–]\s+[A-Z]", r"\b([134]\d{4,5})\b", r"KG|UN|UND|L|M2|M3|CX|PCT|LT|HR|SV|MÊS|M"
+#: Item numbers, catalogue codes, units and budget codes as they are written (fixed values). Digits and blanks ahead of a unit are not given back
+#: one by one, as no unit begins with either.
+ITEM_START, CATALOGUE, UNITS = r"\b(\d{3,5}+)\s*+[-–]\s++[A-Z]", r"\b([134]\d{4,5})\b", r"KG|UN|UND|L|M2|M3|CX|PCT|LT|HR|SV|MÊS|M"
+_AMOUNT, _QUANTITY = (rf"\b(\d{{{n},6}}+)\s*+(?=[CHKLMPSU])(?:{UNITS})\b" for n in (2, 1))
+#: A word is tried as a unit only if it begins as one does; two odd letters fold to S and K.
+_UNIT = rf"\b(?=(?-iu:[CGHJKLMPSUcghjklmpsu\u017f\u212a]))({UNITS}|PAR|JG|GL)\b"
+#: The small letters of units and their capitals: for two or three letters shorter than a general change of case.
+_CAPITALS = ("acdghjklmnprstuvxê\u017f", "ACDGHJKLMNPRSTUVXÊS")
 _LONG_CODES = (r"\b(33\.90\.\d{2}\.\d{2})\b", r"\b(33\.90\.\d{2}/\d{2})\b", r"\b(3390\d{2}/\d{2})\b", r"\b(3390\d{4})\b")
 _SIX_CODE, _SHORT_CODES = r"\b(3390\d{2})(?!\d)", (r"\b(\d{2}/\d{2})\b(?!\d)", r"\b(\d{2}\.\d{2})\b")
 
 
 def _budget_code(s: Column) -> Column:
-    """The budget code of a segment. Six digits from 339000 on are shaped as a catalogue code, too: the segment's first number of that shape
-    is its catalogue code, and no budget code unless another one follows."""
+    """The budget code of a segment as it is written. Six digits from 339000 on are shaped as a catalogue code, too: the segment's first number of
+    that shape is its catalogue code, and no budget code unless another one follows."""
     numbers = find_distinct(s, CATALOGUE, flags="(?d)")
     behind_code = F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0)))
     six = F.coalesce(F.try_element_at(F.filter(behind_code, lambda n: F.regexp_like(n, F.lit(rf"\A{_SIX_CODE}"))), F.lit(1)), F.when(F.size(numbers) > 1, find(s, _SIX_CODE, flags="(?d)")))
-    return S.element_item(F.coalesce(cascade(s, *_LONG_CODES, flags="(?d)"), six, cascade(s, *_SHORT_CODES, flags="(?d)")))
-
-
-def text_segments(text: Column) -> Column:
-    """The parts of a machine-read text that hold an item each: by item numbers if there are two or more, else by catalogue codes, else by quantities with a unit, else the whole."""
-    by = lambda p: F.filter(F.split(text, f"(?={p})"), lambda s: F.regexp_like(s, F.lit(rf"\A{p}")))
-    codes = find_distinct(text, CATALOGUE, flags="(?d)")
-    amounts = find_all(text, rf"\b(\d{{2,6}})\s*(?:{UNITS})\b", flags="(?d)")
-    return (
-        F.when(F.size(find_distinct(text, r"\b(\d{3,5})\s*[-–]\s+[A-Z]", flags="(?d)")) >= 2, by(ITEM_START))
-        .when(F.size(codes) >= 2, by(r"\b[134]\d{4,5}\b"))
-        .when((F.size(codes) == 1) & (F.size(amounts) >= 2), by(rf"\b\d{{2,6}}\s*(?:{UNITS})\b"))
-        .otherwise(F.array(text))
-    )
+    # every long form holds one of the two
+    long = F.when(F.contains(s, F.lit("3390")) | F.contains(s, F.lit("33.90.")), F.coalesce(cascade(s, *_LONG_CODES, flags="(?d)"), six))
+    return F.coalesce(long, cascade(s, *_SHORT_CODES, flags="(?d)"))
 
 
 def strategy(text: Column) -> Column:
-    codes = F.size(find_distinct(text, CATALOGUE, flags="(?d)"))
-    return F.when(F.size(find_distinct(text, r"\b(\d{3,5})\s*[-–]\s+[A-Z]", flags="(?d)")) >= 2, "numbers").when(codes >= 2, "codes").when((codes == 1) & (F.size(find_all(text, rf"\b(\d{{2,6}})\s*(?:{UNITS})\b", flags="(?d)")) >= 2), "quantities").otherwise("single")
+    """How a machine-read text is cut: by item numbers if there are two or more, else by catalogue codes, else by quantities with a unit, else not at all."""
+    numbers = F.size(find_distinct(text, ITEM_START, flags="(?d)"))
+    amounts = F.size(find_all(text, _AMOUNT, flags="(?d)"))
+    by_codes = once(F.size(find_distinct(text, CATALOGUE, flags="(?d)")), lambda n: F.when(n >= 2, "codes").when((n == 1) & (amounts >= 2), "quantities").otherwise("single"))
+    return F.when(numbers >= 2, "numbers").otherwise(by_codes)
+
+
+def text_segments(text: Column, how: Column) -> Column:
+    """The parts of a machine-read text that hold an item each, cut as ``strategy`` says."""
+    def by(p: str) -> Column:
+        # each part behind a cut begins with what it was cut at, so that only the first may be no item
+        return F.slice(F.split(text, f"(?={p})"), F.when(F.regexp_like(text, F.lit(rf"\A{p}")), 1).otherwise(2), F.length(text))
+
+    return F.when(how == "numbers", by(ITEM_START)).when(how == "codes", by(CATALOGUE)).when(how == "quantities", by(_AMOUNT)).otherwise(F.array(text))
 
 
 def texts_to_items(texts: DataFrame, keys: tuple[str, ...] = ("proc_id", "page_no", "image_no"), text: str = "text") -> DataFrame:
-    """Machine-read texts to items, a row per segment that holds a code, a description or a total."""
-    rows = texts.select(*keys, strategy(F.col(text)).alias("strategy"), find(F.col(text), CATALOGUE, flags="(?d)").alias("_code"), F.posexplode(text_segments(F.col(text))).alias("seg_no", "segment"))
-    s = squeeze(F.col("segment"))
-    values = F.array_sort(F.array_compact(F.transform(find_all(s, r"R\$\s*([\d.]+,\d{2})", flags="(?d)"), S.money_strict)))
-    whole = find(s, r"TOTAL\s+FORNECEDOR\s+(?:R[$\s]?\s*)?([\d.,]+)", flags="(?d)")
+    """Machine-read texts to items, a row per segment that holds a code, a description or a total.
+
+    What several columns read is a column of its own, worked out once: the text without runs of blanks, its strategy (once for each text, not for
+    each segment), the segment's code, amounts and budget code."""
+    plain = F.col("_plain")
+    rows = texts.select(*keys, squeeze(F.col(text)).alias("_plain")).withColumn("strategy", strategy(plain))
+    rows = rows.withColumn("_code", F.when(F.col("strategy") == "quantities", find(plain, CATALOGUE, flags="(?d)")))
+    rows = rows.select(*keys, "strategy", "_code", F.posexplode(text_segments(plain, F.col("strategy"))).alias("seg_no", "_segment"))
+    rows = rows.withColumn("_segment", F.trim("_segment"))
+    s, amounts, whole = (F.col(n) for n in ("_segment", "_amounts", "_whole"))
+    rows = rows.withColumns({
+        "_number": find(s, CATALOGUE, flags="(?d)"), "_behind": F.coalesce(find(s, rf"{CATALOGUE}\s*\|?\s*(.*)", 2, "(?ds)"), s),
+        "_amounts": F.array_compact(F.transform(find_all(s, r"R\$\s*([\d.]+,\d{2})", flags="(?d)"), S.money_strict)),
+        "_whole": F.when(F.contains(s, F.lit("TOTAL")), find(s, r"TOTAL\s+FORNECEDOR\s+(?:R[$\s]?\s*)?([\d.,]+)", flags="(?d)")),
+        "_budget": _budget_code(s),
+    })
     total = S.money_strict(F.when(F.length(whole) - F.length(F.replace(whole, F.lit(","), F.lit(""))) >= 2, F.regexp_replace(whole, r",(?=.*,)", ".")).otherwise(whole))
-    code = F.coalesce(find(s, CATALOGUE, flags="(?d)"), F.when(F.col("strategy") == "quantities", F.col("_code")))
     number = F.when(F.col("strategy") == "numbers", F.regexp_extract(s, r"\A(\d{3,5})", 1).try_cast("int")).otherwise(F.col("seg_no") + 1)
-    described = S.clean_description(F.regexp_replace(F.regexp_replace(F.coalesce(present(behind(s, rf"{CATALOGUE}\s*\|?\s*", "(?d)")), s), r"TOTAL.*\z", ""), r"\b\d{2}[/.]\d{2}\b", " "))
+    named = F.when(F.contains("_behind", F.lit("TOTAL")), F.regexp_replace("_behind", r"TOTAL.*\z", "")).otherwise(F.col("_behind"))
     out = rows.select(
-        *keys, "strategy", number.alias("item_no"), code.alias("code"), described.alias("description"), F.upper(find(s, rf"\b({UNITS}|PAR|JG|GL)\b")).alias("unit"), S.quantity(find(s, rf"\b(\d{{1,6}})\s*(?:{UNITS})\b", flags="(?d)")).alias("qty"),
-        _budget_code(s).alias("nd_si"), F.when(F.size(values) >= 2, F.try_element_at(values, F.lit(1))).alias("unit_price"), F.coalesce(total, F.when(F.size(values) > 0, F.try_element_at(values, F.lit(-1)))).alias("total"), F.lit("ocr").alias("source"),
+        *keys, "strategy", number.alias("item_no"), F.coalesce("_number", "_code").alias("code"), S.clean_description(F.regexp_replace(named, r"\b\d{2}[/.]\d{2}\b", " ")).alias("description"),
+        F.translate(find(s, _UNIT), *_CAPITALS).alias("unit"), find(s, _QUANTITY, flags="(?d)").try_cast("decimal(18,4)").alias("qty"), S.element_item(F.col("_budget")).alias("nd_si"),
+        F.when(F.size(amounts) >= 2, F.array_min(amounts)).alias("unit_price"), F.coalesce(total, F.array_max(amounts)).alias("total"), F.lit("ocr").alias("source"),
     )
     return out.filter(F.coalesce(F.col("code"), F.col("description"), F.col("total").cast("string")).isNotNull())
 

@@ -295,9 +295,10 @@ SELECT l_orderkey, CASE WHEN n > 1 THEN 'numbers' ELSE 'single' END AS strategy,
 def machine_items(spark, d):
     """Machine-read item texts, a text for each order: item number, code, description, quantity, budget code, two amounts."""
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
-    l = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("pos", pos)
-    line = _cat(_s(F.col("pos") + 100), " - X ", _s(300_000 + F.col("l_partkey") % 90_000), " ", F.upper("p_name"), " ", _s(F.col("l_quantity").cast("int")), " KG 30/", _pad(F.col("l_partkey") % 9 + 1, 2), " ", S.format_brl(decimal("p_retailprice")), " ", S.format_brl(decimal("l_extendedprice")))
-    texts = l.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))  # the lines of an order
+    part = table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("name"), S.format_brl(decimal("p_retailprice")).alias("listed"))  # written once for each part
+    l = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("pos", pos)
+    line = _cat(_s(F.col("pos") + 100), " - X ", _s(300_000 + F.col("l_partkey") % 90_000), " ", F.col("name"), " ", _s(F.col("l_quantity").cast("int")), " KG 30/", _pad(F.col("l_partkey") % 9 + 1, 2), " ", F.col("listed"), " ", S.format_brl(decimal("l_extendedprice")))
+    texts = l.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", line.alias("t"))))["t"], "\n").alias("text"))  # the lines of an order
     out = items.texts_to_items(texts, ("l_orderkey",))
     return out.select("l_orderkey", "strategy", "item_no", "code", "description", "unit", *(F.col(c).cast("double").alias(c) for c in ("qty", "unit_price", "total")), "nd_si")
 

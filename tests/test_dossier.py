@@ -170,6 +170,28 @@ def test_ocr_items(spark):
     assert got == [(101, "301234", Decimal("10"), Decimal("2.00"), Decimal("20.00"), "30.24", "numbers"), (102, "401234", Decimal("5"), Decimal("3.00"), Decimal("15.00"), None, "numbers")]
 
 
+def test_machine_read_texts_are_searched_once(spark):
+    """How a text is cut is told once for each text, not for each of its segments, and a segment's amounts are not read again for each column."""
+    rows = spark.range(1).select(F.col("id").alias("i"), F.col("id").cast("string").alias("text"))
+    segments, texts = items.texts_to_items(rows, ("i",))._jdf.queryExecution().optimizedPlan().toString().split("Generate ", 1)
+    assert segments.count("[-–]") == 0 and texts.count("[-–]") == 3
+    assert max(segments.count(p) for p in (r"R\$\s*([\d.]+", r"TOTAL.*", r"\d{2}[/.]\d{2}", r"(\d{2}/\d{2})")) <= 2  # where it is read, and in the filter that Spark moves ahead
+
+
+def test_machine_read_items_in_odd_forms(spark):
+    texts = {
+        "x \n100 -  A 301234 |  PANO [x] 50% 1kg 3010\t2 mês 33.90.30/07\n101–\nB 12 UND R$1,00 R$ 3,00 R$ 2,00 TOTAL FORNECEDOR R$ 1,234,50 FIM": [
+            (100, "301234", "PANO x 1kg 2 mês", "MÊS", None, "30.07", None, None), (101, None, "– B 12 UND", "UND", "12.0000", None, "1.00", "1234.50")],
+        "301234 A 1 L 400000 AÇO 20 M2 30/00": [(1, "301234", "A 1 L", "L", "1.0000", None, None, None), (2, "400000", "AÇO 20 M", "M2", "20.0000", None, None, None)],
+        "CAT 301234 12 KG ABC 34 CX DEF": [(1, "301234", "12 KG ABC", "KG", "12.0000", None, None, None), (2, "301234", "34 CX DEF", "CX", "34.0000", None, None, None)],
+        "PANO 1234567 KG  12,50": [(1, None, "PANO KG", "KG", None, None, None, None)],
+        " \n": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = items.texts_to_items(df, ("i",)).selectExpr("i", "item_no", "code", "description", "unit", "string(qty) AS qty", "nd_si", "string(unit_price) AS unit_price", "string(total) AS total").orderBy("i", "item_no").collect()
+    assert [tuple(r) for r in got] == [(i, *row) for i, rows in enumerate(texts.values()) for row in rows]
+
+
 def test_a_catalogue_code_is_no_budget_code(spark):
     texts = {
         "X 339030 TINTA 2 KG 30/07 R$ 2,00 R$ 4,00": ("339030", "30.07"), "X 339030 TINTA 2 KG R$ 2,00 R$ 4,00": ("339030", None), "X 301234 TINTA 2 KG 339039 R$ 2,00": ("301234", "39"),
